@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkgraph.llm import packing, sharding, warc, wavelet
+from linkgraph.llm import langid, packing, sharding, toxicity, warc, wavelet
+from linkgraph.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,12 +35,30 @@ def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs, fold("doc_id", 3) != 1)
+
+
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, language_model(docs)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.col("n_spans"))
+
+
+OPS = (op1_warc_derivatives, op2_wavelet_shards, op4_extendible_shards, op6_toxicity_cnn, op8_best_fit_packing, op10_language_spans)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_wavelet_shards, op4_extendible_shards, op8_best_fit_packing)}
+    return {f.__name__: f for f in OPS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, encoded chunk by chunk with a memo.
 
 The tokenizer's own pattern never joins characters across ASCII white space, and its normalizer never composes across
-it, so the ids of a text are the ids of its chunks between ASCII white space, one after another. A chunk is handed to
-the ``tokenizers`` library once per worker and remembered.
+it, so the ids of a text are the ids of its chunks between ASCII white space, one after another. Chunks that a worker
+has not met lately are handed to the ``tokenizers`` library; the ids of recent ones are remembered. A chunk of letters
+and closing marks is two pieces of the pattern, so its ids are those of the letters and those of the marks.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ import re
 
 import numpy as np
 
-#: Chunks between ASCII white space.
+#: Chunks between ASCII white space, and those that are one run of letters (whose lower case is as long) and of marks.
 CHUNK = re.compile(r"[^ \t\n\r]+")
-#: Longer chunks are encoded each time; a full memo is emptied.
-MEMO_CHARS, MEMO_ENTRIES = 48, 400_000
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
+#: Longer chunks are not remembered. When so many are, they become the old generation, and the one before it goes.
+MEMO_CHARS, MEMO_ENTRIES = 48, 500_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -23,22 +25,63 @@ class Encoder(dict):
     """Maps a chunk to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[str, bytes] = {}
+        #: The same model behind a front end that leaves out what does nothing to lower-case letters.
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers new chunks. Words are encoded together and told apart by the tokens that end a word."""
+        split = {c: (m[1].lower(), m[2]) for c in chunks if (m := PLAIN.fullmatch(c))}
+        words = [w for w in {w for w, _ in split.values()} if w not in self]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.asarray(x.ids, "<u4") for x in self.light.encode_batch_fast([" ".join(words[k : k + 500]) for k in range(0, len(words), 500)], add_special_tokens=False))])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
+            data, at = ids.astype("<u4").tobytes(), 0
+            for w, end in zip(words, (4 * ends).tolist(), strict=True):
+                self[w] = data[at:end]
+                at = end
+        else:
+            split = {}
+        for c in chunks:
+            if c not in split:
+                self[c] = self.encode(c)
+        for c, (w, marks) in split.items():
+            if marks and marks not in self:
+                self[marks] = self.encode(marks)
+            self[c] = self[w] + self[marks] if marks else self[w]
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a whole text (null: none) as bytes."""
-        return b"".join(map(self.__getitem__, CHUNK.findall(text))) if text else b""
+        if not text:
+            return b""
+        if len(self) > MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        words = CHUNK.findall(text)
+        if new := [c for c in set(words) if c not in self]:
+            for c in new:
+                if c in self.old:
+                    self[c] = self.old[c]
+            if new := [c for c in new if c not in self]:
+                self.learn(new)
+        out = b"".join(map(self.__getitem__, words))
+        for c in new:
+            if len(c) > MEMO_CHARS:
+                del self[c]
+        return out
 
 
 def encoder(path: str) -> Encoder:
