@@ -1,8 +1,8 @@
 """Operator 6: toxicity by a convolutional text classifier trained in numpy.
 
-Words are hashed to embeddings, filters of several widths slide over the whole text, each filter keeps its largest
-response, and a logistic layer turns those into a score. After training, each filter's share of each bucket is a
-table, so scoring a word is a sum of a few table rows. Thresholds are calibrated on rows that training did not see,
+A word's embedding is the sum of hashed embeddings of itself and of its character n-grams, filters of several widths
+slide over the whole text, each filter keeps its largest response, and a logistic layer turns those into a score. What
+each word adds to each place of each filter is worked out once a worker, so scoring a text sums a few table rows. Thresholds are calibrated on rows that training did not see,
 by the language that the text itself shows, and mapped to a score of 0.5.
 """
 
@@ -20,31 +20,26 @@ from pyspark.sql import functions as F
 from linkgraph.llm import langid
 
 #: Embedding buckets and size, filter widths, filters of each width.
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 12
+#: Lengths of the character n-grams, and the number of training texts from which on one has an embedding.
+GRAMS, LEAST_TEXTS = (4, 5, 6, 7), 8
 #: Labelled texts of each class that the model is fitted and calibrated on, at most; chosen by a hash of id and text.
 TRAIN_EACH = 3000
 EPOCHS, BATCH, RATE, SEED, CALIBRATE_EACH = 6, 32, 0.01, 7, 10
 
 
-def bucket(word: str) -> int:
-    return crc32(word.encode()) & (BUCKETS - 1)
-
-
-class Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        k = bucket(word)
-        if len(word) <= langid.MEMO_CHARS:
-            if len(self) >= langid.MEMO_WORDS:
-                self.clear()
-            self[word] = k
-        return k
+def grams(word: str) -> list[int]:
+    """Buckets of a word between marks of its ends and of its n-grams, each once."""
+    w = f"^{word}$"
+    return sorted({crc32(x.encode()) & (BUCKETS - 1) for x in [w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]})
 
 
 @dataclass
 class Model:
-    """tables: for each width, each place in the window, bucket x filter; the logistic layer; cut-offs by language."""
+    """Embeddings, filters (window x filter) with their biases, the logistic layer, and cut-offs by language."""
 
-    tables: list[list[np.ndarray]]
+    emb: np.ndarray
+    conv: list[np.ndarray]
     bias: list[np.ndarray]
     weights: np.ndarray
     constant: float
@@ -52,85 +47,137 @@ class Model:
     cut: float
     languages: langid.Model
 
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Raw responses for texts of word buckets; a text without words has no response of any filter."""
-        lengths = np.array([len(x) for x in texts])
-        out = np.full(len(texts), self.constant)
+
+class Words(dict):
+    """Word -> row of a table of what it adds at each place of each filter; row 0 stands behind the last word."""
+
+    PLACES = sum(WIDTHS)
+    LIMIT = 120_000
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.kernel = np.concatenate([c[k * DIM : (k + 1) * DIM] for w, c in zip(WIDTHS, model.conv, strict=True) for k in range(w)], 1)
+        self.rows = np.zeros((4096, self.PLACES * FILTERS), np.float32)
+        first = np.cumsum([0, *WIDTHS])[:-1]
+        for k in first:  # no window begins behind the last word
+            self.rows[0, k * FILTERS : (k + 1) * FILTERS] = -1e9
+
+    def __missing__(self, word: str) -> int:
+        k = len(self) + 1
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[k] = self.model.emb[grams(word)].sum(0) @ self.kernel
+        self[word] = k
+        return k
+
+    def logits(self, texts: list[list[str]]) -> np.ndarray:
+        """Raw responses; a text without words has no response of any filter."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        lengths = np.array([len(x) for x in texts], np.int64)
+        out = np.full(len(texts), self.model.constant)
         own = np.flatnonzero(lengths)
         if not len(own):
             return out
         pad = max(WIDTHS) - 1
-        ids = np.concatenate([np.concatenate([texts[i], np.full(pad, BUCKETS, texts[i].dtype)]) for i in own])
+        at = np.array([k for i in own for k in [*map(self.__getitem__, texts[i]), *[0] * pad]], np.int32)
         starts = np.cumsum(np.concatenate([[0], lengths[own] + pad]))[:-1]
-        features = []
-        for tables, bias, width in zip(self.tables, self.bias, WIDTHS, strict=True):
-            n = len(ids) - width + 1
-            x = tables[0][ids[:n]]
+        features, place = [], 0
+        for bias, width in zip(self.model.bias, WIDTHS, strict=True):
+            n = len(at) - width + 1
+            table = lambda k: self.rows[:, (place + k) * FILTERS : (place + k + 1) * FILTERS]  # noqa: E731, B023
+            x = table(0)[at[:n]]
             for k in range(1, width):
-                x += tables[k][ids[k : n + k]]
+                x += table(k)[at[k : n + k]]
+            place += width
             features.append(np.maximum(np.maximum.reduceat(x, starts, axis=0) + bias, 0))
-        out[own] += np.concatenate(features, 1) @ self.weights
+        out[own] += np.concatenate(features, 1) @ self.model.weights
         return out
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, float]:
-    """Adam on the logistic loss. Only the word windows that won a maximum receive a gradient."""
+def train(texts: list[list[str]], labels: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray, float]:
+    """Adam on the logistic loss. Only the word windows that won a maximum receive a gradient.
+
+    N-grams of fewer than ``LEAST_TEXTS`` texts keep a zero embedding, so no text can be learned by its rare words.
+    """
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
-    emb[BUCKETS] = 0
+    index = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    own_grams = [[], *(grams(w) for w in index)]
+    met = np.zeros(BUCKETS, np.int64)
+    for t in texts:
+        met[np.unique(np.concatenate([own_grams[index[w]] for w in set(t)]).astype(np.int64))] += 1
+    own_grams = [np.array([g for g in x if met[g] >= LEAST_TEXTS], np.int64) for x in own_grams]
+    kept = np.unique(np.concatenate(own_grams))
+    slot = np.zeros(BUCKETS, np.int64)
+    slot[kept] = np.arange(1, len(kept) + 1)
+    own_grams = [slot[x] for x in own_grams]
+    sizes = np.array([len(x) for x in own_grams])
+    flat, begin = np.concatenate(own_grams), np.cumsum(sizes) - sizes
+    ids_of = [np.array([index[w] for w in t], np.int64) for t in texts]
+    emb = rng.normal(0, 0.03, (len(kept) + 1, DIM)).astype(np.float32)
+    emb[0] = 0
     conv = [rng.normal(0, (2 / (w * DIM)) ** 0.5, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32)
     const = np.zeros(1, np.float32)
-    params = [*conv, *bias, out, const]
+    params = [*conv, *bias, out, const, emb]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    slow, fast = np.zeros_like(emb), np.zeros_like(emb)
     pad, step = max(WIDTHS) - 1, 0
-    full = np.full(pad, BUCKETS, np.int64)
+
+    def of_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All n-gram slots of some words, and the place in ``words`` that each belongs to."""
+        n = sizes[words]
+        which = np.repeat(np.arange(len(words)), n)
+        return flat[np.repeat(begin[words], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], which
+
     for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
-            ids = np.concatenate([np.concatenate([texts[i], full]) for i in own])
-            ends = np.cumsum([len(texts[i]) + pad for i in own])
+            words, ids = np.unique(np.concatenate([np.concatenate([ids_of[i], np.zeros(pad, np.int64)]) for i in own]), return_inverse=True)
+            ends = np.cumsum([len(ids_of[i]) + pad for i in own])
             starts = np.concatenate([[0], ends[:-1]])
+            slots_, which = of_words(words)
+            vectors = np.zeros((len(words), DIM), np.float32)
+            for d in range(DIM):
+                vectors[:, d] = np.bincount(which, emb[slots_, d], len(words))
             features, wins = [], []
             for w, c, b in zip(WIDTHS, conv, bias, strict=True):
                 n = len(ids) - w + 1
-                x = np.concatenate([emb[ids[k : n + k]] for k in range(w)], 1)
-                y = x @ c
+                y = sum(((vectors @ c[k * DIM : (k + 1) * DIM])[ids[k : n + k]] for k in range(w)), np.float32(0))
                 at = np.stack([s + y[s : max(s + 1, e - pad)].argmax(0) for s, e in zip(starts, ends, strict=True)])
                 features.append(np.maximum(y[at, np.arange(FILTERS)] + b, 0))
-                wins.append((x, at))
+                wins.append(at)
             h = np.concatenate(features, 1)
             p = 1 / (1 + np.exp(-np.clip(h @ out + const[0], -30, 30)))
             d = ((p - labels[own]) / len(own)).astype(np.float32)
             dh = np.outer(d, out) * (h > 0)
-            grads_c, grads_b, rows, values = [], [], [], []
+            grads_c, grads_b, g_words = [], [], np.zeros_like(vectors)
             for i, (w, c) in enumerate(zip(WIDTHS, conv, strict=True)):
-                g = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                x, at = wins[i]
-                xs = x[at]  # documents, filters, window
+                g, at = dh[:, i * FILTERS : (i + 1) * FILTERS], wins[i]
+                xs = np.concatenate([vectors[ids[at + k]] for k in range(w)], 2)  # texts, filters, window
                 grads_c.append(np.einsum("dfk,df->kf", xs, g))
                 grads_b.append(g.sum(0))
                 back = g[:, :, None] * c.T[None]
                 for k in range(w):
-                    rows.append(ids[at + k].ravel())
-                    values.append(back[:, :, k * DIM : (k + 1) * DIM].reshape(-1, DIM))
+                    np.add.at(g_words, ids[at + k].ravel(), back[:, :, k * DIM : (k + 1) * DIM].reshape(-1, DIM))
+            moved = np.flatnonzero(g_words.any(1))
+            slots_, which = of_words(words[moved])
+            touched, inverse = np.unique(slots_, return_inverse=True)
+            g_emb = np.zeros((len(touched), DIM), np.float32)
+            np.add.at(g_emb, inverse, g_words[moved][which])
             step += 1
             fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
-            for p_, g, (m, v) in zip(params, [*grads_c, *grads_b, h.T @ d, np.array([d.sum()])], moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p_ -= RATE * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)
-            touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            g = np.zeros((len(touched), DIM), np.float32)
-            np.add.at(g, inverse, np.concatenate(values))
-            slow[touched] += 0.1 * (g - slow[touched])
-            fast[touched] += 0.001 * (g * g - fast[touched])
-            emb[touched] -= RATE * (slow[touched] / fix1) / (np.sqrt(fast[touched] / fix2) + 1e-8)
-            emb[BUCKETS] = 0
-    return emb, conv, bias, out, float(const[0])
+            for i, g in enumerate([*grads_c, *grads_b, h.T @ d, np.array([d.sum()]), g_emb]):
+                at = touched if i == len(params) - 1 else slice(None)
+                m, v = moments[i]
+                m[at] += 0.1 * (g - m[at])
+                v[at] += 0.001 * (g * g - v[at])
+                params[i][at] -= RATE * (m[at] / fix1) / (np.sqrt(v[at] / fix2) + 1e-8)
+    wide = np.zeros((BUCKETS, DIM), np.float32)
+    wide[kept] = emb[1:]
+    return wide, conv, bias, out, float(const[0])
 
 
 def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -166,24 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_EAC
     sample = [r for part in chosen for r in part.collect()]  # bounded by ``each``
     sample.sort(key=lambda r: (crc32(r.text.encode()), r.toxic))
     languages = langid.fit(docs, learn, 4 * each)
-    scorer, find = langid.Scorer(languages), Buckets()
-    words = [langid.WORD.findall(r.text.lower()) for r in sample]
-    texts = [np.array([find[w] for w in own], np.int64) for own in words]
+    scorer = langid.Scorer(languages)
+    texts = [langid.WORD.findall(r.text.lower()) for r in sample]
     y, held = np.array([r.toxic for r in sample]), np.array([r.held for r in sample], bool)
     use = [i for i in range(len(sample)) if len(texts[i]) and not held[i]]
     if len(set(y[use].tolist())) < 2:
-        empty = [[np.zeros((BUCKETS + 1, FILTERS), np.float32) for _ in range(w)] for w in WIDTHS]
-        return Model(empty, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), -30.0, {}, 0.0, languages)
-    emb, conv, bias, out, const = train([texts[i] for i in use], y[use])
-    tables = [[np.ascontiguousarray(emb @ c[k * DIM : (k + 1) * DIM]) for k in range(w)] for w, c in zip(WIDTHS, conv, strict=True)]
-    for place in tables:
-        for k, t in enumerate(place):
-            if k == 0:
-                t[BUCKETS] = -1e9  # no window begins behind the last word
-    model = Model(tables, bias, out, const, {}, 0.0, languages)
+        return Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), -30.0, {}, 0.0, languages)
+    model = Model(*train([texts[i] for i in use], y[use]), {}, 0.0, languages)
+    table = Words(model)
     test = [i for i in range(len(sample)) if held[i] and len(texts[i])] or use
-    logits = np.concatenate([model.logits([texts[i] for i in test[a : a + 200]]) for a in range(0, len(test), 200)])
-    lang = np.array([dominant(languages, scorer, words[i]) for i in test])
+    logits = np.concatenate([table.logits([texts[i] for i in test[a : a + 200]]) for a in range(0, len(test), 200)])
+    lang = np.array([dominant(languages, scorer, texts[i]) for i in test])
     if len(set(y[test].tolist())) == 2:
         model.cut = best_cut(logits, y[test])
         for name in sorted(set(lang)):
@@ -203,18 +243,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        scorer, find = langid.Scorer(model.languages), Buckets()
+        scorer, table = langid.Scorer(model.languages), Words(model)
         for batch in batches:
             texts = batch.column(1)
-            ids, langs, logits, size = [], [], [], 0
+            own, langs, logits, size = [], [], [], 0
 
             def flush():
-                logits.append(model.logits(ids))
-                ids.clear()
+                logits.append(table.logits(own))
+                own.clear()
 
             for x in texts:
                 words = langid.WORD.findall((x.as_py() or "").lower())
-                ids.append(np.array([find[w] for w in words], np.int32))
+                own.append(words)
                 langs.append(dominant(model.languages, scorer, words))
                 size += len(words)
                 if size > 50_000:
