@@ -11,7 +11,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkgraph.llm.ngrams import gram_buckets, sums
+
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 #: First code points of the ranges in which a script's letters stand.
@@ -32,23 +33,17 @@ SCRIPTS = (
 STARTS = [a for a, _ in SCRIPTS]
 #: N-gram buckets, the weight of a word's n-grams (they overlap), the price of a switch and of a script that a
 #: language does not use, in nats; a script counts as used from this share of the language's words.
-BUCKETS, WEIGHT, SWITCH, FOREIGN, USED = 1 << 15, 0.5, 8.0, 30.0, 0.01
+BITS, WEIGHT, SWITCH, FOREIGN, USED = 15, 0.5, 8.0, 30.0, 0.01
+BUCKETS, GRAMS = 1 << BITS, (1, 2, 3, 4)
 #: Documents that a model is fitted on, about; chosen by a hash of id and text.
 TRAIN_DOCS = 20_000
-MEMO_WORDS, MEMO_CHARS, CELLS = 300_000, 40, 2_000_000
+MEMO_WORDS, CELLS = 300_000, 2_000_000
 
 
 def script(word: str) -> str:
     return SCRIPTS[bisect_right(STARTS, ord(word[0])) - 1][1]
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the 1- to 4-grams of a word between marks of its ends, and of the whole word."""
-    w = f"^{word}$"
-    out = [crc32(w[i : i + n].encode()) & (BUCKETS - 1) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return out[1 : len(word) + 1] + out[len(w) :] + [crc32(b"\0" + w.encode()) & (BUCKETS - 1)]
-
-
 @dataclass
 class Model:
     """langs; log P(n-gram | language) by bucket; scripts that each language uses."""
@@ -57,13 +52,13 @@ class Model:
     table: np.ndarray
     scripts: dict[str, np.ndarray]
 
-    def score(self, word: str) -> np.ndarray:
-        """Log likelihood of a word by language, less the mean; 0 for all where no language uses its script."""
-        used = self.scripts.get(script(word))
-        if used is None:
-            return np.zeros(len(self.langs), np.float32)
-        s = self.table[grams(word)].sum(0) * WEIGHT
-        return (s - s.mean() - FOREIGN * ~used).astype(np.float32)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each word by language, less the mean; 0 for all where no language uses its script."""
+        s = sums(self.table, *gram_buckets(words, GRAMS, BITS), len(words)) * WEIGHT
+        s -= s.mean(1, keepdims=True)
+        nothing = np.zeros(len(self.langs), bool)
+        used = np.array([self.scripts.get(script(w), nothing) for w in words]).reshape(s.shape)
+        return np.where(used.any(1, keepdims=True), s - FOREIGN * ~used, 0).astype(np.float32)
 
 
 def fit(docs: DataFrame, train: Column, sample: int = TRAIN_DOCS) -> Model:
@@ -81,9 +76,9 @@ def fit(docs: DataFrame, train: Column, sample: int = TRAIN_DOCS) -> Model:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 by_lang.setdefault(lang, Counter()).update(WORD.findall(text.as_py().lower()))
             for lang, words in by_lang.items():
-                n, seen = np.zeros(BUCKETS), Counter()
+                flat, whose = gram_buckets(list(words), GRAMS, BITS)
+                n, seen = np.bincount(flat, np.array([*words.values()], float)[whose], BUCKETS), Counter()
                 for word, times in words.items():
-                    np.add.at(n, grams(word), times)
                     seen[script(word)] += times
                 at = np.flatnonzero(n)
                 keys = [f"g{x}" for x in at] + [f"s{x}" for x in seen]
@@ -109,21 +104,19 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, len(model.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.score(word)
-        self[word] = k
-        return k
+        self.rows = np.zeros((1024, max(1, len(model.langs))), np.float32)
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """A row for each word of each text."""
         if len(self) > MEMO_WORDS:
             self.clear()
-        at = [self[w] for w in words]
-        return self.rows[at] if at else np.zeros((0, len(self.model.langs)), np.float32)
+        if new := [w for w in set().union(*texts) if w not in self]:
+            k = len(self)
+            while k + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[k : k + len(new)] = self.model.score(new)
+            self.update(zip(new, range(k, k + len(new)), strict=True))
+        return [self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))] for words in texts]
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -190,7 +183,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                         found.append([text[i:j].lower() for i, j in matches])
                     else:
                         found.append(WORD.findall(text.lower()))
-                scores = [scorer.scores(words) if model.langs else np.zeros((0, 1), np.float32) for words in found]
+                scores = scorer.scores(found) if model.langs else [np.zeros((0, 1), np.float32)] * len(found)
                 pred, share, runs, where = [], [], [], []
                 for k, (words, s, labels) in enumerate(zip(found, scores, viterbi(scores), strict=True)):
                     if not len(labels):

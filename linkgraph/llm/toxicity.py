@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm import langid
+from linkgraph.llm.ngrams import gram_buckets, sums
 
 #: Embedding buckets and size, filter widths, filters of each width.
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 12
+BITS, DIM, WIDTHS, FILTERS = 18, 12, (1, 2, 3), 12
+BUCKETS = 1 << BITS
 #: Lengths of the character n-grams, and the number of training texts from which on one has an embedding.
 GRAMS, LEAST_TEXTS = (4, 5, 6, 7), 8
 #: Labelled texts of each class that the model is fitted and calibrated on, at most; chosen by a hash of id and text.
@@ -28,12 +30,6 @@ TRAIN_EACH = 3000
 EPOCHS, BATCH, RATE, SEED, CALIBRATE_EACH = 6, 32, 0.01, 7, 10
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word between marks of its ends and of its n-grams, each once."""
-    w = f"^{word}$"
-    return sorted({crc32(x.encode()) & (BUCKETS - 1) for x in [w, *(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]})
-
-
 @dataclass
 class Model:
     """Embeddings, filters (window x filter) with their biases, the logistic layer, and cut-offs by language."""
@@ -63,18 +59,19 @@ class Words(dict):
         for k in first:  # no window begins behind the last word
             self.rows[0, k * FILTERS : (k + 1) * FILTERS] = -1e9
 
-    def __missing__(self, word: str) -> int:
-        k = len(self) + 1
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.emb[grams(word)].sum(0) @ self.kernel
-        self[word] = k
-        return k
+    def add(self, texts: list[list[str]]) -> None:
+        if len(self) > self.LIMIT:
+            self.clear()
+        if new := [w for w in set().union(*texts) if w not in self]:
+            k = len(self) + 1
+            while k + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[k : k + len(new)] = sums(self.model.emb, *gram_buckets(new, GRAMS, BITS), len(new)) @ self.kernel
+            self.update(zip(new, range(k, k + len(new)), strict=True))
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         """Raw responses; a text without words has no response of any filter."""
-        if len(self) > self.LIMIT:
-            self.clear()
+        self.add(texts)
         lengths = np.array([len(x) for x in texts], np.int64)
         out = np.full(len(texts), self.model.constant)
         own = np.flatnonzero(lengths)
@@ -103,17 +100,20 @@ def train(texts: list[list[str]], labels: np.ndarray, seed: int = SEED) -> tuple
     """
     rng = np.random.default_rng(seed)
     index = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
-    own_grams = [[], *(grams(w) for w in index)]
+    flat, whose = gram_buckets(list(index), GRAMS, BITS)
+    order = np.argsort(whose, kind="stable")
+    flat, sizes = flat[order], np.concatenate([[0], np.bincount(whose, minlength=len(index))])
+    begin = np.cumsum(sizes) - sizes
     met = np.zeros(BUCKETS, np.int64)
     for t in texts:
-        met[np.unique(np.concatenate([own_grams[index[w]] for w in set(t)]).astype(np.int64))] += 1
-    own_grams = [np.array([g for g in x if met[g] >= LEAST_TEXTS], np.int64) for x in own_grams]
-    kept = np.unique(np.concatenate(own_grams))
+        met[np.unique(np.concatenate([flat[begin[k] : begin[k] + sizes[k]] for k in {index[w] for w in t}]))] += 1
+    keep = met[flat] >= LEAST_TEXTS
+    sizes = np.concatenate([[0], np.bincount(whose[order][keep], minlength=len(index))])
+    begin, flat = np.cumsum(sizes) - sizes, flat[keep]
+    kept = np.unique(flat)
     slot = np.zeros(BUCKETS, np.int64)
     slot[kept] = np.arange(1, len(kept) + 1)
-    own_grams = [slot[x] for x in own_grams]
-    sizes = np.array([len(x) for x in own_grams])
-    flat, begin = np.concatenate(own_grams), np.cumsum(sizes) - sizes
+    flat = slot[flat]
     ids_of = [np.array([index[w] for w in t], np.int64) for t in texts]
     emb = rng.normal(0, 0.03, (len(kept) + 1, DIM)).astype(np.float32)
     emb[0] = 0
@@ -192,11 +192,12 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def dominant(model: langid.Model, scorer: langid.Scorer, words: list[str]) -> str:
-    """The language whose n-grams explain the words of a text best; words of foreign scripts count little."""
-    if not words or not model.langs:
-        return langid.UNDETERMINED
-    return model.langs[int(np.maximum(scorer.scores(words), -5).sum(0).argmax())]
+def dominant(scorer: langid.Scorer, texts: list[list[str]]) -> list[str]:
+    """The language whose n-grams explain the words of each text best; words of foreign scripts count little."""
+    langs = scorer.model.langs
+    if not langs:
+        return [langid.UNDETERMINED] * len(texts)
+    return [langs[int(np.maximum(s, -5).sum(0).argmax())] if len(s) else langid.UNDETERMINED for s in scorer.scores(texts)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_EACH) -> Model:
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_EAC
     table = Words(model)
     test = [i for i in range(len(sample)) if held[i] and len(texts[i])] or use
     logits = np.concatenate([table.logits([texts[i] for i in test[a : a + 200]]) for a in range(0, len(test), 200)])
-    lang = np.array([dominant(languages, scorer, texts[i]) for i in test])
+    lang = np.array(dominant(scorer, [texts[i] for i in test]))
     if len(set(y[test].tolist())) == 2:
         model.cut = best_cut(logits, y[test])
         for name in sorted(set(lang)):
@@ -250,14 +251,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
             def flush():
                 logits.append(table.logits(own))
+                langs.extend(dominant(scorer, own))
                 own.clear()
 
             for x in texts:
                 words = langid.WORD.findall((x.as_py() or "").lower())
                 own.append(words)
-                langs.append(dominant(model.languages, scorer, words))
                 size += len(words)
-                if size > 50_000:
+                if size > 100_000:
                     flush()
                     size = 0
             flush()
