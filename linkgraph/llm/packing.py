@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.llm.common import crc_u32, written
-from linkgraph.llm.tokens import encoder
+from linkgraph.llm.tokens import encoded
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
@@ -31,11 +31,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, end, met = TaskContext.get().partitionId(), encoder(tokenizer), np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
+        part, end, met = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     size = len(own) // 4

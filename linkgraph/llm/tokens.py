@@ -9,6 +9,7 @@ and closing marks is two pieces of the pattern, so its ids are those of the lett
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -63,27 +64,32 @@ class Encoder(dict):
                 self[marks] = self.encode(marks)
             self[c] = self[w] + self[marks] if marks else self[w]
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text (null: none) as bytes."""
-        if not text:
-            return b""
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts (null: none) as bytes."""
         if len(self) > MEMO_ENTRIES:
             self.old = dict(self)
             self.clear()
-        words = CHUNK.findall(text)
-        if new := [c for c in set(words) if c not in self]:
-            for c in new:
-                if c in self.old:
-                    self[c] = self.old[c]
-            if new := [c for c in new if c not in self]:
-                self.learn(new)
-        out = b"".join(map(self.__getitem__, words))
+        split = [CHUNK.findall(t) if t else [] for t in texts]
+        new = [c for c in set().union(*split) if c not in self]
+        for c in new:
+            if c in self.old:
+                self[c] = self.old[c]
+        if new := [c for c in new if c not in self]:
+            self.learn(new)
+        out = [b"".join(map(self.__getitem__, words)) for words in split]
         for c in new:
             if len(c) > MEMO_CHARS:
                 del self[c]
         return out
 
 
+def encoded(texts, path: str, step: int = 64) -> Iterator[bytes]:
+    """The ids of each value of an Arrow column of texts, a few texts at a time."""
+    enc = encoder(path)
+    for a in range(0, len(texts), step):
+        yield from enc.ids(texts[a : a + step].to_pylist())
+
+
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and tokenizer file."""
     if path not in _ENCODERS:

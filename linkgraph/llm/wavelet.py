@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgraph.llm.common import crc_u32, scratch
-from linkgraph.llm.tokens import encoder
+from linkgraph.llm.tokens import encoded
 
 MAGIC = b"WMX1"
 #: Bits of one block of the rank directory.
@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, enc, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         ids, sizes, data, total = [], [], [], 0
 
         def shard():
@@ -182,8 +182,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = enc.ids(text.as_py()) + end
+            for doc, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
+                got += end
                 ids.append(doc), sizes.append(len(got) // 4), data.append(got)
                 total += len(got) // 4
                 if total >= shard_tokens:
