@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import langid, packing, sharding, toxicity, warc, wavelet
+from linkgraph.llm import decontam, langid, omh, packing, secret_scan, sharding, toxicity, warc, wavelet
 from linkgraph.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,16 +35,28 @@ def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     return langid.fit(docs, fold("doc_id", 3) != 1)
 
@@ -54,7 +66,7 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, language_model(docs)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.col("n_spans"))
 
 
-OPS = (op1_warc_derivatives, op2_wavelet_shards, op4_extendible_shards, op6_toxicity_cnn, op8_best_fit_packing, op10_language_spans)
+OPS = (op1_warc_derivatives, op2_wavelet_shards, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
