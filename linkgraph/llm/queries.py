@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import decontam, langid, omh, packing, secret_scan, sharding, toxicity, warc, wavelet
+from linkgraph.llm import decontam, jaccard, langid, omh, packing, secret_scan, sharding, toxicity, warc, wavelet
 from linkgraph.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,10 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, language_model(docs)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.col("n_spans"))
 
 
-OPS = (op1_warc_derivatives, op2_wavelet_shards, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans)
+OPS = (op1_warc_derivatives, op2_wavelet_shards, op3_jaccard_rtree, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
