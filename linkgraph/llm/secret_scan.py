@@ -97,10 +97,10 @@ def as_text(counts: list[int], share: np.ndarray) -> float:
     return out
 
 
-FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string>>, more array<struct<start:int,end:int,kind:string,counts:array<int>>>, symbols array<long>"
+FOUND = "doc_id long, number long, base array<struct<start:int,end:int,kind:string>>, more array<struct<start:int,end:int,kind:string,counts:array<int>>>, symbols array<long>"
 
 
-def tested(docs: DataFrame) -> DataFrame:
+def tested(docs: DataFrame, keep=None) -> DataFrame:
     """Base spans and the strings that pass the battery of every row; the last row of a batch has its symbol counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def tested(docs: DataFrame) -> DataFrame:
             place[[ord(c), ord(c.upper())]] = i
         for batch in batches:
             base, more, symbols = [], [], np.zeros(37, np.int64)
-            for value in batch.column(1):
+            for value in batch.column(2):
                 text = value.as_py() or ""
                 symbols += np.bincount(place[np.frombuffer(text.encode(), np.uint8)], minlength=37)
                 spans = base_spans(text)
@@ -127,25 +127,26 @@ def tested(docs: DataFrame) -> DataFrame:
                 more.append(own)
             kinds = [f.type for f in ARROW]
             totals = [None] * (batch.num_rows - 1) + [symbols[:36].tolist()] * bool(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kinds[1]), pa.array(more, kinds[2]), pa.array(totals, kinds[3])], names=["doc_id", "base", "more", "symbols"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kinds[1]), pa.array(more, kinds[2]), pa.array(totals, kinds[3])], names=["doc_id", "number", "base", "more", "symbols"])
 
     span = [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]
     ARROW = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.struct(span))), ("more", pa.list_(pa.struct([*span, ("counts", pa.list_(pa.int32()))]))), ("symbols", pa.list_(pa.int64()))])  # noqa: N806
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    number = F.lit(None).cast("long") if keep is None else keep
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("number"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
 
 def length_class(n: int) -> int:
     return max(i for i, x in enumerate(LENGTHS) if n >= x)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base and added spans of every row: arrays of (start, end, kind), added ones of kind ``random-<encoding>``.
+def scan(docs: DataFrame, keep=None) -> DataFrame:
+    """doc_id, number (what ``keep`` gives), base and added spans of every row: arrays of (start, end, kind), added ones of kind ``random-<encoding>``.
 
     A null or empty text has none. Repeated rows and ids are scanned one by one; other columns are ignored. The strings
     that pass the battery are few and written once. What reaches the driver: 36 symbol counts, and at most a row for
     each encoding, length class and step of p.
     """
-    found = written(tested(docs))
+    found = written(tested(docs, keep))
     totals = {r.k: r.n for r in found.where(F.col("symbols").isNotNull()).select(F.posexplode("symbols").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()}
     share = np.array([totals.get(k, 0) + 1.0 for k in range(36)])
     share /= share.sum()
@@ -154,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def judge(more):
         return more.map(lambda own: [{"start": x["start"], "end": x["end"], "kind": x["kind"], "class": length_class(x["end"] - x["start"]), "step": int(-as_text(x["counts"], share) * STEPS)} for x in own])
 
-    judged = found.select("doc_id", "base", judge("more").alias("more"))
+    judged = found.select("doc_id", "number", "base", judge("more").alias("more"))
     steps = judged.select(F.inline("more")).groupBy("kind", "class", "step").agg(F.count("*").alias("n"))
     cuts: dict[tuple[str, int], int] = {}
     groups: dict[tuple[str, int], list[tuple[int, int]]] = {}
@@ -168,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 cuts[key] = step
     least = lambda x: F.coalesce(*(F.when((x["kind"] == k) & (x["class"] == c), F.lit(s)) for (k, c), s in sorted(cuts.items())), F.lit(1 << 30))
     added = F.transform(F.filter("more", lambda x: x["step"] >= least(x)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("random-"), x["kind"]).alias("kind"))) if cuts else F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return judged.select("doc_id", "base", added.alias("added"))
+    return judged.select("doc_id", "number", "base", added.alias("added"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -179,23 +180,37 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *(number(k) for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
-def redact_udf(mark: str = "[secret]"):
-    """Replaces base spans, merged where they touch, in whole texts."""
+def redacted(text: str | None, spans: list[tuple[int, int]], mark: str) -> str | None:
+    """The text with the mark in place of each run of overlapping spans."""
+    if not text or not spans:
+        return text
+    out, at, last = [], 0, -1
+    for a, b in sorted(spans):
+        if a >= last:
+            out += [text[at:a], mark]
+        at = last = max(last, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """The columns of documents, with every base and added span of ``text`` replaced and ``n_chars`` counted anew.
+
+    Spans of all rows of a doc_id are kept apart by a hash of their text. A null text stays null.
+    """
+    number = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    found = scan(rows, keep=number).where((F.size("base") > 0) | (F.size("added") > 0))
+    spans = F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    few = found.select(F.col("doc_id").alias("_id"), F.col("number").alias("_number"), spans.alias("_spans")).dropDuplicates(["_id", "_number"])
 
     @F.pandas_udf("string")
-    def redact(texts):
-        def one(text):
-            if text is None:
-                return None
-            out, at = [], 0
-            for a, b, _ in base_spans(text):
-                if b <= at:
-                    continue
-                if a >= at:
-                    out += [text[at:a], mark]
-                at = b
-            return "".join([*out, text[at:]]) if out else text
-
-        return texts.map(one)
-
-    return redact
+    def put(text, spans):
+        import pandas as pd
+
+        return pd.Series([redacted(t, [] if s is None else [(x["start"], x["end"]) for x in s], mark) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+    both = docs.join(few, docs["doc_id"].eqNullSafe(few["_id"]) & (number == few["_number"]), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(put("text", "_spans"))
+    new = both.withColumn("_text", text)
+    changes = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
+    return new.select(*(changes[c].alias(c) if changes.get(c) is not None else F.col(c) for c in docs.columns))

@@ -26,7 +26,7 @@ BUCKETS = 1 << BITS
 #: Lengths of the character n-grams, and the number of training texts from which on one has an embedding.
 GRAMS, LEAST_TEXTS = (4, 5, 6, 7), 8
 #: Labelled texts of each class that the model is fitted and calibrated on, at most; chosen by a hash of id and text.
-TRAIN_EACH = 3000
+TRAIN_EACH = 1500
 EPOCHS, BATCH, RATE, SEED, CALIBRATE_EACH = 6, 32, 0.01, 7, 10
 
 
@@ -100,16 +100,19 @@ def train(texts: list[list[str]], labels: np.ndarray, seed: int = SEED) -> tuple
     """
     rng = np.random.default_rng(seed)
     index = {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in t}))}
-    flat, whose = gram_buckets(list(index), GRAMS, BITS)
-    order = np.argsort(whose, kind="stable")
-    flat, sizes = flat[order], np.concatenate([[0], np.bincount(whose, minlength=len(index))])
-    begin = np.cumsum(sizes) - sizes
     met = np.zeros(BUCKETS, np.int64)
     for t in texts:
-        met[np.unique(np.concatenate([flat[begin[k] : begin[k] + sizes[k]] for k in {index[w] for w in t}]))] += 1
-    keep = met[flat] >= LEAST_TEXTS
-    sizes = np.concatenate([[0], np.bincount(whose[order][keep], minlength=len(index))])
-    begin, flat = np.cumsum(sizes) - sizes, flat[keep]
+        met[np.unique(gram_buckets(list(set(t)), GRAMS, BITS)[0])] += 1
+    vocabulary, parts, sizes = list(index), [], [np.zeros(1, np.int64)]
+    for a in range(0, len(vocabulary), 20_000):  # a part at a time, for the memory of all n-grams of all words
+        some = vocabulary[a : a + 20_000]
+        flat, whose = gram_buckets(some, GRAMS, BITS)
+        keep = met[flat] >= LEAST_TEXTS
+        flat, whose = flat[keep], whose[keep]
+        parts.append(flat[np.argsort(whose, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(whose, minlength=len(some)))
+    flat, sizes = np.concatenate(parts), np.concatenate(sizes)
+    begin = np.cumsum(sizes) - sizes
     kept = np.unique(flat)
     slot = np.zeros(BUCKETS, np.int64)
     slot[kept] = np.arange(1, len(kept) + 1)
@@ -215,14 +218,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, each: int = TRAIN_EAC
     sample.sort(key=lambda r: (crc32(r.text.encode()), r.toxic))
     languages = langid.fit(docs, learn, 4 * each)
     scorer = langid.Scorer(languages)
-    texts = [langid.WORD.findall(r.text.lower()) for r in sample]
+    same: dict[str, str] = {}
+    texts = [[same.setdefault(w, w) for w in langid.WORD.findall(r.text.lower())] for r in sample]
     y, held = np.array([r.toxic for r in sample]), np.array([r.held for r in sample], bool)
-    use = [i for i in range(len(sample)) if len(texts[i]) and not held[i]]
+    del sample, same
+    use = [i for i in range(len(texts)) if len(texts[i]) and not held[i]]
     if len(set(y[use].tolist())) < 2:
         return Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w * DIM, FILTERS), np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), -30.0, {}, 0.0, languages)
     model = Model(*train([texts[i] for i in use], y[use]), {}, 0.0, languages)
     table = Words(model)
-    test = [i for i in range(len(sample)) if held[i] and len(texts[i])] or use
+    test = [i for i in range(len(texts)) if held[i] and len(texts[i])] or use
     logits = np.concatenate([table.logits([texts[i] for i in test[a : a + 200]]) for a in range(0, len(test), 200)])
     lang = np.array(dominant(scorer, [texts[i] for i in test]))
     if len(set(y[test].tolist())) == 2:
