@@ -197,20 +197,23 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """doc_id, n_shingles and component_id of every row; texts link at ``den * intersection >= num * union``.
 
     A null or empty text, and one of white space, has no shingle and no link: it is its own component. Rows with a null
-    doc_id get neither links nor a component. Rows that share a doc_id are one vertex. Other columns are ignored.
+    doc_id get neither links nor a component. Rows that share a doc_id are one vertex with the links of each of their texts. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, groups = [], np.zeros(1 << RARITY_BITS, np.int64)
+            out, groups, some = [], np.zeros(1 << RARITY_BITS, np.int64), []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = shingles(text.as_py(), k)
-                groups += np.bincount((own >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS) if len(own) > 20_000 else 0
-                if len(own) <= 20_000:
-                    np.add.at(groups, (own >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
+                some.append((own >> np.uint64(64 - RARITY_BITS)).astype(np.int64))
+                if len(some) == 500:
+                    groups += np.bincount(np.concatenate(some), minlength=1 << RARITY_BITS)
+                    some = []
                 out.append((doc, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None, None))
+            if some:
+                groups += np.bincount(np.concatenate(some), minlength=1 << RARITY_BITS)
             if out:
                 at = np.flatnonzero(groups).astype("<u4")
                 out[-1] = (*out[-1][:3], at.tobytes() + groups[at].astype("<u4").tobytes())
@@ -256,12 +259,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                     out.append((doc, len(own), point(own), own.astype("<u8").tobytes()))
                 yield arrow("id n point set", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
 
-    points = rows.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    placed = written(points.mapInArrow(entries, "id long, cell long"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).where(F.col("size") > 1)
-    one_each = written(shared.groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
-    members = written(placed.join(one_each.select("cell", "size"), "cell"))
-    sets = written(points.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole, "id long, n long, point binary, set binary"))
+    known = rows.where(F.col("doc_id").isNotNull())
+    placed = written(known.mapInArrow(entries, "id long, cell long"))
+    entry = lambda df: df.groupBy("cell").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).where(F.col("size") > 1)
+    # of texts with equal sets only the first goes on, so entries that nothing but copies share go
+    several = written(placed.join(entry(placed).select("cell"), "cell", "left_semi").join(first.select("id"), "id", "left_semi").distinct())
+    one_each = written(entry(several).groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
+    members = written(several.join(one_each.select("cell", "size"), "cell"))
+    sets = written(known.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole, "id long, n long, point binary, set binary"))
 
     def dealt(labels: DataFrame | None) -> DataFrame:
         """Members with their points and labels; an entry of one label goes, a large one is dealt to pairs of blocks."""
