@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.llm.common import written
 from linkgraph.llm.omh import _ODD, mix
+from linkgraph.llm.tokens import release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -203,6 +204,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out, groups, some = [], np.zeros(1 << RARITY_BITS, np.int64), []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -237,6 +239,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     first = written(keyed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 ids, cells = [], []
@@ -251,6 +254,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(cells))], names=["id", "cell"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 out = []

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm.ngrams import gram_buckets, sums
+from linkgraph.llm.tokens import release
 
 WORD = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
@@ -168,6 +169,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = sent.value
         scorer, langs = Scorer(model), np.array([*model.langs, UNDETERMINED], dtype=object)
         for batch in batches:
