@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.llm.common import written
@@ -264,10 +264,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                 yield arrow("id n point set", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
 
     known = rows.where(F.col("doc_id").isNotNull())
-    placed = written(known.mapInArrow(entries, "id long, cell long"))
+    # one exchange, of 16 bytes a row, finds the entries that more than one id shares; a window over a hot entry spills
+    by_cell = Window.partitionBy("cell")
+    placed = known.mapInArrow(entries, "id long, cell long").select("id", "cell", F.min("id").over(by_cell).alias("low"), F.max("id").over(by_cell).alias("high"))
+    shared = written(placed.where("low < high").select("id", "cell"))
     entry = lambda df: df.groupBy("cell").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).where(F.col("size") > 1)
     # of texts with equal sets only the first goes on, so entries that nothing but copies share go
-    several = written(placed.join(entry(placed).select("cell"), "cell", "left_semi").join(first.select("id"), "id", "left_semi").distinct())
+    several = written(shared.join(first.select("id"), "id", "left_semi").distinct())
     one_each = written(entry(several).groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
     members = written(several.join(one_each.select("cell", "size"), "cell"))
     sets = written(known.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole, "id long, n long, point binary, set binary"))
