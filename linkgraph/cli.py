@@ -1,15 +1,18 @@
-"""Command line: verify, search, list, show, matrix, gaps, impact, graph, id. Exit 1: a check failed; 2: anything else."""
+"""Command line: verify, search, list, show, matrix, gaps, impact, graph, id, new, templates, init. Exit 1: a check failed; 2: anything else."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+import yaml
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from linkgraph.functions.idgrammar import seq_of
 from linkgraph.operators import graph as G
-from linkgraph.operators import rules, scaffold
+from linkgraph.operators import rules, scaffold, templates
 from linkgraph.plans import render
 from linkgraph.sources import config as C
 from linkgraph.sources import corpus as K
@@ -20,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--config")
     sub = top.add_subparsers(dest="command", required=True)
     for name, formats, extra in (
-        ("verify", ("text", "json"), ("--rules", "--strict")), ("search", ("text", "json"), ("pattern", "--type", "--limit", "--hits", "--fixed")), ("list", ("text", "json"), ("--type",)), ("show", (), ("ident",)),
+        ("verify", ("text", "json"), ("--rules", "--strict")), ("search", ("text", "json"), ("pattern", "--type", "--limit", "--hits", "--fixed")), ("list", ("text", "tree", "json"), ("--type",)), ("show", (), ("ident",)),
         ("matrix", ("markdown", "json"), ("--from", "--filter")), ("gaps", ("text", "json"), ("--from",)), ("impact", ("text", "json"), ("ident", "--depth")), ("graph", (), ("--filter",)), ("id", (), ("--pattern", "--level", "--start", "--dry-run")),
     ):
         p = sub.add_parser(name)
@@ -35,11 +38,64 @@ def parser() -> argparse.ArgumentParser:
         if formats:
             p.add_argument("--format", type=lambda s: s.strip().lower(), choices=formats, default=formats[0])
         p.add_argument("-o", "--output")
+    new = sub.add_parser("new")
+    new.add_argument("type")
+    new.add_argument("--output", "-o")
+    new.add_argument("--based-on", nargs="*", default=[])
+    new.add_argument("--feature", default="Feature")
+    new.add_argument("--start", type=int, default=0)
+    new.add_argument("--force", action="store_true")
+    new.add_argument("--dry-run", action="store_true")
+    sub.add_parser("templates")
+    start = sub.add_parser("init")
+    start.add_argument("--preset", required=True)
+    start.add_argument("--docs-dir", default="docs")
+    start.add_argument("--force", action="store_true")
     return top
 
 
+def write_project(args: argparse.Namespace) -> str:
+    """The files of a new project in the working folder; an existing configuration needs --force."""
+    old = None
+    if os.path.exists("linkgraph.yaml"):
+        if not args.force:
+            raise ValueError("linkgraph.yaml exists; use --force")
+        with open("linkgraph.yaml", encoding="utf-8") as f:
+            old = yaml.safe_load(f)
+    files = templates.project(args.preset, args.docs_dir, old)
+    scaffold.write_all(files)
+    return "".join(f"{f}\n" for f in files)
+
+
+def new_document(corpus: K.Corpus, config: C.Config, args: argparse.Namespace) -> str:
+    """A document of a type from the project's own template or the preset's; its numbers go on from the corpus."""
+    spec = next((s for s in config.files if s.type == args.type), None)
+    built = templates.BUILT_IN.get(config.preset, {}).get(args.type)
+    if args.type in config.templates:
+        with open(os.path.join(config.base, config.templates[args.type]), encoding="utf-8") as f:
+            built = (spec.id_pattern if spec else "", f.read())
+    if built is None:
+        raise ValueError(f"no template for {args.type}")
+    pattern = spec.id_pattern if spec else built[0]
+    top = corpus.definitions.where(F.col("id_pattern") == pattern).agg(F.max(seq_of(pattern, "id"))).first()[0] or 0
+    mentioned = corpus.definitions.where(F.col("path").isin([os.path.normpath(p) for p in args.based_on])).select("id").distinct()
+    refs = sorted((r.id for r in mentioned.collect()), key=render.natural_key_of)
+    text = templates.render(built[1], pattern, max(top + 1, args.start, spec.id_start if spec else 1), args.feature, refs)
+    if args.output and os.path.exists(args.output) and not args.force:
+        raise ValueError(f"{args.output} exists; use --force")
+    if args.dry_run:
+        args.output = None
+    return text
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
+    if args.command == "init":
+        return write_project(args), 0
     config = C.load(C.discover(args.config))
+    if args.command == "templates":
+        return "".join(f"{n}\n" for n in templates.names(config.preset, config.templates)), 0
+    if args.command == "new":
+        return new_document(C.open_corpus(spark, config), config, args), 0
     corpus = C.open_corpus(spark, config, args.files)
     known_types = {s.type for s in config.files}
     if getattr(args, "type", None) and args.type not in known_types:
@@ -61,6 +117,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if args.command == "list":
         rows = corpus.definitions if not args.type else corpus.definitions.where(F.col("type") == args.type)
         found = sorted(rows.select("id", "type", "title", "path", "line", "end_line").collect(), key=lambda r: render.natural_key_of(r.id))
+        if args.format == "tree":
+            paths = sorted({r.path for r in found})
+            return "".join(f"{p}\n" + "".join(f"  {r.id} {r.title}\n" for r in found if r.path == p) for p in paths), 0
         return (render.as_json(found) if args.format == "json" else "".join(f"{r.id} {r.title} ({r.path}:{r.line})\n" for r in found)), 0
     if args.command == "show":
         row = K.section(corpus, args.ident).first()
@@ -86,8 +145,6 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     found = scaffold.assignments(whole, pattern, C.targets(config, args.files), args.level or (spec.id_levels[0] if spec and spec.id_levels else None), max(args.start, spec.id_start if spec else 1))
     text = "".join(f"{r.path}:{r.line}: {r.id}\n" for r in found.orderBy("path", "line").collect())
     if not args.dry_run:
-        import os
-
         scaffold.write_all({os.path.join(config.base, p): t for p, t in scaffold.rewritten(whole, found).items()})
     return text, 0
 
@@ -101,7 +158,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    if args.output:
+    if getattr(args, "output", None):
         scaffold.write_all({args.output: text})
     else:
         sys.stdout.write(text)

@@ -65,3 +65,30 @@ def test_write_all_rolls_back(tmp_path):
     with pytest.raises(ValueError):
         scaffold.write_all({str(a): "new", str(b): "x"})
     assert a.read_text() == "old" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_init_new_and_templates(tmp_path, monkeypatch, spark, capsys):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "docs").mkdir()
+    assert cli.main(["init", "--preset", "small"], spark) == 0 and cli.main(["init", "--preset", "small"], spark) == 2
+    assert cli.main(["init", "--preset", "small", "--force"], spark) == 0
+    capsys.readouterr()
+    assert out(capsys, spark, "templates")[1] == "specification\ntests\n"
+    assert cli.main(["new", "specification", "-o", "docs/specification.md"], spark) == 0
+    assert cli.main(["new", "tests", "-o", "docs/tests.md", "--based-on", "docs/specification.md"], spark) == 0
+    assert "## V-1: Feature\n\n- S-1\n" in (tmp_path / "docs/tests.md").read_text()
+    capsys.readouterr()
+    assert "## S-2: More" in out(capsys, spark, "new", "specification", "--feature", "More", "--dry-run")[1]
+    assert out(capsys, spark, "gaps")[0] == 0
+    assert out(capsys, spark, "list", "--format", "tree")[1].startswith("docs/specification.md\n  S-1")
+
+
+def test_stream_checks_each_batch(tmp_path, spark):
+    from linkgraph.streaming.verify import verify_stream
+
+    schema = "path string, type string, id_pattern string, text string"
+    spark.createDataFrame([("a.md", "req", "R-{seq}", "## R-1\nR-9\n")], schema).write.parquet(str(tmp_path / "in"))
+    got = []
+    stream = verify_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["req"], ["R-{seq}"], lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"))
+    assert stream.awaitTermination(60)
+    assert [(r.kind, r.line) for r in got] == [("ref_undefined", 2)]
