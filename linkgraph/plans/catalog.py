@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from linkgraph.functions.idgrammar import natural_key, parent_id, seq_of
 from linkgraph.operators import graph as G
 from linkgraph.operators import text as T
+from linkgraph.operators import rules
+from linkgraph.sources import corpus as K
 from linkgraph.sources import relational as R
+from linkgraph.sources import rendered as M
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -234,3 +237,77 @@ def verify_tally(spark, sf_dir):
         own = rule(spark, sf_dir).select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
         issues = own if issues is None else issues.unionByName(own)
     return T.tally(issues)
+
+
+NATION_FILE = "printf('nation/%05d.md', n_nationkey)"
+CUSTOMER_FILE = "printf('customer/%012d.md', c_custkey)"
+
+
+@query("SELECT 'NAT-' || c_nationkey AS id, 'CUS-' || c_custkey AS owner, CAST(5 AS INTEGER) AS line FROM customer")
+def md_refs_roundtrip(spark, sf_dir):
+    return M.corpus(spark, sf_dir).refs.select("id", "owner", "line")
+
+
+@query(f"SELECT 'NAT-' || n_nationkey AS id, 'NAT' AS type, {NATION_FILE} AS path, CAST(3 AS INTEGER) AS line, CAST(2 AS INTEGER) AS level, n_name AS title FROM nation UNION ALL SELECT 'CUS-' || c_custkey, 'CUS', {CUSTOMER_FILE}, 3, 2, c_name FROM customer")
+def md_nodes(spark, sf_dir):
+    return M.corpus(spark, sf_dir).nodes.select("id", "type", "path", "line", "level", "title")
+
+
+@query("SELECT 'NAT-' || n_nationkey AS id, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'complete' ELSE 'missing' END AS status FROM nation")
+def md_coverage(spark, sf_dir):
+    return G.matrix_status(M.corpus(spark, sf_dir).graph).select("id", "status")
+
+
+@query(f"SELECT {NATION_FILE} AS path, CAST(2 AS INTEGER) AS level FROM nation UNION ALL SELECT {CUSTOMER_FILE}, 2 FROM customer")
+def primary_levels(spark, sf_dir):
+    heads = M.corpus(spark, sf_dir).headings.where(F.col("id").isNotNull())
+    return heads.groupBy("path").agg(F.min("level").alias("level"))
+
+
+@query("SELECT 'CUS-' || c_custkey AS owner, CAST(13 AS INTEGER) AS line, 'In debt.' AS text FROM customer WHERE c_acctbal < 0")
+def owner_attribution(spark, sf_dir):
+    return M.corpus(spark, sf_dir).prose.where(F.col("text") == "In debt.").select("owner", "line", "text")
+
+
+@query(f"SELECT {NATION_FILE} AS path, '## NAT-3: ' || n_name || chr(10) || chr(10) || 'A nation of region ' || n_regionkey || '.' || chr(10) AS body FROM nation WHERE n_nationkey = 3")
+def section_body(spark, sf_dir):
+    return K.section(M.corpus(spark, sf_dir), "NAT-3")
+
+
+SPECS = {"NAT": None, "CUS": {"required": ["Orders", "Account"], "order": True}}
+
+
+def sections(spark, sf_dir, kind):
+    return rules.required_sections(M.corpus(spark, sf_dir), SPECS).where(F.col("kind") == kind).select("file", "line", "severity")
+
+
+@query(f"SELECT {CUSTOMER_FILE} AS file, CAST(3 AS INTEGER) AS line, 'error' AS severity FROM customer WHERE c_custkey % 3 <> 0")
+def required_sections_missing(spark, sf_dir):
+    return sections(spark, sf_dir, "section_missing")
+
+
+@query(f"SELECT {CUSTOMER_FILE} AS file, CAST(3 AS INTEGER) AS line, 'warning' AS severity FROM customer WHERE c_custkey % 3 = 0")
+def required_sections_order(spark, sf_dir):
+    return sections(spark, sf_dir, "section_order")
+
+
+@query(f"SELECT {CUSTOMER_FILE} AS file, CAST(11 AS INTEGER) AS line, 'warning' AS severity FROM customer WHERE c_acctbal >= 0")
+def required_sections_empty(spark, sf_dir):
+    return sections(spark, sf_dir, "section_empty")
+
+
+@query(f"SELECT {CUSTOMER_FILE} AS file, CAST(5 AS INTEGER) AS line, 'dep_inverted' AS kind FROM customer")
+def dep_inverted(spark, sf_dir):
+    return rules.dep_order(M.corpus(spark, sf_dir, ("CUS", "NAT")), {}).select("file", "line", "kind")
+
+
+@query(f"SELECT {CUSTOMER_FILE} AS file, CAST(5 AS INTEGER) AS line, 'dep_undeclared' AS kind FROM customer WHERE NOT (c_custkey = 1)")
+def dep_undeclared(spark, sf_dir):
+    nations = [f"nation/{k:05d}.md" for k in range(25)]
+    return rules.dep_order(M.corpus(spark, sf_dir), {"customer/000000000001.md": nations}).select("file", "line", "kind")
+
+
+@query("SELECT n_regionkey AS region, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY 1")
+def search_in_sections(spark, sf_dir):
+    hits = T.search(M.corpus(spark, sf_dir).prose.where(F.col("type") == "NAT"), "A NATION of region")
+    return hits.groupBy(F.regexp_extract("text", r"(\d+)", 1).cast("int").alias("region")).agg(F.count("*").alias("n"))
