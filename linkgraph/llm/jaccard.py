@@ -14,7 +14,6 @@ texts of different components is lost, and a group of copies costs about as many
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +26,18 @@ from linkgraph.llm.common import written
 from linkgraph.llm.omh import _ODD, mix
 from linkgraph.llm.tokens import release
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Coordinates of a point; groups that corpus counts are kept for; points of a leaf; points of a block of an entry.
-DIMS, RARITY_BITS, LEAF, BLOCK = 128, 18, 32, 4096
+DIMS, RARITY_BITS, LEAF, BLOCK = 128, 16, 32, 4096
+#: Bits of a map of ids by which texts are screened before their sets are made; its size does not follow the input.
+ID_BITS = 22
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; of fewer words, the hash of all; of none, nothing."""
-    words = WORD.findall(text.translate(LOWER)) if text else []
+    words = text.encode().lower().split() if text else []  # of bytes: A-Z only, and white space of ASCII only
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(k, len(words))
     n = len(words) - size + 1
     out = np.full(n, size, np.uint64)
@@ -259,9 +257,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
             for s in range(0, batch.num_rows, 500):
                 out = []
                 for doc, text in zip(batch.column(0)[s : s + 500].to_pylist(), batch.column(1)[s : s + 500], strict=True):
-                    own = shingles(text.as_py(), k)
-                    out.append((doc, len(own), point(own), own.astype("<u8").tobytes()))
-                yield arrow("id n point set", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
+                    bit = doc % (1 << ID_BITS)
+                    if screen.value[bit >> 6] >> (bit & 63) & 1:
+                        own = shingles(text.as_py(), k)
+                        out.append((doc, len(own), point(own), own.astype("<u8").tobytes()))
+                if out:
+                    yield arrow("id n point set", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
 
     known = rows.where(F.col("doc_id").isNotNull())
     # one exchange, of 16 bytes a row, finds the entries that more than one id shares; a window over a hot entry spills
@@ -273,7 +274,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     several = written(shared.join(first.select("id"), "id", "left_semi").distinct())
     one_each = written(entry(several).groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
     members = written(several.join(one_each.select("cell", "size"), "cell"))
-    sets = written(known.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole, "id long, n long, point binary, set binary"))
+    bit = F.pmod("id", F.lit(1 << ID_BITS))
+    ids = members.select("id").distinct()
+    bitmap = [0] * (1 << (ID_BITS - 6))
+    # a row for each 64 bits of the map at most
+    for r in ids.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {1 << ID_BITS}) & 63 as int))")).alias("bits")).collect():
+        bitmap[r.w] = r.bits & 0xFFFFFFFFFFFFFFFF
+    screen = spark.sparkContext.broadcast(bitmap)
+    sets = written(known.mapInArrow(whole, "id long, n long, point binary, set binary").join(ids, "id", "left_semi"))
 
     def dealt(labels: DataFrame | None) -> DataFrame:
         """Members with their points and labels; an entry of one label goes, a large one is dealt to pairs of blocks."""

@@ -1,4 +1,5 @@
 import random
+import re
 
 from linkgraph.llm import jaccard
 
@@ -6,7 +7,7 @@ from linkgraph.llm import jaccard
 def brute(rows, k, num, den):
     sets = {}
     for i, t in rows:
-        w = jaccard.WORD.findall((t or "").translate(jaccard.LOWER))
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
     label = {i: i for i in sets}
     for a in sorted(sets):
@@ -23,7 +24,7 @@ def corpus(seed, n):
     vocabulary = [f"w{i}" for i in range(300)]
     base = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 20, 60, 90]))] for _ in range(12)]
     passage = [rng.choice(vocabulary) for _ in range(30)]
-    rows = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "One"), (1004, "ONE"), (1005, "é  a"), (1006, "É a")]
+    rows = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "One"), (1004, "ONE"), (1005, "é  a"), (1006, "É a"), (1007, "x\x0by\x0cz\x1cw\xa0v u"), (1008, "x y z\x1cw\xa0v U"), (1009, "x y z w v u")]
     for i in range(n):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 2, 4])):
