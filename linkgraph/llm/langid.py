@@ -38,7 +38,7 @@ BITS, WEIGHT, SWITCH, FOREIGN, USED = 15, 0.5, 8.0, 30.0, 0.01
 BUCKETS, GRAMS = 1 << BITS, (1, 2, 3, 4)
 #: Documents that a model is fitted on, about; chosen by a hash of id and text.
 TRAIN_DOCS = 20_000
-MEMO_WORDS, CELLS = 300_000, 2_000_000
+MEMO_WORDS, CELLS = 200_000, 1_000_000
 
 
 def script(word: str) -> str:
@@ -72,6 +72,7 @@ def fit(docs: DataFrame, train: Column, sample: int = TRAIN_DOCS) -> Model:
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             by_lang: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

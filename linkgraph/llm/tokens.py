@@ -17,7 +17,7 @@ import numpy as np
 CHUNK = re.compile(r"[^ \t\n\r]+")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
 #: Longer chunks are not remembered. When so many are, they become the old generation, and the one before it goes.
-MEMO_CHARS, MEMO_ENTRIES = 48, 500_000
+MEMO_CHARS, MEMO_ENTRIES = 48, 200_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
