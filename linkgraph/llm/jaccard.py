@@ -251,18 +251,29 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(cells))], names=["id", "cell"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                out = []
-                for doc, text in zip(batch.column(0)[s : s + 500].to_pylist(), batch.column(1)[s : s + 500], strict=True):
-                    bit = doc % (1 << ID_BITS)
-                    if screen.value[bit >> 6] >> (bit & 63) & 1:
-                        own = shingles(text.as_py(), k)
-                        out.append((doc, len(own), point(own), own.astype("<u8").tobytes()))
-                if out:
-                    yield arrow("id n point set", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
+    def screened(ids: DataFrame, with_set: bool) -> DataFrame:
+        """id, n and point or set of the texts whose id is in ``ids`` (a few others may be there too), written."""
+        bitmap = [0] * (1 << (ID_BITS - 6))
+        word = F.shiftright(F.pmod("id", F.lit(1 << ID_BITS)), 6)
+        # a row for each 64 bits of the map at most
+        for r in ids.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {1 << ID_BITS}) & 63 as int))")).alias("bits")).collect():
+            bitmap[r.w] = r.bits & 0xFFFFFFFFFFFFFFFF
+        screen = spark.sparkContext.broadcast(bitmap)
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            for batch in batches:
+                for s in range(0, batch.num_rows, 500):
+                    out = []
+                    for doc, text in zip(batch.column(0)[s : s + 500].to_pylist(), batch.column(1)[s : s + 500], strict=True):
+                        bit = doc % (1 << ID_BITS)
+                        if screen.value[bit >> 6] >> (bit & 63) & 1:
+                            own = shingles(text.as_py(), k)
+                            out.append((doc, len(own), own.astype("<u8").tobytes() if with_set else point(own)))
+                    if out:
+                        yield arrow("id n data", [pa.int64(), pa.int64(), pa.binary()], out)
+
+        return written(known.mapInArrow(make, "id long, n long, data binary"))
 
     known = rows.where(F.col("doc_id").isNotNull())
     # one exchange, of 16 bytes a row, finds the entries that more than one id shares; a window over a hot entry spills
@@ -274,14 +285,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     several = written(shared.join(first.select("id"), "id", "left_semi").distinct())
     one_each = written(entry(several).groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
     members = written(several.join(one_each.select("cell", "size"), "cell"))
-    bit = F.pmod("id", F.lit(1 << ID_BITS))
-    ids = members.select("id").distinct()
-    bitmap = [0] * (1 << (ID_BITS - 6))
-    # a row for each 64 bits of the map at most
-    for r in ids.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {1 << ID_BITS}) & 63 as int))")).alias("bits")).collect():
-        bitmap[r.w] = r.bits & 0xFFFFFFFFFFFFFFFF
-    screen = spark.sparkContext.broadcast(bitmap)
-    sets = written(known.mapInArrow(whole, "id long, n long, point binary, set binary").join(ids, "id", "left_semi"))
+    points = screened(members.select("id"), False).withColumnRenamed("data", "point")
 
     def dealt(labels: DataFrame | None) -> DataFrame:
         """Members with their points and labels; an entry of one label goes, a large one is dealt to pairs of blocks."""
@@ -293,11 +297,16 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         spread = own.select("cell", "id", "label", "block", other.alias("o")).select("cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "id", "label")
-        return spread.join(sets.select("id", "n", "point"), "id").select("cell", "i", "j", "side", "id", "n", "point", "label")
+        return spread.join(points, "id").select("cell", "i", "j", "side", "id", "n", "point", "label")
+
+    def verified(labels: DataFrame | None) -> DataFrame:
+        pairs = written(candidates(dealt(labels), num, den, labels is not None))
+        sets = screened(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), True)
+        return written(verify(pairs, sets.select("id", F.col("data").alias("set")), num, den))
 
-    links = written(verify(candidates(dealt(None), num, den, False), sets, num, den))
+    links = verified(None)
     labels = components(links)
-    more = written(verify(candidates(dealt(labels), num, den, True), sets, num, den))
+    more = verified(labels)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = first.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))
