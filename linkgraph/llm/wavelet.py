@@ -43,9 +43,9 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (x >> x.dtype.type(b)) & x.dtype.type(1) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = x[~one]
+            low = np.flatnonzero(~one)  # places cost far less than a mask where bits are mixed
             zeros.append(len(low))
-            x = np.concatenate([low, x[one]])
+            x = np.concatenate([x.take(low), x.take(np.flatnonzero(one))])
         return cls(len(ids), planes, zeros)
 
     @property
@@ -133,7 +133,7 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~one], y[one] = x[: self.zeros[level]], x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            y[np.flatnonzero(~one)], y[np.flatnonzero(one)] = x[: self.zeros[level]], x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             x = y
         return x
 
