@@ -13,8 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks between ASCII white space, and those that are one run of letters (whose lower case is as long) and of marks.
-CHUNK = re.compile(r"[^ \t\n\r]+")
+#: Chunks that are one run of letters (whose lower case is as long) and of marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
 #: Longer chunks are not remembered. When so many are, they become the old generation, and the one before it goes.
 MEMO_CHARS, MEMO_ENTRIES = 48, 200_000
@@ -45,20 +44,27 @@ class Encoder(dict):
 
     def learn(self, chunks: list[str]) -> None:
         """Remembers new chunks. Words are encoded together and told apart by the tokens that end a word."""
-        split = {c: (m[1].lower(), m[2]) for c in chunks if (m := PLAIN.fullmatch(c))}
-        words = [w for w in {w for w, _ in split.values()} if w not in self]
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.asarray(x.ids, "<u4") for x in self.light.encode_batch_fast([" ".join(words[k : k + 500]) for k in range(0, len(words), 500)], add_special_tokens=False))])
+        split, bare = {}, []
+        for c in chunks:
+            if c.isascii() and c.isalpha() and c.islower():
+                bare.append(c)
+            elif m := PLAIN.fullmatch(c):
+                split[c] = m[1].lower(), m[2]
+            else:
+                self[c] = self.encode(c)
+        words = [w for w in set(bare).union([w for w, _ in split.values()]) if w not in self]
+        lines = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+        ids = np.array([i for x in self.light.encode_batch_fast(lines, add_special_tokens=False) for i in x.ids], "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(words) and (not len(ids) or ends[-1] == len(ids)):
-            data, at = ids.astype("<u4").tobytes(), 0
+            data, at = ids.tobytes(), 0
             for w, end in zip(words, (4 * ends).tolist(), strict=True):
                 self[w] = data[at:end]
                 at = end
         else:
-            split = {}
-        for c in chunks:
-            if c not in split:
+            for c in [*bare, *split]:
                 self[c] = self.encode(c)
+            split = {}
         for c, (w, marks) in split.items():
             if marks and marks not in self:
                 self[marks] = self.encode(marks)
@@ -69,7 +75,8 @@ class Encoder(dict):
         if len(self) > MEMO_ENTRIES:
             self.old = dict(self)
             self.clear()
-        split = [CHUNK.findall(t) if t else [] for t in texts]
+        self[""] = b""  # stands between neighbouring white space
+        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         new = [c for c in set().union(*split) if c not in self]
         for c in new:
             if c in self.old:
