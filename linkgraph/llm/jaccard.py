@@ -160,23 +160,27 @@ def candidates(members: DataFrame, num: int, den: int, all_pairs: bool) -> DataF
     return members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(search, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
+def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold. Texts take far fewer bytes in an exchange than sets of hashes."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        last, y = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            for at in range(0, batch.num_rows, 100):  # sets are large: a few are copied at a time
+            for at in range(0, batch.num_rows, 100):  # texts may be long: a few are copied at a time
                 part = batch.slice(at, 100)
-                for a, b, x, y in zip(*(part.column(k).to_pylist() for k in ("a", "b", "x", "y")), strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                for a, b, s, t in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                    x = shingles(s, k)
+                    if t != last:  # rows of one b mostly follow one another
+                        last, y = t, shingles(t, k)
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * same >= num * (len(x) + len(y) - same):
+                    if same and den * same >= num * (len(x) + len(y) - same):  # two empty texts link nothing
                         out.append((a, b))
             if out:
                 yield arrow("a b", [pa.int64(), pa.int64()], out)
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -253,8 +257,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(cells))], names=["id", "cell"])
 
-    def screened(ids: DataFrame, with_set: bool) -> DataFrame:
-        """id, n and point or set of the texts whose id is in ``ids`` (a few others may be there too), written."""
+    def screened(ids: DataFrame, whole: bool) -> DataFrame:
+        """id, n and point, or id and whole text, of the texts whose id is in ``ids`` (a few others may be there too), written."""
         bitmap = [0] * (1 << (ID_BITS - 6))
         word = F.shiftright(F.pmod("id", F.lit(1 << ID_BITS)), 6)
         # a row for each 64 bits of the map at most
@@ -270,12 +274,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                     for doc, text in zip(batch.column(0)[s : s + 500].to_pylist(), batch.column(1)[s : s + 500], strict=True):
                         bit = doc % (1 << ID_BITS)
                         if screen.value[bit >> 6] >> (bit & 63) & 1:
-                            own = shingles(text.as_py(), k)
-                            out.append((doc, len(own), own.astype("<u8").tobytes() if with_set else point(own)))
+                            own = None if whole else shingles(text.as_py(), k)
+                            out.append((doc, text.as_py()) if whole else (doc, len(own), point(own)))
                     if out:
-                        yield arrow("id n data", [pa.int64(), pa.int64(), pa.binary()], out)
+                        yield arrow("id text", [pa.int64(), pa.string()], out) if whole else arrow("id n point", [pa.int64(), pa.int64(), pa.binary()], out)
 
-        return written(known.mapInArrow(make, "id long, n long, data binary"))
+        return written(known.mapInArrow(make, "id long, text string" if whole else "id long, n long, point binary"))
 
     known = rows.where(F.col("doc_id").isNotNull())
     # one exchange, of 16 bytes a row, finds the entries that more than one id shares; a window over a hot entry spills
@@ -287,7 +291,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     several = written(shared.join(first.select("id"), "id", "left_semi").distinct())
     one_each = written(entry(several).groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
     members = written(several.join(one_each.select("cell", "size"), "cell"))
-    points = screened(members.select("id"), False).withColumnRenamed("data", "point")
+    points = screened(members.select("id"), False)
 
     def dealt(labels: DataFrame | None) -> DataFrame:
         """Members with their points and labels; an entry of one label goes, a large one is dealt to pairs of blocks."""
@@ -303,8 +307,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     def verified(labels: DataFrame | None) -> DataFrame:
         pairs = written(candidates(dealt(labels), num, den, labels is not None))
-        sets = screened(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), True)
-        return written(verify(pairs, sets.select("id", F.col("data").alias("set")), num, den))
+        texts = screened(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), True)
+        return written(verify(pairs, texts, k, num, den))
 
     links = verified(None)
     labels = components(links)

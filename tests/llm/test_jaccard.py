@@ -53,3 +53,11 @@ def test_empty_table_and_dedupe(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, None, "z"), (None, "q", "w"), (4, "A b c d e f g", "v")]
     kept = jaccard.dedupe(spark.createDataFrame(rows, "doc_id long, text string, label string"))
     assert {r.doc_id for r in kept.collect()} == {1, 2, None}
+
+
+def test_null_texts_beside_others_of_their_id_link_nothing(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    near = " ".join(f"w{i}" for i in range(34)) + " x y z u v w"  # a candidate, but no link
+    rows = [(1, base), (1, None), (2, near), (2, None)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == {(1, 1), (2, 2)}
