@@ -3,6 +3,8 @@
 Numbers, names and units become typed placeholders, so a question keeps its template when it is asked again with other
 values. Windows of template words are hash-joined between documents and benchmark items. A document holds an item if
 enough of the item's windows match and the slots agree: one value of the item always stands for one value in the text.
+Held by window, a window counts if its slots have the item's own values, or agree with what each value of the item
+mostly stands for in that placement; the windows in conflict drop out alone.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ def hashes(words: list[str], length: int) -> np.ndarray:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, windows (how many the item has), size, pos, h and the slot values in the window.
+    """item_id, windows (how many the item has), size, pos, h, the slot values in the window and their places.
 
     An item of fewer words has one window, itself; null items and items without words have none.
     """
@@ -87,19 +89,20 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 size = min(window, len(words))
                 if size:
                     own = hashes(words, size).view(np.int64).tolist()
-                    rows += [(item, len(own), size, i, h, [v for p, v in slots if i <= p < i + size]) for i, h in enumerate(own)]
+                    rows += [(item, len(own), size, i, h, [v for p, v in slots if i <= p < i + size], [p for p, _ in slots if i <= p < i + size]) for i, h in enumerate(own)]
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "windows", "size", "ipos", "h", "islots"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "windows", "size", "ipos", "h", "islots", "iplaces"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "item_id long, windows int, size int, ipos int, h long, islots array<string>")
+    return rows.mapInArrow(cut, "item_id long, windows int, size int, ipos int, h long, islots array<string>, iplaces array<int>")
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, by_window: bool = False) -> DataFrame:
     """One row for each document and benchmark item in it: doc_id, item_id, found and windows (counts), reworded.
 
-    ``reworded`` tells whether some slot holds another value than the item's. Rows that share a doc_id are searched one
+    A value of the item that stands for two values in the text drops the whole placement, or with ``by_window`` only the
+    windows in conflict; two values of the item may become equal. ``reworded`` tells whether some slot holds another value than the item's. Rows that share a doc_id are searched one
     by one and reported together; null or empty texts and items, and empty tables, give no rows; other columns of
     either table are ignored.
     """
@@ -141,17 +144,28 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ours = rows.mapInArrow(screen, "doc_id long, row long, size int, pos int, h long, slots array<string>")
     met = ours.join(theirs, ["h", "size"]).where(F.size("slots") == F.size("islots")).withColumn("shift", F.col("pos") - F.col("ipos"))
-    # slots agree within one placement of the item if values pair up one to one
-    pairs = F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b"))
-    placed = met.groupBy("doc_id", "row", "item_id", "windows", "shift").agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
-    agreed = placed.where((one("a") == F.size("pairs")) & (one("b") == F.size("pairs")))
-    held = agreed.groupBy("doc_id", "row", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"), F.max(F.exists("pairs", lambda x: x["a"] != x["b"])).alias("reworded"))
+    # a placement's windows, each with the mentions in it: place in the item, item value and text value
+    mentions = F.arrays_zip(F.col("iplaces").alias("p"), F.col("islots").alias("a"), F.col("slots").alias("b"))
+    placed = met.groupBy("doc_id", "row", "item_id", "windows", "shift").agg(F.collect_set(F.struct("ipos", mentions.alias("pairs"))).alias("met"))
+    pair = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
+    placed = placed.withColumn("mentions", F.array_distinct(F.flatten("met.pairs"))).withColumn("pairs", F.array_distinct(F.transform("mentions", pair)))
+    agreed = F.size(F.array_distinct("pairs.a")) == F.size("pairs")
+    if by_window:
+        # (mentions that say so, whether it is the item's own value, pair), the most frequent of each item value
+        votes = F.transform("pairs", lambda x: F.struct(F.size(F.filter("mentions", lambda y: pair(y) == x)).alias("n"), (x["a"] == x["b"]).alias("same"), x.alias("pair")))
+        best = F.transform(F.array_distinct("pairs.a"), lambda a: F.array_max(F.filter(votes, lambda v: v["pair"]["a"] == a))["pair"])
+        ruled = placed.withColumn("usual", F.when(agreed, F.col("pairs")).otherwise(best))
+        own = lambda w: F.forall(w["pairs"], lambda x: x["a"] == x["b"])
+        kept = ruled.withColumn("met", F.filter("met", lambda w: own(w) | (F.size(F.array_except(F.transform(w["pairs"], pair), F.col("usual"))) == 0)))
+    else:
+        kept = placed.where(agreed)
+    reworded = F.exists("met", lambda w: F.exists(w["pairs"], lambda x: x["a"] != x["b"]))
+    held = kept.groupBy("doc_id", "row", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("met.ipos")))).alias("found"), F.max(reworded).alias("reworded"))
     enough = held.where((F.col("found") >= share * F.col("windows")) & (F.col("found") >= F.least(F.lit(least), "windows")))
     return enough.groupBy("doc_id", "item_id").agg(F.max("found").alias("found"), F.max("windows").alias("windows"), F.max("reworded").alias("reworded"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, by_window: bool = False) -> DataFrame:
     """The documents that hold no benchmark item; those with a null doc_id stay."""
-    held = find(docs, items).select("doc_id").distinct()
+    held = find(docs, items, by_window=by_window).select("doc_id").distinct()
     return docs.join(held, "doc_id", "left_anti").select(*docs.columns)

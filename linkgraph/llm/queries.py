@@ -50,7 +50,7 @@ def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), by_window=True)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
