@@ -26,7 +26,7 @@ BUCKETS = 1 << BITS
 #: Lengths of the character n-grams, and the number of training texts from which on one has an embedding.
 GRAMS, LEAST_TEXTS = (4, 5, 6, 7), 8
 #: Labelled texts of each class that the model is fitted and calibrated on, at most; chosen by a hash of id and text.
-TRAIN_EACH = 1500
+TRAIN_EACH = 3000
 EPOCHS, BATCH, RATE, SEED, CALIBRATE_EACH = 6, 32, 0.01, 7, 10
 
 
