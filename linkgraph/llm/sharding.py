@@ -38,15 +38,16 @@ def directory(rows: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
     return leaves.select("leaf").join(fitting, "leaf", "left").select("leaf", "s.*")
 
 
-def shard(docs: DataFrame, limit: int = LIMIT_BYTES, keys: tuple[str, ...] = ("doc_id",), weight: Column | None = None) -> DataFrame:
-    """The key columns, n_bytes, depth, shard (prefix bits as text), page and shard_bytes of every row.
+def shard(docs: DataFrame, limit: int = LIMIT_BYTES, keys: tuple[str, ...] = ("doc_id",), weight: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The key columns, those of ``carry``, n_bytes, depth, shard (prefix bits as text), page and shard_bytes of every row.
 
     No shard holds more than ``limit`` bytes, except one row that alone is larger: it gets a shard of its own. Rows of
     one key value cannot be told apart by its hash; if they are too large together, they go on overflow pages of that
     shard (page 1 and up; 0 elsewhere). A null text weighs nothing; an empty table gives no rows.
     """
     weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") if weight is None else weight
-    rows = written(docs.select(*keys, key_hash(*keys).alias("h"), weight.alias("bytes"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")))
+    given, keys = keys, (*keys, *carry)
+    rows = written(docs.select(*keys, key_hash(*given).alias("h"), weight.alias("bytes"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")))
     single = rows.where(F.col("bytes") > limit)
     left = rows.where(F.col("bytes") <= limit)
     total = left.agg(F.sum("bytes")).first()[0] or 0
@@ -91,9 +92,10 @@ def overflow(rows: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, key: str = "doc_id") -> None:
     """Writes each shard as a folder ``shard=.../page=...``; the rows of a shard meet in one task, so in one file."""
-    places = shard(docs, limit, (key,)).select(key, "shard", "page").distinct()
-    named = docs.drop("shard", "page").join(places, docs[key].eqNullSafe(places[key])).drop(places[key])
-    named.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    docs = docs.drop("shard", "page")
+    row = docs.select(F.col(key).alias("key"), F.struct(*docs.columns).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("weight"))
+    placed = shard(row, limit, ("key",), F.col("weight"), carry=("row",))  # whole rows, so that each is written once
+    placed.select("row.*", "shard", "page").repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
 
 
 def oracle(limit: int = LIMIT_BYTES) -> str:
