@@ -103,7 +103,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     split = lambda s: [x.strip() for x in (s or "").split(",") if x.strip()]
     if args.command == "verify":
         only = split(args.rules) or [n for n, o in config.rules.items() if o["enabled"]]
-        options = {"id_uniqueness": {"check_sequence": config.rules["id_uniqueness"]["check_sequence"]}, "term_consistency": {"kind": config.rules["term_consistency"]["glossary_type"]}, "dep_order": {"depends": config.depends()}}
+        options = {"id_uniqueness": {"check_sequence": config.rules["id_uniqueness"]["check_sequence"]}, "term_consistency": {"kind": config.rules["term_consistency"]["glossary_type"]}, "dep_order": {"depends": config.depends(), "empty": config.empty_globs()}}
         if "required_sections" in only:
             options["required_sections"] = {"specs": C.section_specs(config)}
         text, bad = render.verification(rules.verify(corpus, options, only, args.strict), args.format)

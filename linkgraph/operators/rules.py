@@ -121,10 +121,11 @@ def term_consistency(corpus: Corpus, kind: str = "glossary") -> DataFrame:
     return out
 
 
-def dep_order(corpus: Corpus, depends: dict[str, list[str]]) -> DataFrame:
-    """References against the declared order of files: undeclared, inverted, missing files, and cycles.
+def dep_order(corpus: Corpus, depends: dict[str, list[str]], empty: dict[str, list[str]] | None = None) -> DataFrame:
+    """References against the declared order of files: undeclared, inverted, missing files, globs without files, and cycles.
 
-    ``depends`` is the declaration of the project (file -> files it depends on), so small and on the driver.
+    ``depends`` is the declaration of the project (file -> files it depends on), so small and on the driver; ``empty``
+    has the globs of it that match nothing.
     """
     spark = corpus.docs.sparkSession
     order = {t: i for i, t in reversed([*enumerate(corpus.chain)])}
@@ -152,6 +153,8 @@ def dep_order(corpus: Corpus, depends: dict[str, list[str]]) -> DataFrame:
     declared = spark.createDataFrame([(f, g) for f, gs in depends.items() for g in gs] or [("", "")], "path string, target string").where("path <> ''")
     absent = declared.join(have.withColumnRenamed("path", "target"), "target", "left_anti").join(have, "path", "left_semi")
     out = out.unionByName(issues(absent, "dep_order", "dep_missing", F.concat("target", F.lit(" does not exist")), ERROR, F.lit(1)))
+    globs = spark.createDataFrame([(f, g) for f, gs in (empty or {}).items() for g in gs] or [("", "")], "path string, target string").where("path <> ''").join(have, "path", "left_semi")
+    out = out.unionByName(issues(globs, "dep_order", "dep_glob_empty", F.concat("target", F.lit(" matches no file")), WARNING, F.lit(1)))
     looped = spark.createDataFrame([(f,) for f in depends if f in reach(f)] or [("",)], "path string").where("path <> ''").join(have, "path", "left_semi")
     return out.unionByName(issues(looped, "dep_order", "dep_cycle", F.concat("path", F.lit(" depends on itself")), WARNING, F.lit(1)))
 

@@ -56,6 +56,10 @@ class Config:
         """file -> files it depends on; globs become the files they match."""
         return {s.path: [f for d in s.depends_on for f in (expand(self.base, d) if is_glob(self.base, d) else [d])] for s in self.files}
 
+    def empty_globs(self) -> dict[str, list[str]]:
+        """file -> globs of its dependencies that match no file."""
+        return {s.path: own for s in self.files if (own := [d for d in s.depends_on if is_glob(self.base, d) and not expand(self.base, d)])}
+
 
 def is_glob(base: str, path: str) -> bool:
     """Whether a path has glob characters and is not the name of a file that exists."""
