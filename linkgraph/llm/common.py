@@ -36,5 +36,6 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % folds, F.lit(0))
 
 
-def crc_u32(data: bytes) -> int:
+def crc_u32(data) -> int:
+    """Of bytes, or of the bytes of a contiguous array."""
     return zlib.crc32(data) & 0xFFFFFFFF

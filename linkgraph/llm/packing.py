@@ -31,15 +31,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, end, met = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
+        part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    size = len(own) // 4
-                    rows.append((doc, k, at // 4, size, crc_u32(own), part, int(met[size])))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id), strict=True):
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    size = len(own)
+                    rows.append((doc, k, at, size, crc_u32(own), part, int(met[size])))
                     met[size] += 1
             if rows:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]

@@ -22,8 +22,8 @@ from linkgraph.llm.common import crc_u32, scratch
 from linkgraph.llm.tokens import encoded
 
 MAGIC = b"WMX1"
-#: Bits of one block of the rank directory.
-BLOCK = 512
+#: Bits of one block of the rank directory, and ids that are dealt to the next level at a time, for the cache's sake.
+BLOCK, PART = 512, 1 << 16
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, shard binary"
 #: Ids that a shard gathers before it is closed; the last document of a shard is never cut.
 SHARD_TOKENS = 1 << 21
@@ -39,13 +39,21 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
         planes, zeros = [], []
-        x = ids
+        x, y = ids.copy(), np.empty_like(ids)
         for b in range(bits - 1, -1, -1):
-            one = (x >> x.dtype.type(b)) & x.dtype.type(1) != 0
+            one = x & x.dtype.type(1 << b) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = np.flatnonzero(~one)  # places cost far less than a mask where bits are mixed
-            zeros.append(len(low))
-            x = np.concatenate([x.take(low), x.take(np.flatnonzero(one))])
+            low, high = 0, len(x) - int(np.count_nonzero(one))
+            zeros.append(high)
+            for a in range(0, len(x), PART):  # places cost far less than a mask where bits are mixed
+                own, part = one[a : a + PART], x[a : a + PART]
+                at = np.flatnonzero(~own)
+                y[low : low + len(at)] = part.take(at)
+                low += len(at)
+                at = np.flatnonzero(own)
+                y[high : high + len(at)] = part.take(at)
+                high += len(at)
+            x, y = y, x
         return cls(len(ids), planes, zeros)
 
     @property
@@ -129,12 +137,19 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        x = np.zeros(self.n, kind)
+        x, y = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            y = np.empty_like(x)
-            y[np.flatnonzero(~one)], y[np.flatnonzero(one)] = x[: self.zeros[level]], x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
-            x = y
+            low, high, bit = 0, self.zeros[level], kind(1 << (self.bits - 1 - level))
+            for a in range(0, self.n, PART):
+                own, part = one[a : a + PART], y[a : a + PART]
+                at = np.flatnonzero(~own)
+                part[at] = x[low : low + len(at)]
+                low += len(at)
+                at = np.flatnonzero(own)
+                part[at] = x[high : high + len(at)] | bit
+                high += len(at)
+            x, y = y, x
         return x
 
 
@@ -174,18 +189,17 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, seq = TaskContext.get().partitionId(), 0
         ids, sizes, data, total = [], [], [], 0
 
         def shard():
-            blob = pack(ids, sizes, np.frombuffer(b"".join(data), "<u4"))
+            blob = pack(ids, sizes, np.concatenate(data))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for doc, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer), strict=True):
-                got += end
-                ids.append(doc), sizes.append(len(got) // 4), data.append(got)
-                total += len(got) // 4
+            for doc, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id), strict=True):
+                ids.append(doc), sizes.append(len(got)), data.append(got)
+                total += len(got)
                 if total >= shard_tokens:
                     yield shard()
                     ids, sizes, data, total, seq = [], [], [], 0, seq + 1
@@ -211,7 +225,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 docs, sizes, matrix = unpack(blob)
                 ids, ends = matrix.decode().astype("<u4"), np.cumsum(sizes)
                 starts = ends - sizes
-                crcs = [crc_u32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                crcs = [crc_u32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int32()), pa.array([seq] * len(docs), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "part", "seq", "at", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
