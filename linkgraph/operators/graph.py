@@ -2,6 +2,8 @@
 
 nodes: id, type, path, line, level, title, pos. edges: src, dst, kind ('reference' or 'containment'), from the
 identifier that is mentioned to the one whose section mentions it. kids: parent, child of the heading tree, or None.
+typed: the references with the types of both ends where a source knows them (src, dst, src_type, dst_type; a pair may
+be repeated), else None. All identifiers of a file have its type.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ class LinkGraph:
     edges: DataFrame
     chain: list[str]
     kids: DataFrame | None = None
+    typed: DataFrame | None = None
 
 
 def first_wins(rows: DataFrame, key: str = "id", order: str = "pos") -> DataFrame:
@@ -63,7 +66,9 @@ def descendants(graph: LinkGraph) -> DataFrame:
 
 
 def typed_references(graph: LinkGraph) -> DataFrame:
-    """src, dst, dst_type of the reference edges."""
+    """src, dst, dst_type of the reference edges; pairs may be repeated if the source knows the types."""
+    if graph.typed is not None:
+        return graph.typed.where("src <> dst").select("src", "dst", "dst_type")
     types = graph.nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"))
     return graph.edges.where(F.col("kind") == REFERENCE).join(types, "dst").select("src", "dst", "dst_type")
 
@@ -85,23 +90,30 @@ def stage_of(graph: LinkGraph, start: str | None) -> int:
 
 def roots(graph: LinkGraph, start: str) -> DataFrame:
     """Nodes of a type on the primary level of their file, which is the least level of an identifier there."""
-    primary = graph.nodes.groupBy("path").agg(F.min("level").alias("level"))
-    return graph.nodes.where(F.col("type") == start).join(primary, ["path", "level"]).select("id", "pos", "path", "line", "title")
+    own = graph.nodes.where(F.col("type") == start)
+    primary = own.groupBy("path").agg(F.min("level").alias("level"))
+    return own.join(primary, ["path", "level"]).select("id", "pos", "path", "line", "title")
 
 
-def all_full(graph: LinkGraph, links: DataFrame, stage: int) -> DataFrame:
-    """id, full for the nodes of a stage: whether every walk from it reaches the last type, without listing walks."""
-    last = len(graph.chain) - 1
-    full = graph.nodes.where(F.col("type") == graph.chain[last]).select("id", F.lit(True).alias("full"))
+def all_full(graph: LinkGraph, links: DataFrame, stage: int) -> dict[int, DataFrame]:
+    """By stage, from the last but one down to ``stage``: id, full (whether every walk from it reaches the last type).
+
+    No walk is listed. An identifier without a link to the next type is not there; it counts as not full. What links to
+    the last type is full, so the last type needs no table.
+    """
+    last, out = len(graph.chain) - 1, {}
     for k in range(last - 1, stage - 1, -1):
-        full = next_full(links, graph.chain[k + 1], full, graph.nodes.where(F.col("type") == graph.chain[k]).select("id")).select("id", F.coalesce("full", F.lit(False)).alias("full"))
-    return full
+        out[k] = next_full(links, graph.chain[k + 1], out.get(k + 1))
+    return out
 
 
-def next_full(links: DataFrame, kind: str, full: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, full over the links to the next type; null where there is no such link."""
-    steps = links.where(F.col("dst_type") == kind).join(full.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("full").alias("full"))
-    return ids.join(steps, ids.id == steps.src, "left").select("id", "full")
+def next_full(links: DataFrame, kind: str, full: DataFrame | None) -> DataFrame:
+    """id, full over its links to a type, of which ``full`` tells (None: all are)."""
+    steps = links.where(F.col("dst_type") == kind)
+    if full is None:
+        return steps.select(F.col("src").alias("id")).distinct().withColumn("full", F.lit(True))
+    ends = full.select(F.col("id").alias("dst"), "full")
+    return steps.join(ends, "dst", "left").groupBy(F.col("src").alias("id")).agg(F.min(F.coalesce("full", F.lit(False))).alias("full"))
 
 
 def matrix_status(graph: LinkGraph, start: str | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -114,14 +126,13 @@ def matrix_status(graph: LinkGraph, start: str | None = None, only: DataFrame |
         one = F.lit(1).cast("long")
         return top.select("id", one.alias("leaves"), one.alias("covered"), F.lit(0).cast("long").alias("partly"), F.lit(COMPLETE).alias("status"))
     links, refs = folded(graph), typed_references(graph)
-    full = all_full(graph, links, stage + 1)
+    own = next_full(refs, graph.chain[stage + 1], all_full(graph, links, stage + 1).get(stage + 1))
     if graph.kids is None:
-        verdicts = next_full(refs, graph.chain[stage + 1], full, top).select("id", F.col("full").alias("verdict"))
+        verdicts = top.join(own, "id", "left").select("id", F.col("full").alias("verdict"))
     else:
         tree = descendants(graph)
         parents = graph.kids.select(F.col("parent").alias("id")).distinct()
         leaves = tree.join(top.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select(F.col("ancestor").alias("root"), "id").join(parents, "id", "left_anti")
-        own = next_full(refs, graph.chain[stage + 1], full, graph.nodes.select("id")).where(F.col("full").isNotNull())
         below_root = tree.select("ancestor", F.col("id").alias("leaf"), "depth")
         inside = tree.select(F.col("ancestor").alias("root"), F.col("id").alias("ancestor"))
         lineage = leaves.withColumnRenamed("id", "leaf").join(below_root, "leaf").join(inside, ["root", "ancestor"])
@@ -146,7 +157,7 @@ def matrix_summary(rows: DataFrame) -> DataFrame:
 def matrix_paths(graph: LinkGraph, start: str | None = None) -> DataFrame:
     """id, path: every walk from a root, one type of the chain a step; a broken walk is shorter, an empty one is dropped."""
     stage = stage_of(graph, start)
-    links = folded(graph)
+    links = folded(graph).distinct()
     walks = roots(graph, graph.chain[stage]).select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("path"))
     for kind in graph.chain[stage + 1 :]:
         step = links.where(F.col("dst_type") == kind).select("src", "dst")
@@ -168,15 +179,26 @@ def gaps(graph: LinkGraph, start: str | None = None) -> DataFrame:
 
 
 def broken_branches(graph: LinkGraph, start: str | None = None) -> DataFrame:
-    """id, branch, missing: walks that end before the last type, and roots without any walk, as text."""
+    """id, branch, missing: walks that end before the last type, and roots without any walk, as text.
+
+    Walks begin at roots with a gap and go on to identifiers that are not full only, so complete walks are never made.
+    """
     stage = stage_of(graph, start)
     rest = graph.chain[stage + 1 :]
-    top = gaps(graph, start).select("id")
-    walks = matrix_paths(graph, start)
-    none = top.join(walks.select("id").distinct(), "id", "left_anti").select("id", F.array().cast("array<string>").alias("path"))
-    short = walks.where(F.size("path") < len(rest)).join(top, "id", "left_semi").unionByName(none).distinct()
+    links = folded(graph).distinct()
+    full = all_full(graph, links, stage + 1)
+    walks = gaps(graph, start).select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("path"))
+    ended = None
+    for k, kind in enumerate(rest, stage + 1):
+        steps = links.where(F.col("dst_type") == kind).select("src", "dst")
+        over = walks.join(steps.select(F.col("src").alias("at")).distinct(), "at", "left_anti").select("id", "path")
+        ended = over if ended is None else ended.unionByName(over)
+        if k not in full:
+            break
+        open_ends = steps.join(full[k].where("full").select(F.col("id").alias("dst")), "dst", "left_anti")
+        walks = walks.join(open_ends, walks.at == open_ends.src).select("id", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
     missing = F.element_at(F.array(*(F.lit(x) for x in rest)), F.size("path") + 1)
-    return short.select("id", F.concat_ws(" -> ", F.concat(F.array("id"), "path")).alias("branch"), missing.alias("missing"))
+    return ended.distinct().select("id", F.concat_ws(" -> ", F.concat(F.array("id"), "path")).alias("branch"), missing.alias("missing"))
 
 
 def impact(graph: LinkGraph, start: str, depth: int = 0) -> DataFrame:
@@ -187,12 +209,16 @@ def impact(graph: LinkGraph, start: str, depth: int = 0) -> DataFrame:
     """
     if depth < 0:
         raise ValueError("depth must not be negative")
-    stages = {t: i for i, t in enumerate(graph.chain)}
-    number = F.coalesce(*(F.when(F.col("type") == t, F.lit(i)) for t, i in stages.items()), F.lit(-1))
-    types = graph.nodes.select("id", number.alias("own"))
-    targets = graph.edges.join(types.select(F.col("id").alias("dst"), F.col("own").alias("to")), "dst")
-    steps = targets.join(types.select(F.col("id").alias("src"), (F.col("own") >= 0).cast("int").alias("chained")), "src").select("src", "dst", "to", "chained")
-    found = written(types.where(F.col("id") == start).select("id", F.col("own").alias("stage"), F.lit(0).alias("distance")))
+    number = lambda kind: F.coalesce(*(F.when(F.col(kind) == t, F.lit(i)) for t, i in stages.items()), F.lit(-1))
+    stages = {t: i for i, t in reversed([*enumerate(graph.chain)])}
+    types = graph.nodes.select("id", "type")
+    if graph.typed is not None:
+        typed = graph.typed.where("src <> dst")
+    else:
+        typed = graph.edges.join(types.toDF("dst", "dst_type"), "dst").join(types.toDF("src", "src_type"), "src")
+    # written once: each round reads src, dst and two numbers of it
+    steps = written(typed.select("src", "dst", number("dst_type").alias("to"), (number("src_type") >= 0).cast("int").alias("chained")))
+    found = written(types.where(F.col("id") == start).select("id", number("type").alias("stage"), F.lit(0).alias("distance")))
     if found.isEmpty():
         raise ValueError(f"{start} is not defined")
     frontier, far = found, 0

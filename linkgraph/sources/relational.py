@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.operators.graph import REFERENCE, LinkGraph, first_wins
+from linkgraph.operators.graph import REFERENCE, LinkGraph
 
 #: type -> (table, key columns, title column); the first five are the chain, parts and suppliers stand beside it.
 TYPES = {
@@ -29,34 +29,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def definitions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES)) -> DataFrame:
     """id, type, path, line, level, title, pos of every row, duplicates kept; the key stands for document order."""
     out = None
-    for no, kind in enumerate(TYPES):
+    for kind in TYPES:
         if kind not in kinds:
             continue
-        name, keys, title = TYPES[kind]
-        place = F.array(F.lit(no).cast("long"), *(F.col(k).cast("long") for k in keys))
-        rows = table(spark, sf_dir, name).select(ident(kind, *keys).alias("id"), F.lit(kind).alias("type"), F.lit(name).alias("path"), F.col(keys[-1]).cast("int").alias("line"), F.lit(2).alias("level"), F.col(title).alias("title"), place.alias("pos"))
+        rows = described(table(spark, sf_dir, TYPES[kind][0]), kind)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES)) -> DataFrame:
-    """src (mentioned), dst (mentioning), with repetition."""
+def described(rows: DataFrame, kind: str) -> DataFrame:
+    name, keys, title = TYPES[kind]
+    place = F.array(F.lit([*TYPES].index(kind)).cast("long"), *(F.col(k).cast("long") for k in keys))
+    return rows.select(ident(kind, *keys).alias("id"), F.lit(kind).alias("type"), F.lit(name).alias("path"), F.col(keys[-1]).cast("int").alias("line"), F.lit(2).alias("level"), F.col(title).alias("title"), place.alias("pos"))
+
+
+def nodes(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES)) -> DataFrame:
+    """One row an identifier. Line items may repeat a key, and so a place in the order; the least title stands for all."""
+    out = None
+    for kind in kinds:
+        rows = definitions(spark, sf_dir, (kind,))
+        if kind == "LIN":  # on its key columns; what a query does not ask for is not aggregated
+            name, keys, title = TYPES[kind]
+            once = table(spark, sf_dir, name).groupBy(*keys).agg(F.min(title).alias(title))
+            rows = described(once, kind)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), once: bool = False) -> DataFrame:
+    """src (mentioned), dst (mentioning) and their types; a pair as often as there are rows, or once."""
     out = None
     for src, key, dst in MENTIONS:
         if src not in kinds or dst not in kinds:
             continue
         name, keys, _ = TYPES[dst]
-        rows = table(spark, sf_dir, name).where(F.col(key).isNotNull()).select(ident(src, key).alias("src"), ident(dst, *keys).alias("dst"))
-        out = rows if out is None else out.unionByName(rows)
+        rows = table(spark, sf_dir, name).where(F.col(key).isNotNull()).select(*dict.fromkeys((key, *keys)))
+        rows = rows.distinct() if once and dst == "LIN" else rows  # the other keys are unique
+        own = rows.select(ident(src, key).alias("src"), ident(dst, *keys).alias("dst"), F.lit(src).alias("src_type"), F.lit(dst).alias("dst_type"))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
 def graph(spark: SparkSession, sf_dir: str, chain: list[str] | None = None, kinds=tuple(TYPES)) -> LinkGraph:
     """The link graph of some types; the edges are mentions of defined identifiers, one a pair."""
-    chain = chain or CHAIN
-    nodes = definitions(spark, sf_dir, kinds)
-    many = nodes.where(F.col("type") == "LIN")
-    once = nodes.where(F.col("type") != "LIN")  # the other keys are unique
-    nodes = once.unionByName(first_wins(many)) if "LIN" in kinds else once
-    edges = mentions(spark, sf_dir, kinds).distinct().withColumn("kind", F.lit(REFERENCE))
-    return LinkGraph(nodes, edges, chain)
+    edges = mentions(spark, sf_dir, kinds, once=True).select("src", "dst", F.lit(REFERENCE).alias("kind"))
+    return LinkGraph(nodes(spark, sf_dir, kinds), edges, chain or CHAIN, typed=mentions(spark, sf_dir, kinds))
