@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,50 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids are screened by a map of so many bits (2 MB whatever the input); an exact join decides where a bit is set.
+MAP_BITS = 24
+
+
+def screened(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """row (a struct of all columns) and maybe: false where ``key`` is surely none of ``ids`` (one column of longs)."""
+    number = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(1 << MAP_BITS))
+    x = number(F.col(ids.columns[0]))
+    bits = ids.groupBy(F.bitmap_bucket_number(x).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("_bits"))  # 513 rows of 4 KB at most
+    h = number(key)
+    own = rows.select(F.struct(*rows.columns).alias("row"), F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).cast("int").alias("_at"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) as int), _at % 8) & 1 = 1")
+    return own.join(F.broadcast(bits), "_bucket", "left").select("row", F.coalesce(bit, F.lit(False)).alias("maybe"))
+
+
+def among(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows whose key is one of ``ids``, and a few others; no row moves."""
+    return screened(rows, key, ids).where("maybe").select("row.*")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is none of ``ids`` (one column of longs); a null key stays.
+
+    Only rows whose bit of the map is set are joined, so most texts never move, and none is lost however full the map is.
+    """
+    found = screened(rows, F.col(key), ids)
+    drop = ids.select(F.col(ids.columns[0]).alias("_id")).distinct()
+    asked = found.where("maybe").select("row").join(drop, F.col(f"row.`{key}`").cast("long") == F.col("_id"), "left_anti")
+    return found.where("not maybe").select("row").unionByName(asked).select("row.*")
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives freed memory back when its task ends: idle workers would keep theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # of the GNU C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % folds, F.lit(0))

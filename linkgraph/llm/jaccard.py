@@ -1,14 +1,19 @@
 """Operator 3: n-gram Jaccard join by a count-vector R-tree.
 
 The shingles of a text are hashed into groups, and its group counts are a point. The sum of coordinate minima of two
-points bounds their overlap from above. The tree's upper level has one entry for each shingle that can be among the
-rarest few of a text: two linked texts share such a shingle, since more than the rest would have to be missing
-otherwise. Within an entry, leaves of points sorted by size carry the maxima of their counts, and only leaves and pairs
-whose bound reaches the threshold survive. Surviving pairs are verified on the whole shingle sets.
+points bounds their overlap from above. Groups are nested: a coarse point of ``DIMS`` groups is a fold of a finer one,
+which has about as many groups as the text has shingles, so the bound of the finer points is close to the overlap.
+
+The tree's root has one entry for each shingle that can be among the rarest few of a text: two linked texts share such a
+shingle, since more than the rest would have to be missing otherwise. Below an entry stand nodes, leaves and points in
+the order of sizes; nodes and leaves carry the maxima of their coarse counts, and only those are entered whose bound
+reaches the threshold. Surviving pairs are verified on the whole shingle sets.
 
 Equal sets are one point. Pairs are taken in two rounds: first, in each entry, a forest over the surviving pairs with
-the best bounds; then, among texts which verified links have not connected, every surviving pair. No link between
-texts of different components is lost, and a group of copies costs about as many pairs as it has members.
+the best bounds; then, in entries where pairs were left over, those among texts which verified links have not connected.
+An entry of more than ``BLOCK`` points first meets one block of them, its hub; after that only texts outside the label
+that most of the entry has are held against the others. No link between texts of different components is lost, and a
+group of near copies costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -19,17 +24,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import written
+from linkgraph.llm.common import among, tidy, without, written
 from linkgraph.llm.omh import _ODD, mix
 from linkgraph.llm.tokens import release
 
-#: Coordinates of a point; groups that corpus counts are kept for; points of a leaf; points of a block of an entry.
-DIMS, RARITY_BITS, LEAF, BLOCK = 128, 16, 32, 4096
-#: Bits of a map of ids by which texts are screened before their sets are made; its size does not follow the input.
-ID_BITS = 22
+#: Groups of a coarse point and of the finest; points of a leaf, leaves of a node, points of a block of an entry.
+DIMS, FINEST, LEAF, FANOUT, BLOCK = 128, 2048, 32, 16, 4096
+#: Groups that corpus counts are kept for, and the parts that they are summed in.
+RARITY_BITS, PARTS = 20, 64
+#: Pairs that are bounded at a time, rows that are gathered before small entries are searched, and pairs of a forest's step.
+PAIRS, ROWS, STEP = 20_000, 8_000, 500_000
+
+PAIR = [("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())]
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -47,13 +58,14 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 
 def point(own: np.ndarray) -> bytes:
-    """Group counts; a count over the largest that two bytes hold is cut there on both sides, so bounds stay bounds."""
-    counts = np.bincount((own & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)
-    return counts.astype("<u2").tobytes() if counts.max(initial=0) < 65535 else np.full(DIMS, 65535, "<u2").tobytes()
+    """Counts of the power of two of groups that is next to the set's size; counts that a byte can't hold make all counts the largest, so bounds stay bounds."""
+    groups = min(FINEST, max(DIMS, 1 << max(0, len(own) - 1).bit_length()))
+    counts = np.bincount((own & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 255 else np.full(groups, 255, np.uint8).tobytes()
 
 
-def arrow(names: str, kinds: list, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names.split())
+def arrow(kinds: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
 
 def least_overlap(a, b, num: int, den: int):
@@ -61,103 +73,218 @@ def least_overlap(a, b, num: int, den: int):
     return -(-(num * (a + b)) // (den + num))
 
 
-class Entry:
-    """Points of one entry as an R-tree of two levels: leaves of texts of similar size, with the maxima of their counts."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, points: np.ndarray):
+class Points:
+    """ids, sizes, labels and points of some texts, one row each."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes]):
+        self.ids, self.sizes, self.labels, self.points = ids, sizes.astype(np.int64), labels, points
+        self.groups = np.fromiter(map(len, points), np.int64, len(points))
+        self.coarse = self.folded(np.arange(len(ids)), DIMS)
+
+    def folded(self, at: np.ndarray, dims: int) -> np.ndarray:
+        """Counts of these rows in so many groups (no more than they have)."""
+        out = np.zeros((len(at), dims), np.uint16)
+        have = self.groups[at]
+        for g in np.unique(have):
+            own = np.flatnonzero(have == g)
+            wide = np.frombuffer(b"".join([self.points[i] for i in at[own].tolist()]), np.uint8).reshape(len(own), -1, dims)
+            out[own] = wide[:, 0] if g == dims else wide.sum(1, dtype=np.uint16)
+        return out
+
+
+def bounded(x: Points, i: np.ndarray, y: Points, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of unlike labels, those whose coarse and then whose fine bound reaches the threshold: i, j, bound / least overlap."""
+    found = []
+    for a in range(0, len(i), PAIRS):
+        p, q = i[a : a + PAIRS], j[a : a + PAIRS]
+        need = least_overlap(x.sizes[p], y.sizes[q], num, den)
+        ok = (x.labels[p] != y.labels[q]) & (need <= np.minimum(x.sizes[p], y.sizes[q]))
+        p, q, need = p[ok], q[ok], need[ok]
+        ok = np.minimum(x.coarse[p], y.coarse[q]).sum(1, dtype=np.int64) >= need
+        p, q, need = p[ok], q[ok], need[ok]
+        groups, bound = np.minimum(x.groups[p], y.groups[q]), np.zeros(len(p), np.int64)
+        for g in np.unique(groups):
+            own = np.flatnonzero(groups == g)
+            for s in range(0, len(own), 1000):
+                some = own[s : s + 1000]
+                bound[some] = np.minimum(x.folded(p[some], int(g)), y.folded(q[some], int(g))).sum(1, dtype=np.int64)
+        ok = bound >= need
+        found.append((p[ok], q[ok], bound[ok] / need[ok]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+class Tree:
+    """Points in the order of sizes below leaves and nodes with the maxima of their coarse counts."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes]):
         order = np.lexsort((ids, sizes))
-        self.ids, self.sizes, self.points = ids[order], sizes[order].astype(np.int64), points[order].astype(np.int32)
-        self.starts = np.arange(0, len(ids), LEAF)
-        self.top = np.maximum.reduceat(self.points, self.starts, axis=0)
-        self.low, self.high = self.sizes[self.starts], self.sizes[np.minimum(self.starts + LEAF, len(ids)) - 1]
-
-    def pairs(self, other: "Entry", num: int, den: int, labels: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place here, place there, bound) of the pairs of unlike labels whose bound reaches the threshold."""
-        same = other is self
-        for s in self.starts:
-            own = self.points[s : s + LEAF]
-            low, high = self.sizes[s], self.sizes[min(s + LEAF, len(self.ids)) - 1]
-            near = (other.high * den >= low * num) & (high * den >= other.low * num)
-            if same:
-                near &= other.starts >= s
-            at = np.flatnonzero(near)
+        self.points = Points(ids[order], sizes[order], labels[order], [points[x] for x in order.tolist()])
+        self.leaves, self.nodes = (self._level(np.arange(0, len(ids), w), w) for w in (LEAF, LEAF * FANOUT))
+
+    def _level(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        p, last = self.points, np.minimum(starts + width, len(self.points.ids)) - 1
+        return starts, np.maximum.reduceat(p.coarse, starts, axis=0), p.sizes[starts], p.sizes[last], np.minimum.reduceat(p.labels, starts), np.maximum.reduceat(p.labels, starts)
+
+    def entered(self, level: tuple[np.ndarray, ...], among: np.ndarray, query: tuple, num: int, den: int) -> np.ndarray:
+        """Those of a level's nodes that can hold a partner of the query node: sizes, labels, then the bound of the maxima."""
+        top, low, high, first, last = query
+        _, tops, lows, highs, firsts, lasts = (c[among] for c in level)
+        ok = (highs * den >= low * num) & (high * den >= lows * num) & ~((first == last) & (firsts == lasts) & (first == firsts))
+        among, tops, lows = among[ok], tops[ok], lows[ok]
+        return among[np.minimum(tops, top).sum(1, dtype=np.int64) >= least_overlap(low, lows, num, den)]
+
+    def pairs(self, other: "Tree", num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row here, row there, score) of the surviving pairs, leaf by leaf."""
+        starts = self.leaves[0]
+        for k, s in enumerate(starts):
+            query = tuple(c[k] for c in self.leaves[1:])
+            nodes = other.entered(other.nodes, np.arange(len(other.nodes[0])), query, num, den)
+            below = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            below = below[below < len(other.leaves[0])]
+            if other is self:
+                below = below[below >= k]
+            at = other.entered(other.leaves, below, query, num, den)
             if not len(at):
                 continue
-            reach = np.minimum(other.top[at], own.max(0)).sum(1)
-            at = at[reach >= least_overlap(np.maximum(low, 0), other.low[at], num, den)]
-            for t in other.starts[at]:
-                that = other.points[t : t + LEAF]
-                bound = np.minimum(own[:, None], that[None]).sum(2)
-                need = least_overlap(self.sizes[s : s + LEAF, None], other.sizes[None, t : t + LEAF], num, den)
-                ok = (bound >= need) & (labels[s : s + LEAF, None] != theirs[None, t : t + LEAF])
-                i, j = np.nonzero(np.triu(ok, 1) if same and s == t else ok)
-                if len(i):
-                    yield i + s, j + t, bound[i, j] / need[i, j]
-
-
-def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that connect what their predecessors, best bound first, left apart."""
-    i, j, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    parent = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    out = []
-    for k in np.argsort(-b, kind="stable"):
-        x, y = root(labels[i[k]]), root(labels[j[k]])
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i[k], j[k]))
-    return out
+            here = np.arange(s, min(s + LEAF, len(self.points.ids)))
+            there = (other.leaves[0][at][:, None] + np.arange(LEAF)).ravel()
+            there = there[there < len(other.points.ids)]
+            i, j = (x.ravel() for x in np.meshgrid(here, there, indexing="ij"))
+            if other is self:
+                i, j = i[i < j], j[i < j]
+            found = bounded(self.points, i, other.points, j, num, den)
+            if len(found[0]):
+                yield found
+
+
+class Forest:
+    """Pairs that connect what those before them, best score first within a step, left apart."""
+
+    def __init__(self, n: int):
+        self.root, self.edges, self.left = np.arange(n), [], False
+
+    def add(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
+        order = np.argsort(-score, kind="stable")
+        for a in range(0, len(order), 10_000):
+            own = order[a : a + 10_000]
+            apart = own[self.root[i[own]] != self.root[j[own]]]
+            taken, parent = 0, {}
+
+            def top(x):
+                while parent.get(x, x) != x:  # noqa: B023
+                    parent[x] = parent.get(parent[x], parent[x])  # noqa: B023
+                    x = parent[x]  # noqa: B023
+                return x
+
+            for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                x, y = top(int(self.root[p])), top(int(self.root[q]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    self.edges.append((p, q))
+                    taken += 1
+            if parent:
+                move = np.arange(len(self.root))
+                move[list(parent)] = [top(x) for x in parent]
+                self.root = move[self.root]
+            self.left |= taken < len(own)
 
 
 def candidates(members: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
-    """Distinct (a, b) of the entries' surviving pairs; rows: cell, i, j, side, id, n, point, label, dealt by block pair."""
+    """a, b of surviving pairs; or cell alone, of an entry whose pairs were not all taken.
+
+    Rows: cell, i, j, side, id, n, point, label. The rows of one (cell, i, j) are an entry, or two of its blocks.
+    """
+
+    def whole(own: list[np.ndarray], points: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """An entry, or two blocks, by trees."""
+        cell, _, _, side, ids, sizes, labels = own
+        sides = [Tree(ids[at], sizes[at], labels[at], [points[x] for x in at.tolist()]) for s in (0, 1) if len(at := np.flatnonzero(side == s))]
+        if own[1][0] != own[2][0] and len(sides) < 2:
+            return
+        a, b, shift = sides[0], sides[-1], len(sides[0].points.ids) * (len(sides) - 1)
+        forest, held, n = Forest(len(ids)), [], 0
+        both = a.points.ids if len(sides) == 1 else np.concatenate([a.points.ids, b.points.ids])
+        for i, j, score in a.pairs(b, num, den):
+            held.append((i, j + shift, score))
+            n += len(i)
+            if n >= STEP:
+                yield from settle(forest, held, both)
+                held, n = [], 0
+        if held:
+            yield from settle(forest, held, both)
+        yield from closed(forest, both, cell[:1])
+
+    def settle(forest: Forest, held: list, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        if all_pairs:
+            yield batch_of(ids[i], ids[j])
+        else:
+            forest.add(i, j, score)
+
+    def closed(forest: Forest, ids: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if forest.edges:
+            i, j = np.array(forest.edges).T
+            yield batch_of(ids[i], ids[j])
+        if forest.left:
+            yield arrow(PAIR, [[None] * len(cells), [None] * len(cells), cells])
+
+    def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return arrow(PAIR, [pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int64())])
+
+    def small(own: list[np.ndarray], points: list[bytes], starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Entries of a leaf each, all at once."""
+        rows = Points(own[4], own[5], own[6], points)
+        some = [(starts[counts == m][:, None] + np.stack(np.triu_indices(m, 1))[:, None, :]).reshape(2, -1) for m in np.unique(counts) if m > 1]
+        if not some:
+            return
+        i, j = np.concatenate(some, 1)
+        i, j, score = bounded(rows, i, rows, j, num, den)
+        if not len(i):
+            return
+        if all_pairs:
+            yield batch_of(rows.ids[i], rows.ids[j])
+            return
+        forest = Forest(len(rows.ids))
+        forest.add(i, j, score)
+        taken = dict(zip(*np.unique(own[0][[p for p, _ in forest.edges]], return_counts=True), strict=True))
+        cells, met = np.unique(own[0][i], return_counts=True)
+        more = np.array([c for c, n in zip(cells, met, strict=True) if n > taken.get(c, 0)], np.int64)
+        forest.left = len(more) > 0
+        yield from closed(forest, rows.ids, more)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(rows: list[tuple]) -> list[tuple]:
-            sides = []
-            for side in (0, 1):
-                own = [r for r in rows if r[3] == side]
-                if own:
-                    ids = np.array([r[4] for r in own])
-                    entry = Entry(ids, np.array([r[5] for r in own]), np.stack([np.frombuffer(r[6], "<u2") for r in own]))
-                    label = dict(zip(ids.tolist(), [r[7] for r in own], strict=True))
-                    sides.append((entry, np.array([label[x] for x in entry.ids.tolist()])))
-            if not sides or rows[0][1] != rows[0][2] and len(sides) < 2:
-                return []
-            (a, la), (b, lb) = sides[0], sides[-1]
-            found = list(a.pairs(b, num, den, la, lb))
-            if not found:
-                return []
-            if all_pairs:
-                got = [(x, y) for i, j, _ in found for x, y in zip(a.ids[i].tolist(), b.ids[j].tolist(), strict=True)]
-            elif a is b:
-                got = [(a.ids[x], a.ids[y]) for x, y in forest(len(la), found, la)]
-            else:
-                both = [(i, j + len(la), s) for i, j, s in found]
-                ids = np.concatenate([a.ids, b.ids])
-                got = [(ids[x], ids[y]) for x, y in forest(len(ids), both, np.concatenate([la, lb]))]
-            return [(int(min(x, y)), int(max(x, y))) for x, y in got]
-
-        held: list[tuple] = []
+        expand = zstandard.ZstdDecompressor().decompress
+
+        def groups(own: list[np.ndarray], points: list[bytes]) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], np.any([np.diff(c) != 0 for c in own[:3]], axis=0)]))
+            counts = np.diff(np.append(starts, len(points)))
+            leaf = (counts <= LEAF) & np.array([not own[3][s : s + n].any() for s, n in zip(starts, counts, strict=True)])
+            for s, n in zip(starts[~leaf], counts[~leaf], strict=True):
+                yield from whole([c[s : s + n] for c in own], points[s : s + n])
+            if leaf.any():
+                at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[leaf], counts[leaf], strict=True)])
+                n = counts[leaf]
+                yield from small([c[at] for c in own], [points[x] for x in at.tolist()], np.cumsum(n) - n, n)
+
+        held: list[list[np.ndarray]] = []
+        points: list[bytes] = []
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    out += work(held)
-                    held = []
-                held.append(row)
-            if out:
-                yield arrow("a b", [pa.int64(), pa.int64()], out)
-        if held and (out := work(held)):
-            yield arrow("a b", [pa.int64(), pa.int64()], out)
-
-    return members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(search, "a long, b long").distinct()
+            for s in range(0, batch.num_rows, ROWS):
+                part = batch.slice(s, ROWS)
+                held.append([part.column(c).to_numpy() for c in ("cell", "i", "j", "side", "id", "n", "label")])
+                points += [expand(x) for x in part.column("point").to_pylist()]
+                own = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = np.flatnonzero(np.any([c != c[-1] for c in own[:3]], axis=0))
+                cut = int(last[-1]) + 1 if len(last) else 0  # what stands from here on may go on
+                if cut >= ROWS // 2:
+                    yield from groups([c[:cut] for c in own], points[:cut])
+                    own, points = [c[cut:] for c in own], points[cut:]
+                held = [own]
+        if points:
+            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)], points)
+
+    return members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(tidy(search), "a long, b long, cell long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -178,10 +305,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
                     if same and den * same >= num * (len(x) + len(y) - same):  # two empty texts link nothing
                         out.append((a, b))
             if out:
-                yield arrow("a b", [pa.int64(), pa.int64()], out)
+                yield arrow(PAIR[:2], [*zip(*out, strict=True)])
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,6 +325,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def keys(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and key (a digest of the set, null if it is empty) of every row; and, with n null, counts of one part of the groups by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]
+        groups, task = np.zeros(1 << RARITY_BITS, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part, sets = batch.slice(s, 500), []
+                for text in part.column(1):
+                    sets.append(shingles(text.as_py(), k))
+                np.add.at(groups, (np.concatenate(sets) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
+                digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+                empty = [None] * len(sets)
+                yield arrow(kinds, [part.column(0), [len(x) for x in sets], digests, empty, empty, empty])
+        if groups.any():
+            rows = [zstandard.compress(x.tobytes(), 1) for x in np.split(groups, PARTS)]
+            none = [None] * PARTS
+            yield arrow(kinds, [none, none, none, [task] * PARTS, range(PARTS), rows])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, key binary, task int, part int, counts binary")
+
+
+def rarity(counted: DataFrame) -> np.ndarray:
+    """A rank for each group of shingles, by its count over all rows: one of 16 steps a doubling.
+
+    Counts of tasks are summed by part in two steps, so no task sums more than a share of them; ``PARTS`` rows of fixed
+    size reach the driver.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(data), np.int64)
+        if sums:
+            yield arrow([("part", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())], [[*sums], [0] * len(sums), [zstandard.compress(x.tobytes(), 1) for x in sums.values()]])
+
+    some = counted.select("part", F.pmod("task", F.lit(64)).alias("task"), "counts").repartition("part", "task").mapInArrow(tidy(add), "part int, task int, counts binary")
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    width = len(out) // PARTS
+    for r in some.repartition("part").mapInArrow(tidy(add), "part int, task int, counts binary").collect():
+        out[r.part * width : (r.part + 1) * width] += np.frombuffer(zstandard.decompress(r.counts), np.int64)
+    return np.round(16 * np.log2(out + 1)).astype(np.uint16)
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; texts link at ``den * intersection >= num * union``.
 
@@ -206,40 +380,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            out, groups, some = [], np.zeros(1 << RARITY_BITS, np.int64), []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingles(text.as_py(), k)
-                some.append((own >> np.uint64(64 - RARITY_BITS)).astype(np.int64))
-                if len(some) == 500:
-                    groups += np.bincount(np.concatenate(some), minlength=1 << RARITY_BITS)
-                    some = []
-                out.append((doc, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None, None))
-            if some:
-                groups += np.bincount(np.concatenate(some), minlength=1 << RARITY_BITS)
-            if out:
-                at = np.flatnonzero(groups).astype("<u4")
-                out[-1] = (*out[-1][:3], at.tobytes() + groups[at].astype("<u4").tobytes())
-                yield arrow("doc_id n key groups", [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
-
-    keyed = written(rows.mapInArrow(keys, "doc_id long, n long, key binary, groups binary"))
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                at, n = np.frombuffer(data, "<u4").reshape(2, -1)
-                total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["g", "n"])
-
-    rarity = np.zeros(1 << RARITY_BITS, np.int64)
-    counts = keyed.where(F.col("groups").isNotNull()).select("groups").mapInArrow(unfold, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()  # a row a group
-    rarity[counts["g"].to_numpy()] = counts["n"].to_numpy()
-    sent = spark.sparkContext.broadcast(rarity)
+    known = rows.where(F.col("doc_id").isNotNull())
+    both = written(keys(rows, k))
+    keyed = both.where(F.col("n").isNotNull()).select("doc_id", "n", "key")
+    sent = spark.sparkContext.broadcast(rarity(both.where(F.col("n").isNull())))
     first = written(keyed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,68 +395,58 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                     own = shingles(text.as_py(), k)
                     if len(own):
                         keep = len(own) - -(-num * len(own) // den) + 1
-                        rare = np.lexsort((own, sent.value[(own >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:keep]
+                        rare = np.lexsort((own, sent.value[own >> np.uint64(64 - RARITY_BITS)]))[:keep]
                         cells.append(own[rare].view(np.int64))
                         ids.append(np.full(keep, doc, np.int64))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(cells))], names=["id", "cell"])
-
-    def screened(ids: DataFrame, whole: bool) -> DataFrame:
-        """id, n and point, or id and whole text, of the texts whose id is in ``ids`` (a few others may be there too), written."""
-        bitmap = [0] * (1 << (ID_BITS - 6))
-        word = F.shiftright(F.pmod("id", F.lit(1 << ID_BITS)), 6)
-        # a row for each 64 bits of the map at most
-        for r in ids.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(id, {1 << ID_BITS}) & 63 as int))")).alias("bits")).collect():
-            bitmap[r.w] = r.bits & 0xFFFFFFFFFFFFFFFF
-        screen = spark.sparkContext.broadcast(bitmap)
-
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
-            for batch in batches:
-                for s in range(0, batch.num_rows, 500):
-                    out = []
-                    for doc, text in zip(batch.column(0)[s : s + 500].to_pylist(), batch.column(1)[s : s + 500], strict=True):
-                        bit = doc % (1 << ID_BITS)
-                        if screen.value[bit >> 6] >> (bit & 63) & 1:
-                            own = None if whole else shingles(text.as_py(), k)
-                            out.append((doc, text.as_py()) if whole else (doc, len(own), point(own)))
-                    if out:
-                        yield arrow("id text", [pa.int64(), pa.string()], out) if whole else arrow("id n point", [pa.int64(), pa.int64(), pa.binary()], out)
-
-        return written(known.mapInArrow(make, "id long, text string" if whole else "id long, n long, point binary"))
+                    yield arrow([("id", pa.int64()), ("cell", pa.int64())], [np.concatenate(ids), np.concatenate(cells)])
 
-    known = rows.where(F.col("doc_id").isNotNull())
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                sets = [shingles(x.as_py(), k) for x in batch.column(1)[s : s + 500]]
+                yield arrow([("id", pa.int64()), ("n", pa.int64()), ("point", pa.binary())], [batch.column(0)[s : s + 500], [len(x) for x in sets], [squeeze(point(x)) for x in sets]])
+
+    # of texts with equal sets only the first goes on
+    firsts = among(known, F.col("doc_id"), first.select("id"))
     # one exchange, of 16 bytes a row, finds the entries that more than one id shares; a window over a hot entry spills
     by_cell = Window.partitionBy("cell")
-    placed = known.mapInArrow(entries, "id long, cell long").select("id", "cell", F.min("id").over(by_cell).alias("low"), F.max("id").over(by_cell).alias("high"))
+    placed = firsts.mapInArrow(tidy(entries), "id long, cell long").select("id", "cell", F.min("id").over(by_cell).alias("low"), F.max("id").over(by_cell).alias("high"))
     shared = written(placed.where("low < high").select("id", "cell"))
-    entry = lambda df: df.groupBy("cell").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).where(F.col("size") > 1)
-    # of texts with equal sets only the first goes on, so entries that nothing but copies share go
-    several = written(shared.join(first.select("id"), "id", "left_semi").distinct())
-    one_each = written(entry(several).groupBy("size", "sign").agg(F.min("cell").alias("cell")))  # entries with the same members are one
-    members = written(several.join(one_each.select("cell", "size"), "cell"))
-    points = screened(members.select("id"), False)
-
-    def dealt(labels: DataFrame | None) -> DataFrame:
-        """Members with their points and labels; an entry of one label goes, a large one is dealt to pairs of blocks."""
-        own = members.withColumn("label", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        if labels is not None:
-            mixed = own.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-            own = own.join(mixed, "cell", "left_semi")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        spread = own.select("cell", "id", "label", "block", other.alias("o")).select("cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "id", "label")
-        return spread.join(points, "id").select("cell", "i", "j", "side", "id", "n", "point", "label")
-
-    def verified(labels: DataFrame | None) -> DataFrame:
-        pairs = written(candidates(dealt(labels), num, den, labels is not None))
-        texts = screened(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), True)
-        return written(verify(pairs, texts, k, num, den))
-
-    links = verified(None)
+    several = written(shared.join(first.select("id").distinct(), "id", "left_semi").distinct())
+    entry = several.groupBy("cell").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("sign")).where(F.col("size") > 1)
+    one_each = entry.groupBy("size", "sign").agg(F.min("cell").alias("cell"))  # entries with the same members are one
+    members = written(several.join(written(one_each.select("cell", "size")), "cell"))
+    points = written(among(known, F.col("doc_id"), members.select("id")).mapInArrow(tidy(make), "id long, n long, point binary"))
+    sized = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    zero = F.lit(0)
+
+    def verified(dealt: DataFrame, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
+        """Links, and the entries of which pairs are left."""
+        found = written(candidates(dealt.join(points, "id").select("cell", "i", "j", "side", "id", "n", "point", "label"), num, den, all_pairs))
+        pairs = written(found.where(F.col("a").isNotNull()).select("a", "b").distinct())
+        texts = among(known, F.col("doc_id"), pairs.select(F.explode(F.array("a", "b")).alias("id"))).select(F.col("doc_id").alias("id"), "text")
+        return written(verify(pairs, texts, k, num, den)), found.where(F.col("a").isNull()).select("cell").distinct()
+
+    # the hub, block 0 of a large entry, meets every block
+    target = F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("block"))
+    hubs = sized.select("cell", zero.alias("i"), F.explode(target).alias("j"), (F.col("block") > 0).cast("int").alias("side"), "id", F.col("id").alias("label"))
+    links, left = verified(hubs, False)
+    # an id with several texts ties the groups of copies that they stand in
+    tied = keyed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
+    ties = keyed.join(tied, "doc_id", "left_semi").join(first, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    links = links.unionByName(ties)
     labels = components(links)
-    more = verified(labels)
+    again = sized.join(left, "cell", "left_semi").unionByName(sized.where("blocks > 1").join(left, "cell", "left_anti")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    usual = again.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("label", "n").alias("usual"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    mixed = written(again.join(usual.where("labels > 1"), "cell").withColumn("strays", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")))
+    one = mixed.where("blocks = 1").select("cell", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "label")
+    # texts outside the label that most of a large entry has, in blocks of their own, against all blocks
+    stray = mixed.where("blocks > 1 and label <> usual").select("cell", F.pmod(F.xxhash64("id"), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j"), zero.alias("side"), "id", "label")
+    every = mixed.where("blocks > 1").select("cell", F.explode(F.sequence(zero, F.col("strays") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "label")
+    more, _ = verified(one.unionByName(stray).unionByName(every), True)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = first.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))
@@ -321,6 +455,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
 
 def dedupe(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id."""
+    """One document of each component stays: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id stay or go together, and those with a null doc_id stay.
+    """
     found = join(docs, k, num, den).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, "doc_id", written(found))

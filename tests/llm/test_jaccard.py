@@ -61,3 +61,40 @@ def test_null_texts_beside_others_of_their_id_link_nothing(spark):
     rows = [(1, base), (1, None), (2, near), (2, None)]
     got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
     assert got == {(1, 1), (2, 2)}
+
+
+def test_large_group_of_near_copies_beside_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(5000)}"
+    base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([*passage, *(word() for _ in range(rng.randrange(5, 60)))])) for i in range(120)]
+    got = {tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_an_id_with_several_texts_ties_their_groups(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, b), (5, a), (5, b), (6, "c d e f g")]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (6, 6)}
+
+
+def test_bounds_never_fall_below_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pool = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, int(rng.integers(1, 5000)))) for _ in range(2)]
+        rows = jaccard.Points(np.arange(2), np.array([len(x) for x in sets]), np.arange(2), [jaccard.point(x) for x in sets])
+        overlap = len(np.intersect1d(*sets))
+        for dims in (128, int(rows.groups.min())):
+            assert np.minimum(*rows.folded(np.arange(2), dims).astype(int)).sum() >= overlap
