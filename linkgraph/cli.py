@@ -103,31 +103,34 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     split = lambda s: [x.strip() for x in (s or "").split(",") if x.strip()]
     if args.command == "verify":
         only = split(args.rules) or [n for n, o in config.rules.items() if o["enabled"]]
-        options = {"id_uniqueness": {"check_sequence": config.rules["id_uniqueness"]["check_sequence"]}, "term_consistency": {"kind": config.rules["term_consistency"]["glossary_type"]}, "dep_order": {"depends": config.depends(), "empty": config.empty_globs()}}
+        options = {"id_uniqueness": {"check_sequence": config.rules["id_uniqueness"]["check_sequence"]}, "term_consistency": {"kind": config.rules["term_consistency"]["glossary_type"]}, "dep_order": {"depends": config.depends(), "empty": config.empty_globs(), "missing": config.missing_files()}}
         if "required_sections" in only:
             options["required_sections"] = {"specs": C.section_specs(config)}
         text, bad = render.verification(rules.verify(corpus, options, only, args.strict), args.format)
         return text, int(bad)
     if args.command == "search":
-        rows = K.search(corpus, args.pattern, args.type, args.limit, args.hits, args.fixed).collect()
+        rows = sorted(K.search(corpus, args.pattern, args.type, args.limit, args.hits, args.fixed).collect(), key=lambda r: r.rank)  # no more than the limit
         if args.format == "json":
-            return render.as_json({"matches": [r.asDict(True) for r in rows], "total": rows[0].total if rows else 0}), 0
+            shown = [{k: v for k, v in r.asDict(True).items() if k not in ("rank", "total", "truncated")} for r in rows]
+            return render.as_json({"matches": shown, "total": rows[0].total if rows else 0, "truncated": bool(rows and rows[0].truncated)}), 0
         return "".join(f"{r.path}: {r.id or '-'} ({r.n_hits})\n" + "".join(f"  {h.line}: {h.text}\n" for h in r.hits) for r in rows), 0
     graph = corpus.graph
     if args.command == "list":
-        rows = corpus.definitions if not args.type else corpus.definitions.where(F.col("type") == args.type)
-        found = sorted(rows.select("id", "type", "title", "path", "line", "end_line").collect(), key=lambda r: render.natural_key_of(r.id))
+        found = sorted(K.index(corpus, args.type).collect(), key=lambda r: render.natural_key_of(r.id))
+        if args.format == "json":
+            files = sorted(r.path for r in (corpus.docs if not args.type else corpus.docs.where(F.col("type") == args.type)).select("path").collect())
+            return render.as_json({"entries": [r.asDict(True) for r in found], "files": files}), 0
         if args.format == "tree":
             paths = sorted({r.path for r in found})
             return "".join(f"{p}\n" + "".join(f"  {r.id} {r.title}\n" for r in found if r.path == p) for p in paths), 0
-        return (render.as_json(found) if args.format == "json" else "".join(f"{r.id} {r.title} ({r.path}:{r.line})\n" for r in found)), 0
+        return "".join(f"{r.id} {r.title} ({r.path}:{r.line})\n" for r in found), 0
     if args.command == "show":
         row = K.section(corpus, args.ident).first()
         if row is None:
             raise ValueError(f"{args.ident} is not defined")
         return row.body, 0
     if args.command == "matrix":
-        return render.matrix(graph, args.start_type, args.format), 0
+        return render.matrix(graph, args.start_type, args.format, split(args.filter)), 0
     if args.command == "gaps":
         text, bad = render.gaps(graph, args.start_type, args.format)
         return text, int(bad)
@@ -135,6 +138,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
         return render.impact(graph, args.ident, args.depth, args.format), 0
     if args.command == "graph":
         keep = split(args.filter)
+        G.check_ids(graph, keep)
         nodes = graph.nodes.where(F.col("id").isin(keep)) if keep else graph.nodes
         return render.mermaid(nodes, G.subgraph(graph, nodes)), 0
     spec = next((s for f in args.files if (s := config.spec_of(f))), None)
@@ -142,7 +146,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if not pattern or spec and args.pattern and args.pattern != spec.id_pattern:
         raise ValueError("no pattern is declared for the file, or another one")
     whole = C.open_corpus(spark, config)  # numbers go on from all declared documents
-    found = scaffold.assignments(whole, pattern, C.targets(config, args.files), args.level or (spec.id_levels[0] if spec and spec.id_levels else None), max(args.start, spec.id_start if spec else 1))
+    found = scaffold.assignments(whole, pattern, C.targets(config, args.files), args.level, max(args.start, spec.id_start if spec else 1), spec.id_levels if spec else ())
     text = "".join(f"{r.path}:{r.line}: {r.id}\n" for r in found.orderBy("path", "line").collect())
     if not args.dry_run:
         scaffold.write_all({os.path.join(config.base, p): t for p, t in scaffold.rewritten(whole, found).items()})

@@ -30,7 +30,7 @@ def pattern_regex(pattern: str) -> str:
         body = re.escape(before) + SEQ + re.escape(after)
     else:
         body = f"(?:{pattern})" + r"(?:\.\d+)*"
-    start = BOUNDARY if is_word(pattern[0]) or pattern.startswith(("{seq}", r"\d")) else ""
+    start = BOUNDARY if is_word(pattern[0]) else ""
     end = BOUNDARY if is_word(pattern[-1]) or pattern.endswith(("{seq}", r"\d", r"\d+")) else ""
     try:
         re.compile(body, re.ASCII)
@@ -40,29 +40,31 @@ def pattern_regex(pattern: str) -> str:
 
 
 def pattern_prefix(pattern: str) -> str:
-    """What stands before the number."""
-    return pattern.split("{seq}")[0] if "{seq}" in pattern else re.split(r"\\d|[\[(.*+?{^$|]", pattern)[0]
+    """What stands before the number: before ``{seq}``, else before the first ``\\d``; else the pattern itself."""
+    return re.split(r"\{seq\}" if "{seq}" in pattern else r"\\d", pattern)[0]
 
 
 def format_id(pattern: str, n: int) -> str:
-    if "{seq}" not in pattern:
-        raise ValueError(f"{pattern}: without {{seq}} no number can be put in")
-    return pattern.replace("{seq}", str(n))
+    return pattern.replace("{seq}", str(n)) if "{seq}" in pattern else f"{pattern_prefix(pattern)}{n}"
+
+
+def after_prefix(pattern: str, c: Column) -> Column:
+    """What follows the prefix; null for an identifier that does not begin with it."""
+    prefix = pattern_prefix(pattern)
+    return F.when(F.startswith(c, F.lit(prefix)), F.substr(c, F.lit(len(prefix) + 1)))
 
 
 def seq_of(pattern: str, ident: Column | str) -> Column:
     """Number of the top level after the prefix, null if there is none."""
-    rest = F.substr(F.col(ident) if isinstance(ident, str) else ident, F.lit(len(pattern_prefix(pattern)) + 1))
+    rest = after_prefix(pattern, F.col(ident) if isinstance(ident, str) else ident)
     return F.nullif(F.regexp_extract(rest, r"^(\d+)", 1), F.lit("")).try_cast("long")
 
 
 def parent_id(pattern: str, ident: Column | str) -> Column:
-    """The identifier without its last dotted part (any suffix stays), null if it has no dot."""
-    c = F.col(ident) if isinstance(ident, str) else ident
-    at = len(pattern_prefix(pattern))
-    rest = F.substr(c, F.lit(at + 1))
+    """The identifier without its last dotted part (any suffix stays), null if it has no dot or another prefix."""
+    rest = after_prefix(pattern, F.col(ident) if isinstance(ident, str) else ident)
     shorter = F.regexp_replace(rest, r"^(\d+(?:\.\d+)*)\.\d+", "$1")
-    return F.when(shorter != rest, F.concat(F.substr(c, F.lit(1), F.lit(at)), shorter))
+    return F.when(shorter != rest, F.concat(F.lit(pattern_prefix(pattern)), shorter))
 
 
 def natural_key(ident: Column | str) -> Column:

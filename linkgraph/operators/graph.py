@@ -116,6 +116,29 @@ def next_full(links: DataFrame, kind: str, full: DataFrame | None) -> DataFrame:
     return steps.join(ends, "dst", "left").groupBy(F.col("src").alias("id")).agg(F.min(F.coalesce("full", F.lit(False))).alias("full"))
 
 
+def check_ids(graph: LinkGraph, ids: list[str]) -> None:
+    """ValueError for the first of the given identifiers that is not defined; blank ones are left out."""
+    asked = [x.strip() for x in ids if x.strip()]
+    known = {r.id for r in graph.nodes.where(F.col("id").isin(asked)).select("id").collect()} if asked else set()  # of those asked for
+    for x in asked:
+        if x not in known:
+            raise ValueError(f"{x} is not defined")
+
+
+def chosen_roots(graph: LinkGraph, start: str | None, ids: list[str]) -> DataFrame | None:
+    """id of the roots that a filter names, None for an empty filter; an identifier that is undefined, or no root of the stage, is an error."""
+    kind, asked = graph.chain[stage_of(graph, start)], sorted({x.strip() for x in ids if x.strip()})
+    if not asked:
+        return None
+    own = roots(graph, kind).where(F.col("id").isin(asked)).select("id")
+    met = {r.id for r in own.collect()}  # of those asked for
+    for x in asked:
+        check_ids(graph, [x])
+        if x not in met:
+            raise ValueError(f"{x} is no root of {kind}; choose the stage that it belongs to")
+    return own
+
+
 def matrix_status(graph: LinkGraph, start: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """id, leaves, covered, partly, status of every root: each leaf of its tree asks its nearest linked ancestor."""
     stage = stage_of(graph, start)

@@ -1,21 +1,23 @@
-"""The six integrity rules. Each takes a corpus and gives issues: rule, kind, file, line, message, severity."""
+"""The six integrity rules. Each takes a corpus and gives issues: rule, kind, file, line, message, expected, severity."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgraph.functions.idgrammar import parent_id, pattern_prefix, seq_of
-from linkgraph.operators.text import sequence_gaps, word_class
+from linkgraph.functions.idgrammar import parent_id, pattern_regex, seq_of
+from linkgraph.operators.text import alias_hits, sequence_gaps
 from linkgraph.sources.corpus import Corpus
 
 ERROR, WARNING = "error", "warning"
 
 
-def issues(rows: DataFrame, rule: str, kind: str, message: Column, severity: str = ERROR, line: Column | str = "line") -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.col("path").alias("file"), (F.col(line) if isinstance(line, str) else line).cast("int").alias("line"), message.alias("message"), F.lit(severity).alias("severity"))
+def issues(rows: DataFrame, rule: str, kind: str, message: Column, severity: str = ERROR, line: Column | str = "line", expected: Column | None = None) -> DataFrame:
+    expected = F.lit(None).cast("string") if expected is None else expected
+    return rows.select(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.col("path").alias("file"), (F.col(line) if isinstance(line, str) else line).cast("int").alias("line"), message.alias("message"), expected.alias("expected"), F.lit(severity).alias("severity"))
 
 
 def ref_integrity(corpus: Corpus) -> DataFrame:
@@ -70,7 +72,7 @@ def required_sections(corpus: Corpus, specs: dict[str, dict]) -> DataFrame:
     both, have = scopes.unionByName(whole), inner.where("scope is not null").unionByName(all_inner).groupBy("path", "scope", "has").agg(F.min("ordinal").alias("ordinal"))
     asked = both.join(wanted, "type").withColumn("has", plain_title(F.col("want")))
     met = asked.join(have, ["path", "scope", "has"], "left")
-    out = issues(met.where("ordinal is null"), "required_sections", "section_missing", F.concat("name", F.lit(" lacks "), "want"))
+    out = issues(met.where("ordinal is null"), "required_sections", "section_missing", F.concat("name", F.lit(" lacks "), "want"), expected=F.col("want"))
     placed = met.where("ordinal is not null and ordered").withColumn("before", F.lag("ordinal").over(Window.partitionBy("path", "scope").orderBy("k")))
     wrong = placed.where("ordinal < before").select("path", "line", "name").distinct()
     out = out.unionByName(issues(wrong, "required_sections", "section_order", F.concat("name", F.lit(" has its sections in another order")), WARNING))
@@ -79,53 +81,76 @@ def required_sections(corpus: Corpus, specs: dict[str, dict]) -> DataFrame:
 
 
 def aliases_of(name: str, definition: str) -> list[str]:
-    """Y of "X (Y)" in a first sentence, for a term X: short, without comma, at least two characters, not X itself."""
-    import re
-
-    first = re.split(r"[。.]", definition, maxsplit=1)[0].strip()
+    """Both forms of "X (Y)" but the term itself, if a first sentence is nothing else and X is short and without comma."""
+    first = re.split(r"[。.]", definition, maxsplit=1)[0]
     for left, right in (("(", ")"), ("（", "）")):
-        m = re.fullmatch(rf"([^{re.escape(left)}]+?)\s*{re.escape(left)}([^{re.escape(right)}]+){re.escape(right)}", first)
-        if m:
-            pair = [x.strip() for x in m.groups()]
-            if any(len(x) > 30 or "," in x or "、" in x for x in pair) or name not in pair:
+        before, opened, rest = first.partition(left)
+        inside, closed, after = rest.partition(right)
+        if opened and closed:
+            before = before.strip()
+            if after.strip() or len(before) > 30 or "," in before or "、" in before:
                 return []
-            return [x for x in pair if x != name and len(x) >= 2]
-        if left in first:
-            return []
+            return [x for x in (before, inside.strip()) if x and x != name]
     return []
 
 
-def glossary(corpus: Corpus, kind: str = "glossary") -> list[tuple[str, str]]:
-    """(term, alias) of the glossary documents, which are a small, hand-written part of a corpus."""
-    body = corpus.prose.where((F.col("type") == kind) & (F.trim("text") != "") & F.col("owner").isNotNull())
-    first = body.join(corpus.nodes.select(F.col("id").alias("owner"), "title", F.col("line").alias("head")), "owner").where("line > head").groupBy("owner", "title").agg(F.min_by("text", "line").alias("definition"))
-    rows = first.collect()
-    names = {r.title for r in rows}
-    return [(r.title, a) for r in rows for a in aliases_of(r.title, r.definition) if a not in names]
+def glossary(corpus: Corpus, kind: str = "glossary") -> list[tuple[str, str, str]]:
+    """(term, alias, definition) of the glossary documents, which are a small, hand-written part of a corpus.
+
+    The definition is the first paragraph of a term's section, its lines joined by blanks.
+    """
+    sections = corpus.definitions.where(F.col("type") == kind).select("path", "line", "end_line", "title")
+    texts = {r.path: r.text for r in corpus.docs.where(F.col("type") == kind).select("path", "text").collect()}
+    found = []
+    for r in sorted(sections.collect(), key=lambda r: (r.path, r.line)):
+        lines = texts[r.path].split("\n")[r.line : r.end_line]
+        if lines and re.fullmatch(r"\s*(=+|-+)\s*", lines[0]):
+            lines = lines[1:]
+        body = "\n".join(x.strip() for x in lines).lstrip("\n")
+        paragraph = re.split(r"\n(?=\n|#)|\n\Z", body, maxsplit=1)[0]
+        found.append((r.title, "" if paragraph.startswith("#") else paragraph.replace("\n", " ")))
+    names = {name for name, _ in found}
+    return [(name, a, text) for name, text in found for a in aliases_of(name, text) if len(a) >= 2 and a not in names]
 
 
 def term_consistency(corpus: Corpus, kind: str = "glossary") -> DataFrame:
     """An alias that stands alone in a prose line outside the glossary, identifiers apart; once a term, alias and line."""
-    from linkgraph.functions.idgrammar import pattern_regex
-
     text = F.col("text")
     for pattern in dict.fromkeys(corpus.patterns):
         text = F.regexp_replace(text, pattern_regex(pattern), " ")
     rows = corpus.prose.where(F.col("type").isNull() | (F.col("type") != kind)).withColumn("text", text)
-    out = issues(rows.limit(0), "term_consistency", "term_alias", F.lit(""))
-    for term, alias in glossary(corpus, kind):
-        before, after = word_class(alias[0]), word_class(alias[-1])
-        pattern = (f"(?<!{before})" if before else "") + f"\\Q{alias}\\E" + (f"(?!{after})" if after else "")
-        hits = rows.where(F.contains("text", F.lit(alias)) & F.col("text").rlike(pattern))
-        out = out.unionByName(issues(hits, "term_consistency", "term_alias", F.lit(f"{alias} should be {term}")))
+    terms = glossary(corpus, kind)
+    named = corpus.docs.sparkSession.createDataFrame(terms or [("", "", "")], "term string, alias string, definition string").where("alias <> ''")
+    hits = alias_hits(rows, named).join(F.broadcast(named), "alias")  # as many rows as the glossary has aliases
+    return issues(hits, "term_consistency", "term_alias", F.concat("alias", F.lit(" should be "), "term"), expected=F.col("definition"))
+
+
+def rings(depends: dict[str, list[str]]) -> list[list[str]]:
+    """The elementary cycles of the declared dependencies, from a file to the files that depend on it; each from its first file by name."""
+    after: dict[str, list[str]] = {}
+    for f, targets in depends.items():
+        for g in sorted(set(targets)):
+            after.setdefault(g, []).append(f)
+    out = []
+
+    def walk(path: list[str]) -> None:
+        for f in sorted(after.get(path[-1], [])):
+            if f == path[0]:
+                out.append(list(path))
+            elif f > path[0] and f not in path:
+                walk([*path, f])
+
+    for f in sorted(after):
+        walk([f])
     return out
 
 
-def dep_order(corpus: Corpus, depends: dict[str, list[str]], empty: dict[str, list[str]] | None = None) -> DataFrame:
+def dep_order(corpus: Corpus, depends: dict[str, list[str]], empty: dict[str, list[str]] | None = None, missing: dict[str, list[str]] | None = None) -> DataFrame:
     """References against the declared order of files: undeclared, inverted, missing files, globs without files, and cycles.
 
     ``depends`` is the declaration of the project (file -> files it depends on), so small and on the driver; ``empty``
-    has the globs of it that match nothing.
+    has the globs of it that match nothing and ``missing`` the files that do not exist (without it: that are no
+    document of the corpus). A ring of files is reported once, from its first file that is a document.
     """
     spark = corpus.docs.sparkSession
     order = {t: i for i, t in reversed([*enumerate(corpus.chain)])}
@@ -150,13 +175,15 @@ def dep_order(corpus: Corpus, depends: dict[str, list[str]], empty: dict[str, li
     out = issues(judged.where("inverted"), "dep_order", "dep_inverted", F.concat("id", F.lit(" comes later in the order")))
     out = out.unionByName(issues(judged.where("not inverted"), "dep_order", "dep_undeclared", F.concat(F.lit("no dependency on the file of "), "id")))
     have = corpus.docs.select("path")
-    declared = spark.createDataFrame([(f, g) for f, gs in depends.items() for g in gs] or [("", "")], "path string, target string").where("path <> ''")
-    absent = declared.join(have.withColumnRenamed("path", "target"), "target", "left_anti").join(have, "path", "left_semi")
-    out = out.unionByName(issues(absent, "dep_order", "dep_missing", F.concat("target", F.lit(" does not exist")), ERROR, F.lit(1)))
-    globs = spark.createDataFrame([(f, g) for f, gs in (empty or {}).items() for g in gs] or [("", "")], "path string, target string").where("path <> ''").join(have, "path", "left_semi")
-    out = out.unionByName(issues(globs, "dep_order", "dep_glob_empty", F.concat("target", F.lit(" matches no file")), WARNING, F.lit(1)))
-    looped = spark.createDataFrame([(f,) for f in depends if f in reach(f)] or [("",)], "path string").where("path <> ''").join(have, "path", "left_semi")
-    return out.unionByName(issues(looped, "dep_order", "dep_cycle", F.concat("path", F.lit(" depends on itself")), WARNING, F.lit(1)))
+    table = lambda own: spark.createDataFrame([(f, g) for f, gs in (own or {}).items() for g in gs] or [("", "")], "path string, target string").where("path <> ''")
+    absent = table(depends).join(have.withColumnRenamed("path", "target"), "target", "left_anti") if missing is None else table(missing)
+    out = out.unionByName(issues(absent.join(have, "path", "left_semi"), "dep_order", "dep_missing", F.concat("target", F.lit(" does not exist")), ERROR, F.lit(1)))
+    out = out.unionByName(issues(table(empty).join(have, "path", "left_semi"), "dep_order", "dep_glob_empty", F.concat("target", F.lit(" matches no file")), WARNING, F.lit(1)))
+    found = rings(depends)
+    opened = {r.path for r in have.where(F.col("path").isin([f for ring in found for f in ring])).collect()} if found else set()  # files of the declaration
+    turned = [(ring[at], " -> ".join([*ring[at:], *ring[:at], ring[at]])) for ring in found for at in [next((i for i, f in enumerate(ring) if f in opened), None)] if at is not None]
+    looped = spark.createDataFrame(turned or [("", "")], "path string, ring string").where("path <> ''")
+    return out.unionByName(issues(looped, "dep_order", "dep_cycle", F.concat(F.lit("files depend on one another: "), "ring"), WARNING, F.lit(1)))
 
 
 RULES: dict[str, Callable[..., DataFrame]] = {"ref_integrity": ref_integrity, "term_consistency": term_consistency, "required_sections": required_sections, "id_uniqueness": id_uniqueness, "dep_order": dep_order, "id_hierarchy": id_hierarchy}
@@ -172,3 +199,11 @@ def verify(corpus: Corpus, options: dict[str, dict] | None = None, only: list[st
             own = rule(corpus, **(options or {}).get(name, {}))
             out = own if out is None else out.unionByName(own)
     return out.withColumn("severity", F.lit(ERROR)) if strict else out
+
+
+def summary(found: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """rule, errors, warnings of each rule that ran, also of those without issues."""
+    spark = found.sparkSession
+    ran = spark.createDataFrame([(n,) for n in RULES if only is None or n in only], "rule string")
+    counts = found.groupBy("rule").agg(F.count_if(F.col("severity") == ERROR).alias("errors"), F.count_if(F.col("severity") == WARNING).alias("warnings"))
+    return ran.join(counts, "rule", "left").select("rule", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("errors", "warnings")))

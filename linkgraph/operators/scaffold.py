@@ -3,48 +3,57 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.functions.idgrammar import format_id, seq_of
+from linkgraph.functions.idgrammar import format_id, pattern_prefix, seq_of
+from linkgraph.operators.text import numbered
 from linkgraph.sources.corpus import Corpus
 
 
-def assignments(corpus: Corpus, pattern: str, paths: list[str], level: int | None = None, start: int = 1) -> DataFrame:
-    """path, line, level, text, id: a number for each heading of the level that has none, in document order.
+def assignments(corpus: Corpus, pattern: str, paths: list[str], level: int | None = None, start: int = 1, levels: tuple[int, ...] = ()) -> DataFrame:
+    """path, line, level, text, id: a number for each heading of the levels that has none, in document order.
 
-    Counting goes on from the greatest number of the pattern in any document. Without a level, each file's shallowest
-    one from 2 on is numbered.
+    Counting goes on from the greatest number of the pattern in any document. ``level`` goes before ``levels``; without
+    either, each file's shallowest one from 2 on is numbered. Headings are counted by file, and a file's first number
+    follows from the counts of the files before it, so no task holds more than the headings of a file.
     """
-    if level is not None and not 1 <= level <= 6 or start < 0:
+    wanted = (level,) if level is not None else tuple(levels)
+    if any(not 1 <= x <= 6 for x in wanted) or start < 0:
         raise ValueError("a level is 1 to 6 and a start is not negative")
     format_id(pattern, 1)
     used = corpus.definitions.where(F.col("id_pattern") == pattern).agg(F.max(seq_of(pattern, "id")).alias("top"))
     heads = corpus.headings.where(F.col("path").isin(paths) & (F.col("id_pattern") == pattern))
-    least = heads.where("level >= 2").groupBy("path").agg(F.min("level").alias("least"))
-    wanted = F.lit(level) if level else F.coalesce("least", F.lit(2))
-    bare = heads.join(least, "path", "left").where((F.col("level") == wanted) & F.col("id").isNull())
-    n = F.row_number().over(Window.partitionBy("id_pattern").orderBy("path", "ordinal"))
-    rows = bare.withColumn("n", n).crossJoin(used)  # one row
-    before, after = pattern.split("{seq}")
+    if wanted:
+        bare = heads.where(F.col("level").isin(*wanted) & F.col("id").isNull())
+    else:
+        least = heads.where("level >= 2").groupBy("path").agg(F.min("level").alias("least"))
+        bare = heads.join(least, "path", "left").where((F.col("level") == F.coalesce("least", F.lit(2))) & F.col("id").isNull())
+    bare = bare.select("path", "ordinal", "line", "level", "text")
+    rows = numbered(bare, [], ["path"], "ordinal").crossJoin(used)  # one row
+    before, after = pattern.split("{seq}") if "{seq}" in pattern else (pattern_prefix(pattern), "")
     number = F.col("n") + F.greatest(F.coalesce("top", F.lit(0)), F.lit(max(start, 1) - 1))
     return rows.select("path", "line", "level", "text", F.concat(F.lit(before), number.cast("string"), F.lit(after)).alias("id"))
 
 
 def rewritten(corpus: Corpus, found: DataFrame) -> dict[str, str]:
-    """New texts of the files that change; an ATX heading gets its ID, one with an underline keeps it."""
-    out: dict[str, str] = {}
+    """New texts of the files that change; an ATX heading gets its ID, one with an underline keeps it.
+
+    Lines end at line feeds, as the parser counts them; what stands before the heading (a quote's marks) stays.
+    """
+    out: dict[str, list[str]] = {}
     texts = {r.path: r.text for r in corpus.docs.join(found.select("path").distinct(), "path", "left_semi").collect()}  # files to be written by the driver
     for r in found.collect():
-        lines = out.get(r.path, texts[r.path]).splitlines(keepends=True)
+        lines = out.setdefault(r.path, re.findall(r"[^\n]*\n|[^\n]+\Z", texts[r.path]))
         raw = lines[r.line - 1]
         end = raw[len(raw.rstrip("\r\n")) :]
-        head = f"{'#' * r.level} " if raw.lstrip(" >").startswith("#") else ""
-        lines[r.line - 1] = f"{head}{r.id}: {r.text}{end}"
-        out[r.path] = "".join(lines)
-    return out
+        quote = re.match(r"[ >]*", raw)[0] if raw.lstrip(" ").startswith(">") else ""
+        head = f"{'#' * r.level} " if raw[len(quote) :].lstrip(" ").startswith("#") else ""
+        lines[r.line - 1] = f"{quote}{head}{r.id}: {r.text}{end}"
+    return {path: "".join(lines) for path, lines in out.items()}
 
 
 def write_all(files: dict[str, str]) -> None:

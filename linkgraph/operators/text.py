@@ -39,19 +39,23 @@ def word_class(c: str) -> str | None:
     return r"[\p{IsKatakana}ー]" if "\u30a0" <= c <= "\u30ff" else None
 
 
+def alias_pattern(alias: str) -> str:
+    """A neighbour of the alias's own class (ASCII word, Han, Katakana) joins it and so is no match; any other does not."""
+    before, after = word_class(alias[0]), word_class(alias[-1])
+    quoted = "\\Q" + alias.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return (f"(?<!{before})" if before else "") + quoted + (f"(?!{after})" if after else "")
+
+
 def alias_hits(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Lines in which an alias stands alone, once an alias and line. ``aliases`` is a glossary, so a few rows.
 
-    A neighbour of the alias's own class (ASCII word, Han, Katakana) joins it and so is no match; any other does not.
+    The lines are read once: each asks which of the aliases it has.
     """
-    found = None
-    for alias in [r.alias for r in aliases.select("alias").distinct().collect()]:
-        before, after = word_class(alias[0]), word_class(alias[-1])
-        quoted = "\\Q" + alias.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-        pattern = (f"(?<!{before})" if before else "") + quoted + (f"(?!{after})" if after else "")
-        hits = rows.where(F.contains("text", F.lit(alias)) & F.col("text").rlike(pattern)).withColumn("alias", F.lit(alias))
-        found = hits if found is None else found.unionByName(hits)
-    return rows.limit(0).withColumn("alias", F.lit("")) if found is None else found
+    found = [r.alias for r in aliases.select("alias").distinct().collect()]
+    if not found:
+        return rows.limit(0).withColumn("alias", F.lit(""))
+    has = lambda a: F.when(F.contains("text", F.lit(a)) & F.col("text").rlike(alias_pattern(a)), F.lit(a))
+    return rows.withColumn("alias", F.explode(F.array_compact(F.array(*map(has, found)))))
 
 
 def sequence_gaps(used: DataFrame, pattern: str) -> DataFrame:
@@ -67,10 +71,30 @@ def sequence_gaps(used: DataFrame, pattern: str) -> DataFrame:
     return holes.select(F.explode(F.sequence(F.col("n") + 1, F.col("after") - 1)).alias("n")).select(F.concat(F.lit(pattern_prefix(pattern)), F.col("n").cast("string")).alias("id"))
 
 
-def assign_ids(rows: DataFrame, counter: str, order: str, pattern: str, start: Column) -> DataFrame:
-    """Numbers the rows of each counter in order, from ``start``."""
-    n = F.row_number().over(Window.partitionBy(counter).orderBy(order)) + start - 1
-    return rows.withColumn("id", F.concat(F.lit(pattern_prefix(pattern)), n.cast("string")))
+def numbered(rows: DataFrame, counter: list[str], blocks: list[str | Column], order: str | Column) -> DataFrame:
+    """n: the place of each row among those of its counter, by block and then by ``order``, from 1.
+
+    A block (named columns; their order is the order of blocks) is numbered by itself, and only a row for each block is
+    ordered within the counter, so a counter that holds most of the rows is not sorted by one task.
+    """
+    keys = [*counter, *blocks]
+    inside = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*counter).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_before", before).drop("_size")
+    same = [inside[k].eqNullSafe(starts[k]) for k in keys]
+    condition = same[0]
+    for x in same[1:]:
+        condition = condition & x
+    out = inside.join(starts, condition)
+    return out.select(*(inside[c] for c in rows.columns), (F.col("_before") + F.col("_nth")).alias("n"))
+
+
+def assign_ids(rows: DataFrame, counter: str, order: str, pattern: str, start: Column, band: int = 10_000) -> DataFrame:
+    """Numbers the rows of each counter by a whole-number column, from ``start``; ``band`` values of it are sorted by one task at most."""
+    banded = rows.withColumn("_band", F.floor(F.col(order) / band))
+    n = numbered(banded, [counter], ["_band"], order)
+    return n.withColumn("id", F.concat(F.lit(pattern_prefix(pattern)), (F.col("n") + start - 1).cast("string"))).drop("n", "_band")
 
 
 def tally(issues: DataFrame, strict: bool = False) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from linkgraph.functions.idgrammar import natural_key, parent_id, seq_of
 from linkgraph.operators import graph as G
 from linkgraph.operators import text as T
-from linkgraph.operators import rules
+from linkgraph.operators import rules, scaffold
 from linkgraph.sources import corpus as K
 from linkgraph.sources import relational as R
 from linkgraph.sources import rendered as M
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-SALES = ("CUS", "ORD", "LIN")
+STAGES = ("CUS", "ORD", "LIN")
 
 
 def query(sql: str | None):
@@ -39,7 +39,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def sales(spark, sf_dir):
-    return R.graph(spark, sf_dir, list(SALES), SALES)
+    return R.graph(spark, sf_dir, list(STAGES), STAGES)
 
 
 ORDERS_FULL = "o AS (SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS full_walk FROM orders)"
@@ -173,10 +173,10 @@ def id_duplicates(spark, sf_dir):
     return rows.groupBy("id").agg(F.count("*").alias("surplus"))
 
 
-@query("WITH u AS (SELECT DISTINCT o_orderkey AS n FROM orders WHERE o_orderkey % 7 <> 3), m AS (SELECT min(n) AS a, max(n) AS b FROM u), r AS (SELECT unnest(range(a, b)) AS n FROM m) SELECT 'ORD-' || n AS id FROM r WHERE n NOT IN (SELECT n FROM u)")
+@query("WITH u AS (SELECT DISTINCT l_suppkey * 1000 + l_linenumber AS n FROM lineitem), m AS (SELECT min(n) AS a, max(n) AS b FROM u), r AS (SELECT unnest(range(a, b)) AS n FROM m) SELECT 'ORD-' || n AS id FROM r WHERE n NOT IN (SELECT n FROM u)")
 def id_gaps(spark, sf_dir):
-    used = R.definitions(spark, sf_dir, ("ORD",)).select(seq_of("ORD-{seq}", "id").alias("n")).where("n % 7 <> 3").distinct()
-    return T.sequence_gaps(used, "ORD-{seq}")
+    ids = R.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("ORD-"), (F.col("l_suppkey") * 1000 + F.col("l_linenumber")).cast("string")).alias("id"))
+    return T.sequence_gaps(ids.select(seq_of("ORD-{seq}", "id").alias("n")).distinct(), "ORD-{seq}")
 
 
 @query("SELECT DISTINCT 'LIN-' || l_orderkey || '.' || l_linenumber AS id, 'LIN-' || l_orderkey AS parent FROM lineitem WHERE l_orderkey % 2 = 1")
@@ -199,7 +199,8 @@ def assign_ids(spark, sf_dir):
 @query("SELECT 'CUS-' || c_custkey AS id, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS INTEGER) AS place FROM customer")
 def natural_order_rank(spark, sf_dir):
     rows = R.table(spark, sf_dir, "customer").select(R.ident("CUS", "c_custkey").alias("id"), "c_mktsegment")
-    return rows.select("id", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(natural_key("id"))).alias("place"))
+    rows = rows.withColumn("block", F.transform(natural_key("id"), lambda x: F.rpad(F.substring(x, 1, 17), 20, " ")))  # all but the last three digits
+    return T.numbered(rows, ["c_mktsegment"], ["block"], natural_key("id")).select("id", F.col("n").cast("int").alias("place"))
 
 
 @query("WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS hits, CAST(min(line) AS INTEGER) AS first_line FROM l WHERE regexp_matches(t, 'licensed? under') OR regexp_matches(t, 'Licensed under') GROUP BY doc_id")
@@ -311,3 +312,97 @@ def dep_undeclared(spark, sf_dir):
 def search_in_sections(spark, sf_dir):
     hits = T.search(M.corpus(spark, sf_dir).prose.where(F.col("type") == "NAT"), "A NATION of region")
     return hits.groupBy(F.regexp_extract("text", r"(\d+)", 1).cast("int").alias("region")).agg(F.count("*").alias("n"))
+
+
+#: Documents of sales_documents(): their paths, the order that each item belongs to, mentions and undefined ones.
+SALES = """WITH oo AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS title, printf('sales/%012d.md', o_custkey) AS file FROM orders WHERE o_orderkey % 7 <> 3),
+li AS (SELECT oo.k, oo.file, l.l_linenumber AS n, l.l_partkey AS p, l.l_returnflag AS flag, 'ORD-' || oo.k || '.' || l.l_linenumber AS id FROM oo JOIN lineitem l ON l.l_orderkey = oo.k),
+pp AS (SELECT p_partkey AS p, p_size, p_name, printf('part/%012d.md', p_partkey) AS file FROM part WHERE p_size > 5),
+sm AS (SELECT l_suppkey AS s, 0 AS kind, l_orderkey AS k, l_linenumber AS n, 'ORD-' || l_orderkey || '.' || l_linenumber AS id FROM lineitem WHERE l_quantity > 25
+ UNION SELECT l_suppkey, 1, l_orderkey, 0, 'ORD-' || l_orderkey FROM lineitem WHERE l_orderkey % 4 = 0),
+ss AS (SELECT s_suppkey AS s, s_name, printf('supplier/%012d.md', s_suppkey) AS file FROM supplier),
+defined AS (SELECT 'ORD-' || k AS id FROM oo UNION SELECT id FROM li UNION SELECT 'PRT-' || p FROM pp UNION SELECT 'SUP-' || s FROM ss),
+undefined AS (SELECT file, 'PRT-' || p AS id, count(*) AS n FROM li WHERE p NOT IN (SELECT p FROM pp) GROUP BY ALL
+ UNION ALL SELECT ss.file, sm.id, count(*) FROM sm JOIN ss USING (s) WHERE sm.id NOT IN (SELECT id FROM defined) GROUP BY ALL),
+repeated AS (SELECT file, id, count(*) - 1 AS n FROM li GROUP BY ALL HAVING count(*) > 1),
+stray AS (SELECT file, id, count(*) AS n FROM li WHERE k % 2 = 0 GROUP BY ALL),
+span AS (SELECT file, min(k) AS a, max(k) AS b FROM oo GROUP BY file),
+hole AS (SELECT g.k, min(span.file) AS file FROM (SELECT unnest(range((SELECT min(a) FROM span), (SELECT max(b) FROM span))) AS k) g JOIN span ON g.k > span.a AND g.k < span.b WHERE g.k NOT IN (SELECT k FROM oo) GROUP BY g.k)"""
+
+
+def by_message(rows, *kinds):
+    return rows.where(F.col("kind").isin(*kinds)).groupBy("file", "message").agg(F.count("*").alias("n"))
+
+
+@query(f"{SALES} SELECT file, id || ' is not defined' AS message, CAST(n AS BIGINT) AS n FROM undefined")
+def rule_ref_integrity(spark, sf_dir):
+    return by_message(rules.ref_integrity(M.sales_corpus(spark, sf_dir)), "ref_undefined")
+
+
+@query(f"{SALES} SELECT file, id || ' is defined before' AS message, CAST(n AS BIGINT) AS n FROM repeated")
+def rule_id_duplicate(spark, sf_dir):
+    return by_message(rules.id_uniqueness(M.sales_corpus(spark, sf_dir)), "id_duplicate")
+
+
+@query(f"{SALES} SELECT file, 'ORD-' || k || ' is skipped' AS message, CAST(1 AS BIGINT) AS n FROM hole")
+def rule_id_gap(spark, sf_dir):
+    found = by_message(rules.id_uniqueness(M.sales_corpus(spark, sf_dir), check_sequence=True), "id_gap")
+    return found.where(F.startswith("message", F.lit("ORD-")))
+
+
+@query(f"{SALES} SELECT file, id || ' is not below ORD-' || split_part(split_part(id, '-', 2), '.', 1) AS message, CAST(n AS BIGINT) AS n FROM stray")
+def rule_id_hierarchy(spark, sf_dir):
+    return by_message(rules.id_hierarchy(M.sales_corpus(spark, sf_dir)), "hierarchy_mismatch")
+
+
+@query(f"{SALES} SELECT file, 'merch should be Merchandise' AS message, CAST(3 AS INTEGER) AS line, 'Wares (merch). What is sold.' AS expected FROM pp WHERE p_size > 25")
+def rule_term_consistency(spark, sf_dir):
+    return rules.term_consistency(M.sales_corpus(spark, sf_dir)).select("file", "message", "line", "expected")
+
+
+@query(f"{SALES} SELECT 'ref_integrity' AS rule, CAST(coalesce((SELECT sum(n) FROM undefined), 0) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings UNION ALL SELECT 'term_consistency', count(*), 0 FROM pp WHERE p_size > 25 UNION ALL SELECT 'id_uniqueness', CAST(coalesce(sum(n), 0) AS BIGINT), 0 FROM repeated UNION ALL SELECT 'id_hierarchy', 0, CAST(coalesce(sum(n), 0) AS BIGINT) FROM stray")
+def verify_rules(spark, sf_dir):
+    only = ["ref_integrity", "term_consistency", "id_uniqueness", "id_hierarchy"]
+    return rules.summary(rules.verify(M.sales_corpus(spark, sf_dir), only=only), only)
+
+
+@query(f"{SALES} SELECT 'ORD-' || k AS ancestor, 'ORD-' || k AS id, CAST(0 AS INTEGER) AS depth FROM li WHERE k % 2 = 1 GROUP BY k UNION ALL SELECT id, id, 0 FROM li WHERE k % 2 = 1 GROUP BY id UNION ALL SELECT 'ORD-' || k, id, 1 FROM li WHERE k % 2 = 1 GROUP BY k, id")
+def containment_closure(spark, sf_dir):
+    return G.closure(M.sales_corpus(spark, sf_dir).graph.kids).select("ancestor", "id", F.col("depth").cast("int").alias("depth"))
+
+
+@query(f"""{SALES}, leaf AS (SELECT 'ORD-' || k AS root, id FROM li WHERE k % 2 = 1 GROUP BY ALL UNION ALL SELECT 'ORD-' || k, 'ORD-' || k FROM oo WHERE k % 2 = 0 OR k NOT IN (SELECT k FROM li) UNION ALL SELECT id, id FROM li WHERE k % 2 = 0 GROUP BY id),
+t AS (SELECT root AS id, count(*) AS leaves, count(*) FILTER (id IN (SELECT id FROM sm) OR root IN (SELECT id FROM sm)) AS covered FROM leaf GROUP BY root)
+SELECT id, leaves, covered, CAST(0 AS BIGINT) AS partly, CASE WHEN covered = leaves THEN 'complete' WHEN covered = 0 THEN 'missing' ELSE 'partial' END AS status FROM t""")
+def coverage_by_leaves(spark, sf_dir):
+    return G.matrix_status(M.sales_corpus(spark, sf_dir).graph)
+
+
+@query(f"""{SALES}, edge AS (SELECT DISTINCT sm.id AS src, 'SUP-' || s AS dst, s AS x, 0 AS y, 3 AS t FROM sm WHERE s IN (SELECT s FROM ss) UNION SELECT 'ORD-' || k, id, k, n, 1 FROM li WHERE k % 2 = 1 UNION SELECT 'PRT-' || p, id, k, n, 1 FROM li WHERE p IN (SELECT p FROM pp)),
+down AS (SELECT src AS id, string_agg(dst, ',' ORDER BY t, x, y) AS downstream FROM edge GROUP BY src),
+entry AS (SELECT 'ORD-' || k AS id, file, '' AS refs FROM oo UNION ALL SELECT id, file, 'PRT-' || p FROM li UNION ALL SELECT 'PRT-' || p, file, '' FROM pp UNION ALL SELECT 'TRM-1', 'terms.md', ''
+ UNION ALL SELECT 'SUP-' || s, file, coalesce((SELECT string_agg(sm.id, ',' ORDER BY kind, k, n) FROM sm WHERE sm.s = ss.s), '') FROM ss)
+SELECT id, file, refs, coalesce(downstream, '') AS downstream FROM entry LEFT JOIN down USING (id)""")
+def index_refs_downstream(spark, sf_dir):
+    rows = K.index(M.sales_corpus(spark, sf_dir))
+    return rows.select("id", F.col("path").alias("file"), *(F.array_join(c, ",").alias(c) for c in ("refs", "downstream")))
+
+
+@query(f"""{SALES}, hit AS (SELECT file, 'ORD-' || k AS id, k, title, CAST(1 AS BIGINT) AS n_hits FROM oo WHERE title LIKE '%URGENT%')
+SELECT file, id, title, n_hits, CAST((SELECT count(*) FROM hit) AS BIGINT) AS total, (SELECT count(*) FROM hit) > 50 AS truncated, CAST(row_number() OVER (ORDER BY file, k) AS INTEGER) AS rank FROM hit QUALIFY rank <= 50""")
+def search_ranked(spark, sf_dir):
+    rows = K.search(M.sales_corpus(spark, sf_dir), "urgent", kind="ORD", limit=50)
+    return rows.select(F.col("path").alias("file"), "id", "title", "n_hits", "total", "truncated", "rank")
+
+
+@query(f"{SALES} SELECT 'PRT-' || p AS id, file, p_name AS title, CAST(1 AS BIGINT) AS n_hits, CAST(3 AS INTEGER) AS hit_line, 'A merch part.' AS hit, CAST(1 AS INTEGER) AS line FROM pp WHERE p_size > 25 ORDER BY file LIMIT 20")
+def search_body_hits(spark, sf_dir):
+    rows = K.search(M.sales_corpus(spark, sf_dir), "merch", kind="PRT")
+    return rows.select("id", F.col("path").alias("file"), "title", "n_hits", F.col("hits")[0]["line"].alias("hit_line"), F.col("hits")[0]["text"].alias("hit"), "line")
+
+
+@query(f"WITH h AS (SELECT {CUSTOMER_FILE} AS path, 0 AS o, 'Account' AS text FROM customer UNION ALL SELECT {CUSTOMER_FILE}, 1, 'Orders' FROM customer WHERE c_custkey % 3 = 0) SELECT path, text, 'CUS-' || (row_number() OVER (ORDER BY path, o) + (SELECT max(c_custkey) FROM customer)) AS id FROM h")
+def numbered_headings(spark, sf_dir):
+    corpus = M.corpus(spark, sf_dir)
+    paths = [r.path for r in R.table(spark, sf_dir, "customer").select(F.format_string("customer/%012d.md", "c_custkey").alias("path")).collect()]  # the files that a user would name
+    return scaffold.assignments(corpus, "CUS-{seq}", paths, level=3).select("path", "text", "id")

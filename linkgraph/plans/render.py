@@ -17,17 +17,20 @@ def as_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, default=lambda r: r.asDict(recursive=True)) + "\n"
 
 
-def matrix(graph: G.LinkGraph, start: str | None = None, kind: str = "markdown") -> str:
-    stage = G.stage_of(graph, start)
-    rows = sorted(G.matrix_status(graph, start).collect(), key=lambda r: natural_key_of(r.id))
-    summary = G.matrix_summary(G.matrix_status(graph, start)).first().asDict()
+def matrix(graph: G.LinkGraph, start: str | None = None, kind: str = "markdown", ids: list[str] | None = None) -> str:
+    """The rows of all roots, or of those that are named."""
+    stage, only = G.stage_of(graph, start), G.chosen_roots(graph, start, ids or [])
+    found = G.matrix_status(graph, start, only)
+    rows = sorted(found.collect(), key=lambda r: natural_key_of(r.id))
+    summary = G.matrix_summary(found).first().asDict()
+    keep = (lambda df: df) if only is None else (lambda df: df.join(only, "id", "left_semi"))
     if kind == "json":
         paths: dict[str, list] = {}
-        for r in G.matrix_paths(graph, start).collect():
+        for r in keep(G.matrix_paths(graph, start)).collect():
             paths.setdefault(r.id, []).append(list(r.path))
         ordered = lambda x: sorted(x, key=lambda p: [natural_key_of(i) for i in p])
         return as_json({"chain": graph.chain[stage:], "rows": [{"id": r.id, "paths": ordered(paths.get(r.id, [])), "status": r.status} for r in rows], "summary": summary})
-    ids = {(r.id, r.stage): r.ids for r in G.stage_ids(graph, start).collect()}
+    ids = {(r.id, r.stage): r.ids for r in keep(G.stage_ids(graph, start)).collect()}
     later = graph.chain[stage + 1 :]
     lines = [f"| {' | '.join([*graph.chain[stage:], 'status'])} |", f"|{'---|' * (len(later) + 2)}"]
     lines += [f"| {' | '.join([r.id, *(ids.get((r.id, s)) or '-' for s in later), GLYPHS[r.status]])} |" for r in rows]

@@ -61,6 +61,11 @@ class Config:
         return {s.path: own for s in self.files if (own := [d for d in s.depends_on if is_glob(self.base, d) and not expand(self.base, d)])}
 
 
+    def missing_files(self) -> dict[str, list[str]]:
+        """file -> files it depends on that do not exist."""
+        return {f: own for f, gs in self.depends().items() if (own := [g for g in gs if not os.path.exists(os.path.join(self.base, g))])}
+
+
 def is_glob(base: str, path: str) -> bool:
     """Whether a path has glob characters and is not the name of a file that exists."""
     return bool(re.search(r"[*?\[{]", path)) and not os.path.isfile(os.path.join(base, path))
@@ -144,6 +149,15 @@ def section_specs(config: Config) -> dict[str, dict]:
     return specs
 
 
+def below(folder: str) -> list[str]:
+    """Markdown files below a folder and the folders that it links to, each real folder once."""
+    out, met = [], set()
+    for d, inner, names in os.walk(folder, followlinks=True):
+        inner[:] = [x for x in inner if (real := os.path.realpath(os.path.join(d, x))) not in met and not met.add(real)]
+        out += [os.path.join(d, f) for f in names if f.endswith(".md")]
+    return out
+
+
 def targets(config: Config, args: list[str] | None = None) -> list[str]:
     """Files named, or below folders named; without any, the declared ones that exist. Sorted, each real file once."""
     if not args:
@@ -153,7 +167,7 @@ def targets(config: Config, args: list[str] | None = None) -> list[str]:
         for a in args:
             full = os.path.join(config.base, a)
             if os.path.isdir(full):
-                found += [os.path.relpath(os.path.join(d, f), config.base) for d, _, names in os.walk(full) for f in names if f.endswith(".md")]
+                found += [os.path.relpath(f, config.base) for f in below(full)]
             elif os.path.isfile(full):
                 found.append(os.path.normpath(a))
             else:

@@ -7,18 +7,18 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from linkgraph.functions.idgrammar import pattern_regex
+from linkgraph.functions.idgrammar import natural_key, pattern_regex
 from linkgraph.operators.graph import CONTAINMENT, REFERENCE, LinkGraph, distinct_edges, first_wins
 from linkgraph.sources.markdown import parse
 from linkgraph.sources.scratch import written
 
 HEADING = "ordinal:int,level:int,text:string,title:string,id:string,line:int,end_line:int,has_body:boolean,parent_ordinal:int,id_ancestor:string,n_children:int"
-PARSED = f"path string, n_lines int, newline string, headings array<struct<{HEADING}>>, refs array<struct<seq:int,id:string,line:int,owner:string>>, prose array<struct<line:int,text:string,raw:string,owner:string>>"
+PARSED = f"path string, type string, id_pattern string, n_lines int, newline string, headings array<struct<{HEADING}>>, refs array<struct<seq:int,id:string,line:int,owner:string,owner_line:int>>, prose array<struct<line:int,text:string,raw:string,owner:string>>"
 
 
 def read_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -43,11 +43,10 @@ class Corpus:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [{"path": path} | parse(text or "", regexes.get(pattern), known) for path, pattern, text in zip(*(batch.column(c).to_pylist() for c in ("path", "id_pattern", "text")), strict=True)]
+                rows = [{"path": path, "type": kind, "id_pattern": pattern} | parse(text or "", regexes.get(pattern), known) for path, kind, pattern, text in zip(*(batch.column(c).to_pylist() for c in ("path", "type", "id_pattern", "text")), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        rows = self.docs.select("path", "id_pattern", "text").mapInArrow(run, PARSED)
-        return written(rows.join(self.docs.select("path", "type", "id_pattern"), "path", "left"))
+        return written(self.docs.select("path", "type", "id_pattern", "text").mapInArrow(run, PARSED))
 
     def _rows(self, column: str) -> DataFrame:
         return self.parsed.select("path", "type", "id_pattern", F.inline(column))
@@ -87,22 +86,56 @@ class Corpus:
 
 
 def section(corpus: Corpus, ident: str) -> DataFrame:
-    """One row with the text of a section, from the first document that defines it."""
-    head = corpus.nodes.where(F.col("id") == ident).select("path", "line")
-    extent = corpus.headings.where(F.col("id") == ident).join(head, ["path", "line"]).select("path", "line", "end_line")
-    lines = corpus.docs.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("no", "text")).withColumn("no", F.col("no") + 1)
-    own = lines.join(extent, "path").where(F.col("no").between(F.col("line"), F.col("end_line")))
-    return own.groupBy("path").agg(F.concat(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n"), r"\s+\z", ""), F.lit("\n")).alias("body"))
+    """One row with the text of a section, from the first document that defines it, in the document's own line ends."""
+    head = corpus.nodes.where(F.col("id") == ident).select("path", "line")  # one row
+    extent = corpus.headings.where(F.col("id") == ident).join(F.broadcast(head), ["path", "line"]).select("path", "line", "end_line")
+    ends = corpus.parsed.select("path", "newline")
+    found = corpus.docs.select("path", "text").join(F.broadcast(extent), "path").join(ends, "path")
+    own = F.slice(F.split("text", r"\r?\n"), F.col("line"), F.col("end_line") - F.col("line") + 1)
+    return found.select("path", "newline", own.alias("own")).select("path", F.concat(F.regexp_replace(F.expr("array_join(own, newline)"), r"\s+\z", ""), "newline").alias("body"))
 
 
 def search(corpus: Corpus, pattern: str, kind: str | None = None, limit: int = 20, hits: int = 3, fixed: bool = False) -> DataFrame:
-    """path, id, n_hits (all), hits (the first few: line and original text), total (sections, before the limit)."""
+    """path, id, type, title, line, n_hits (all), hits (the first few: line and original text), total, truncated, rank.
+
+    A match belongs to the nearest section with an ID. In each document the sections whose heading matches come first,
+    then those whose body does, each in document order; ``total`` counts sections before the limit. A match outside any
+    section has no id, type and title, and its own line.
+    """
     from linkgraph.operators.text import search as matching
 
     if limit < 0 or hits < 0:
         raise ValueError("limits must not be negative")
     rows = corpus.prose if kind is None else corpus.prose.where(F.col("type") == kind)
-    found = matching(rows, pattern, fixed)
-    grouped = found.groupBy("path", F.col("owner").alias("id")).agg(F.count("*").alias("n_hits"), F.min("line").alias("first_line"), F.slice(F.array_sort(F.collect_list(F.struct("line", F.col("raw").alias("text")))), 1, hits or 3).alias("hits"))
+    heads = corpus.definitions.select("path", F.col("line").alias("head"), "id", "title", "end_line")
+    # the section of a line: the last heading above it with its owner's ID
+    found = matching(rows, pattern, fixed).select("path", "type", "line", "raw", F.col("owner").alias("id"))
+    at = heads.join(found.select("path", "id").distinct(), ["path", "id"], "left_semi")
+    placed = found.join(at, ["path", "id"], "left").where(F.col("head").isNull() | F.col("line").between(F.col("head"), F.col("end_line")))
+    title = F.coalesce(F.col("line") == F.col("head"), F.lit(False))
+    hit = F.struct((~title).alias("later"), F.col("line").alias("line"), F.col("raw").alias("text"))
+    grouped = placed.groupBy("path", "id").agg(
+        F.count("*").alias("n_hits"), F.min(F.struct((~title).alias("later"), "line")).alias("first"), F.first("type").alias("type"), F.min(F.struct("head", "title")).alias("section"),
+        F.transform(F.slice(F.array_sort(F.collect_list(hit)), 1, hits or 3), lambda h: F.struct(h["line"].alias("line"), h["text"].alias("text"))).alias("hits"),
+    )
     total = grouped.agg(F.count("*").alias("total"))
-    return grouped.orderBy("path", "first_line").limit(limit or 20).crossJoin(total)  # one row
+    inside = F.col("id").isNotNull()
+    shown = grouped.select("path", "id", F.when(inside, F.col("type")).alias("type"), "section.title", F.coalesce("section.head", "first.line").alias("line"), "n_hits", "hits", "first")
+    top = shown.orderBy("path", "first.later", "first.line").limit(limit or 20)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("path", "first.later", "first.line"))).drop("first")  # as many rows as the limit
+    return ranked.crossJoin(total).withColumn("truncated", F.col("total") > (limit or 20))  # one row
+
+
+def index(corpus: Corpus, kind: str | None = None) -> DataFrame:
+    """An entry for each definition, repeated ones too: id, type, title, path, line, end_line, refs, downstream.
+
+    ``refs`` has the identifiers that the section mentions, each once, in text order, defined or not; ``downstream`` the
+    direct successors in the graph, in natural order.
+    """
+    rows = corpus.definitions if kind is None else corpus.definitions.where(F.col("type") == kind)
+    rows = rows.select("id", "type", "title", "path", "line", "end_line")
+    named = corpus.refs.where(F.col("owner").isNotNull()).groupBy("path", "owner_line", F.col("id").alias("ref")).agg(F.min("seq").alias("seq"))
+    refs = named.groupBy("path", F.col("owner_line").alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ref"))), lambda x: x["ref"]).alias("refs"))
+    down = corpus.graph.edges.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(natural_key("dst").alias("key"), "dst"))), lambda x: x["dst"]).alias("downstream"))
+    nothing = F.array().cast("array<string>")
+    return rows.join(refs, ["path", "line"], "left").join(down, "id", "left").select("id", "type", "title", "path", "line", "end_line", F.coalesce("refs", nothing).alias("refs"), F.coalesce("downstream", nothing).alias("downstream"))

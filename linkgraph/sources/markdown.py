@@ -7,6 +7,7 @@ thematic breaks, paragraphs with lazy continuation, and inline code spans. Nothi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
@@ -15,6 +16,7 @@ SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}([-_*])[ \t]*(?:\1[ \t]*){2,}$")
 ITEM = re.compile(r"( {0,3})([-+*]|(\d{1,9})[.)])(?=[ \t]|$)")
 HTML = re.compile(r" {0,3}<(?:!--|\?|![A-Z]|/?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$))")
+RUN = re.compile("`+")
 UNDERLINE = re.compile(r"\s*(=+|-+)\s*$")
 TAG = re.compile(r"</?[A-Za-z][^<>`]*(?:\"[^\"]*\"|'[^']*'|[^<>\"'])*>|<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*>")
 
@@ -150,7 +152,10 @@ def blocks(lines: list[str]) -> list[Block]:
 def inline_code(text: str) -> list[tuple[int, int]]:
     """Content ranges of the code spans of a paragraph; tags and escaped backticks do not open one."""
     spans, i = [], 0
-    runs = [(m.start(), m.end()) for m in re.finditer("`+", text)]
+    runs = {m.start(): m.end() for m in re.finditer("`+", text)}
+    of_size: dict[int, list[int]] = {}
+    for a, b in runs.items():
+        of_size.setdefault(b - a, []).append(a)
     while i < len(text):
         c = text[i]
         if c == "\\" and i + 1 < len(text):
@@ -158,12 +163,12 @@ def inline_code(text: str) -> list[tuple[int, int]]:
         elif c == "<" and (m := TAG.match(text, i)):
             i = m.end()
         elif c == "`":
-            end = next((b for a, b in runs if a == i), re.compile("`+").match(text, i).end())
-            size = end - i
-            close = next(((a, b) for a, b in runs if a >= end and b - a == size), None)
-            if close:
-                spans.append((end, close[0]))
-                i = close[1]
+            end = runs.get(i) or RUN.match(text, i).end()
+            same = of_size.get(end - i, [])
+            k = bisect_left(same, end)
+            if k < len(same):
+                spans.append((end, same[k]))
+                i = runs[same[k]]
             else:
                 i = end
         else:
@@ -204,28 +209,43 @@ def parse(text: str, pattern: str | None, known: list[str]) -> dict:
                 ident = m[0] if m and m.start() == 0 else None
                 title = first[len(ident) :].lstrip(":：-–—　 ").strip() if ident else first
                 headings.append({"ordinal": len(headings), "level": b.level, "text": first, "title": title, "id": ident, "line": no})
+    open_: list[dict] = []  # headings that enclose the next one, by rising level
     for k, h in enumerate(headings):
-        later = headings[k + 1 :]
-        h["end_line"] = next((x["line"] - 1 for x in later if x["level"] <= h["level"]), len(lines))
-        stop = later[0]["line"] - 1 if later else len(lines)
-        body = lines[h["line"] : stop]
-        if body and UNDERLINE.match(body[0]):
-            body = body[1:]
-        h["has_body"] = any(x.strip() for x in body)
-        above = next((x for x in reversed(headings[:k]) if x["level"] < h["level"]), None)
-        h["parent_ordinal"] = above["ordinal"] if above else None
-        while above is not None and above["id"] is None:
-            above = headings[above["parent_ordinal"]] if above["parent_ordinal"] is not None else None
-        h["id_ancestor"] = above["id"] if above else None
-    for h in headings:
-        h["n_children"] = sum(x["parent_ordinal"] == h["ordinal"] for x in headings)
+        while open_ and open_[-1]["level"] >= h["level"]:
+            open_.pop()["end_line"] = h["line"] - 1
+        above = open_[-1] if open_ else None
+        h |= {"parent_ordinal": above["ordinal"] if above else None, "id_ancestor": above and (above["id"] or above["id_ancestor"]), "n_children": 0, "end_line": len(lines)}
+        if above:
+            above["n_children"] += 1
+        open_.append(h)
+        body = lines[h["line"] : headings[k + 1]["line"] - 1 if k + 1 < len(headings) else len(lines)]
+        h["has_body"] = any(x.strip() for x in (body[1:] if body and UNDERLINE.match(body[0]) else body))
+    named = [h for h in headings if h["id"]]
+    starts = [h["line"] for h in named]
+    # the nearest heading with an ID that encloses the line of each heading with one
+    outer: list[dict | None] = []
+    stack: list[dict] = []
+    for h in named:
+        while stack and stack[-1]["end_line"] < h["line"]:
+            stack.pop()
+        outer.append(stack[-1] if stack else None)
+        stack.append(h)
+    around = dict(zip((id(h) for h in named), outer, strict=True))
+
+    def section(no: int) -> dict | None:
+        k = bisect_right(starts, no) - 1
+        h = named[k] if k >= 0 else None
+        while h is not None and h["end_line"] < no:
+            h = around[id(h)]
+        return h
 
     def owner(no: int) -> str | None:
-        return next((h["id"] for h in reversed(headings) if h["id"] and h["line"] <= no <= h["end_line"]), None)
+        h = section(no)
+        return h and h["id"]
 
     heads = {h["line"]: h["id"] for h in headings if h["id"]}
     found = sorted((no, m.start(), m[0]) for p in known for no, line in enumerate(lines, 1) for m in re.finditer(p, line, re.ASCII) if not any(a <= m.start() < z for a, z in code[no - 1]))
-    refs = [{"seq": k, "id": i, "line": no, "owner": owner(no)} for k, (no, _, i) in enumerate(found) if heads.get(no) != i]
+    refs = [{"seq": k, "id": i, "line": no, "owner": owner(no), "owner_line": (h := section(no)) and h["line"]} for k, (no, _, i) in enumerate(found) if heads.get(no) != i]
     prose = []
     for no, line in enumerate(lines, 1):
         if no not in blocked:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str, chain: tuple[str, ...] = ("NAT", "CUS")) -> Corpus:
     return Corpus(documents(spark, sf_dir), list(chain), ["NAT-{seq}", "CUS-{seq}"])
+
+
+def joined(rows: DataFrame, by: str, order: list[str], piece: Column) -> DataFrame:
+    """by, body: the pieces of each group in order, as one text."""
+    ordered = F.array_sort(F.collect_list(F.struct(*order, piece.alias("piece"))))
+    return rows.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("body"))
+
+
+def sales_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested, repeated, skipped and undefined identifiers: a document for each customer, part and supplier, and a glossary.
+
+    A customer's document has its orders, but not those whose key leaves 3 when divided by 7, and below them their line
+    items as dotted IDs: nested for odd orders, beside them for even ones. Items mention parts, of which the small ones
+    are not defined. Suppliers mention the items that they deliver much of, and the orders whose key 4 divides.
+    """
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 3").select("o_custkey", "o_orderkey", "o_orderpriority")
+    mark = F.when(F.col("l_orderkey") % 2 == 1, "###").otherwise("##")
+    item = text(mark, " ORD-", F.col("l_orderkey"), ".", F.col("l_linenumber"), ": ", F.col("l_returnflag"), "\n\nNeeds PRT-", F.col("l_partkey"), ".\n\n")
+    below = joined(items, "l_orderkey", ["l_linenumber", "l_partkey"], item)
+    order = text("## ORD-", F.col("o_orderkey"), ": ", F.col("o_orderpriority"), "\n\nA plain order.\n\n", F.coalesce("body", F.lit("")))
+    by_customer = joined(orders.join(below, orders.o_orderkey == below.l_orderkey, "left"), "o_custkey", ["o_orderkey"], order)
+    sales = by_customer.select(F.format_string("sales/%012d.md", "o_custkey").alias("path"), F.lit("ORD").alias("type"), F.lit("ORD-{seq}").alias("id_pattern"), text("# Orders\n\n", F.col("body")).alias("text"))
+    parts = table(spark, sf_dir, "part").where("p_size > 5").select(
+        F.format_string("part/%012d.md", "p_partkey").alias("path"), F.lit("PRT").alias("type"), F.lit("PRT-{seq}").alias("id_pattern"),
+        text("## PRT-", F.col("p_partkey"), ": ", F.col("p_name"), "\n\n", F.when(F.col("p_size") > 25, "A merch part.").otherwise("A part."), "\n").alias("text"),
+    )
+    many = items.where("l_quantity > 25").select("l_suppkey", F.lit(0).alias("kind"), "l_orderkey", "l_linenumber").distinct()
+    whole = items.where("l_orderkey % 4 = 0").select("l_suppkey", F.lit(1).alias("kind"), "l_orderkey", F.lit(0).alias("l_linenumber")).distinct()
+    named = F.when(F.col("kind") == 0, text("Delivers ORD-", F.col("l_orderkey"), ".", F.col("l_linenumber"), "\n")).otherwise(text("Delivers ORD-", F.col("l_orderkey"), "\n"))
+    lines = joined(many.unionByName(whole), "l_suppkey", ["kind", "l_orderkey", "l_linenumber"], named)
+    makers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
+        F.format_string("supplier/%012d.md", "s_suppkey").alias("path"), F.lit("SUP").alias("type"), F.lit("SUP-{seq}").alias("id_pattern"),
+        text("## SUP-", F.col("s_suppkey"), ": ", F.col("s_name"), "\n\n", F.coalesce("body", F.lit(""))).alias("text"),
+    )
+    words = spark.createDataFrame([("terms.md", "glossary", "TRM-{seq}", "# Terms\n\n## TRM-1: Merchandise\n\nWares\n(merch). What is sold.\n")], "path string, type string, id_pattern string, text string")
+    return sales.unionByName(parts).unionByName(makers).unionByName(words)
+
+
+@lru_cache(maxsize=4)
+def sales_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Parsed once a session and folder."""
+    return Corpus(sales_documents(spark, sf_dir), ["ORD", "SUP"], ["ORD-{seq}", "SUP-{seq}", "PRT-{seq}", "TRM-{seq}"])
