@@ -2,20 +2,27 @@
 
 Every response gives two linked records: ``metadata`` (source headers, digests, title, outgoing links) and
 ``conversion`` (the plain text of the page). Both carry the response's id in WARC-Refers-To, its target URI and date,
-and the metadata names the conversion. All of it is column expressions; nothing is gathered and no row is shuffled.
+and the metadata names the conversion. All but the decoding of character references is column expressions; nothing is
+gathered and no row is shuffled.
 """
 
 from __future__ import annotations
 
+import html
+import html.entities
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 #: Elements whose content is no text, and elements that end a line.
 DROPPED = ("script", "style", "noscript", "template")
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
-#: Named character references that are decoded, in this order; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&"))
+#: A character reference: decimal, hexadecimal or named (of those that HTML knows), closed by a semicolon.
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: (pattern, replacement), in order: comments, dropped elements, line-ending tags, other tags.
 STEPS = (
     (r"(?s)<!--.*?-->", " "),
@@ -26,16 +33,24 @@ STEPS = (
 #: White space, after the references are decoded.
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LINK = r"(?i)<a[ \t\r\n\f][^>]*?href[ \t]*=[ \t]*[\"']([^\"'<>]*)[\"']"
+#: The value of the link attribute of an anchor, with its quotes if it has any.
+LINK = r"(?i)<a[ \t\r\n\f](?:[^>]*?[ \t\r\n\f])?href[ \t]*=[ \t]*(\"[^\"<>]*\"|'[^'<>]*'|[^ \t\r\n\f\"'<>]+)"
+QUOTES = r"^[\"']|[\"']$"
+
+
+@F.pandas_udf(StringType())
+def decoded(text: pd.Series) -> pd.Series:
+    """Text with its character references decoded once; a no-break space becomes a blank."""
+    put = lambda m: html.unescape(m[0])
+    return pd.Series([None if t is None else re.sub(REFERENCE, put, t).replace("\xa0", " ") if "&" in t or "\xa0" in t else t for t in text], dtype=object)
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(page: Column) -> Column:
     """Text of a page: no markup, scripts, styles or comments; one line for each block. Null and empty give ''."""
-    text = F.coalesce(html, F.lit(""))
+    text = F.coalesce(page, F.lit(""))
     for pattern, put in STEPS:
         text = F.regexp_replace(text, pattern, put)
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = decoded(text)
     for pattern, put in SPACES:
         text = F.regexp_replace(text, pattern, put)
     return text
@@ -56,11 +71,14 @@ def urn(*parts: Column | str) -> Column:
 
 
 def responses(pages: DataFrame, date: str, http: str = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8") -> DataFrame:
-    """Response records of a table of pages (page_id, url, html); a null url or html counts as empty."""
-    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    """Response records of a table of pages (page_id, url, html); a null page_id, url or html counts as empty.
+
+    A record's id follows from all three, so only rows that are equal in them share one: they are one capture, given twice.
+    """
+    url, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     return pages.select(
-        "page_id", urn(F.lit("response"), F.col("page_id").cast("string"), url).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"),
-        F.lit(http).alias("http_headers"), html.alias("payload"), digest(html).alias("payload_digest"),
+        "page_id", urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, digest(page)).alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"),
+        F.lit(http).alias("http_headers"), page.alias("payload"), digest(page).alias("payload_digest"),
     )
 
 
@@ -81,12 +99,14 @@ def parse_records(lines: DataFrame) -> DataFrame:
 def derive(records: DataFrame) -> DataFrame:
     """Two rows a response: its metadata and its conversion, with headers, content, digests and the whole record.
 
-    Columns of ``records``: record_id, target_uri, date, http_headers, payload, payload_digest; any others are kept.
+    Columns of ``records``: record_id, target_uri, date, http_headers, payload, payload_digest; any others are kept, with
+    an underscore before the name if a derived column has it.
     """
-    text, title = plain_text(F.col("payload")), one_line(F.regexp_extract("payload", TITLE, 1))
+    text, title = plain_text(F.col("payload")), one_line(decoded(F.regexp_extract("payload", TITLE, 1)))
     conversion = urn(F.lit("conversion"), "record_id")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
+    found = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: F.regexp_replace(x, QUOTES, ""))
+    links = F.filter(F.split(decoded(F.array_join(F.transform(found, lambda x: F.concat(x, F.lit("\n"))), "")), "\n"), lambda x: x != "")
     about = F.concat(
         line("source-record", F.col("record_id")), line("source-payload-digest", F.col("payload_digest")), line("derived-record", conversion),
         F.array_join(F.transform(F.split("http_headers", CRLF), lambda x: F.concat(F.lit("source-header: "), x, F.lit(CRLF))), ""),
@@ -96,7 +116,9 @@ def derive(records: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), urn(F.lit("metadata"), "record_id").alias("id"), F.lit("application/warc-fields").alias("content_type"), about.alias("content")),
         F.struct(F.lit("conversion").alias("warc_type"), conversion.alias("id"), F.lit("text/plain; charset=utf-8").alias("content_type"), text.alias("content")),
     )
-    keep = [c for c in records.columns if c not in ("record_id", "target_uri", "date", "http_headers", "payload", "payload_digest", "warc_type", "content")]
+    given = ("record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")
+    made = ("id", "refers_to", "source_digest", "warc_type", "content", "content_type", "content_length", "block_digest", "record")
+    keep = [F.col(f"`{c}`").alias(f"_{c}" if c in made else c) for c in records.columns if c not in given]
     rows = records.select(*keep, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_digest"), F.inline(kinds))
     rows = rows.withColumnRenamed("id", "record_id").withColumn("content_length", F.octet_length("content").cast("long")).withColumn("block_digest", digest(F.col("content")))
     header = F.concat(
@@ -124,8 +146,14 @@ def oracle(date: str = "2024-01-01T00:00:00Z") -> str:
     text = "payload"
     for pattern, put in STEPS:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(put)}, 'g')"
-    for name, char in ENTITIES:
-        text = f"replace({text}, {quote(name)}, {quote(char)})"
+    names = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    known = f"map([{', '.join(map(quote, names))}], [{', '.join(map(quote, names.values()))}])"
+    name = f"regexp_extract('&' || x, {quote('^' + REFERENCE)}, 1)"
+    code = f"CASE WHEN lower({name})[2] = 'x' THEN CAST('0x' || {name}[3:] AS INTEGER) ELSE CAST({name}[2:] AS INTEGER) END"
+    char = f"CASE WHEN {name}[1] = '#' THEN chr({code}) ELSE coalesce(m[{name}], '&' || {name} || ';') END"
+    piece = f"CASE WHEN i = 1 THEN x WHEN {name} = '' THEN '&' || x ELSE {char} || x[length({name}) + 2:] END"
+    decode = lambda t: f"replace(array_to_string(list_transform(string_split({t}, '&'), lambda x, i: {piece}), ''), chr(160), ' ')"
+    text = decode(text)
     for pattern, put in SPACES:
         text = f"regexp_replace({text}, {quote(pattern)}, {quote(put)}, 'g')"
     uuid = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
@@ -133,10 +161,10 @@ def oracle(date: str = "2024-01-01T00:00:00Z") -> str:
     nl = "chr(13) || chr(10)"
     return f"""
 WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
-  {ident("response", "CAST(page_id AS VARCHAR) || chr(31) || coalesce(url, '')")} AS refers_to FROM pages),
+  {ident("response", "coalesce(CAST(page_id AS VARCHAR), '') || chr(31) || coalesce(url, '') || chr(31) || 'sha256:' || sha256(coalesce(html, ''))")} AS refers_to, {known} AS m FROM pages),
 t AS (SELECT *, 'sha256:' || sha256(payload) AS source_digest, {ident("conversion", "refers_to")} AS conv_id, {text} AS body,
-  trim(regexp_replace(regexp_extract(payload, {quote(TITLE)}, 1), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title,
-  regexp_extract_all(payload, {quote(LINK)}, 1) AS links FROM r),
+  trim(regexp_replace({decode(f"regexp_extract(payload, {quote(TITLE)}, 1)")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title,
+  list_filter(string_split({decode(f"array_to_string(list_transform(regexp_extract_all(payload, {quote(LINK)}, 1), lambda x: regexp_replace(x, {quote(QUOTES)}, '', 'g') || chr(10)), '')")}, chr(10)), lambda x: x <> '') AS links FROM r),
 k AS (SELECT page_id, target_uri, refers_to, source_digest, 'conversion' AS warc_type, conv_id AS record_id, 'text/plain; charset=utf-8' AS content_type, body AS content FROM t
  UNION ALL SELECT page_id, target_uri, refers_to, source_digest, 'metadata', {ident("metadata", "refers_to")}, 'application/warc-fields',
   'source-record: ' || refers_to || {nl} || 'source-payload-digest: ' || source_digest || {nl} || 'derived-record: ' || conv_id || {nl}
