@@ -91,11 +91,15 @@ def overflow(rows: DataFrame, keys: tuple[str, ...], limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, key: str = "doc_id") -> None:
-    """Writes each shard as a folder ``shard=.../page=...``; the rows of a shard meet in one task, so in one file."""
-    docs = docs.drop("shard", "page")
-    row = docs.select(F.col(key).alias("key"), F.struct(*docs.columns).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("weight"))
+    """Writes each shard as a folder ``shard=.../page=...``; the rows of a shard meet in one task, so in one file.
+
+    If the table has columns of these names, they stay, and the folders get an underscore before theirs. A null key is
+    a key like any other; an empty table writes no shard.
+    """
+    folders = [f"_{x}" if {"shard", "page"} & set(docs.columns) else x for x in ("shard", "page")]
+    row = docs.select(F.col(key).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("weight"))
     placed = shard(row, limit, ("key",), F.col("weight"), carry=("row",))  # whole rows, so that each is written once
-    placed.select("row.*", "shard", "page").repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    placed.select("row.*", *(F.col(x).alias(y) for x, y in zip(("shard", "page"), folders, strict=True))).repartition(*folders).write.partitionBy(*folders).parquet(path)
 
 
 def oracle(limit: int = LIMIT_BYTES) -> str:
