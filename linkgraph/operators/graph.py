@@ -3,7 +3,7 @@
 nodes: id, type, path, line, level, title, pos. edges: src, dst, kind ('reference' or 'containment'), from the
 identifier that is mentioned to the one whose section mentions it. kids: parent, child of the heading tree, or None.
 typed: the references with the types of both ends where a source knows them (src, dst, src_type, dst_type; a pair may
-be repeated), else None. All identifiers of a file have its type.
+be repeated, no end refers to itself), else None. All identifiers of a file have its type.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def descendants(graph: LinkGraph) -> DataFrame:
 def typed_references(graph: LinkGraph) -> DataFrame:
     """src, dst, dst_type of the reference edges; pairs may be repeated if the source knows the types."""
     if graph.typed is not None:
-        return graph.typed.where("src <> dst").select("src", "dst", "dst_type")
+        return graph.typed.select("src", "dst", "dst_type")
     types = graph.nodes.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"))
     return graph.edges.where(F.col("kind") == REFERENCE).join(types, "dst").select("src", "dst", "dst_type")
 
@@ -236,7 +236,7 @@ def impact(graph: LinkGraph, start: str, depth: int = 0) -> DataFrame:
     stages = {t: i for i, t in reversed([*enumerate(graph.chain)])}
     types = graph.nodes.select("id", "type")
     if graph.typed is not None:
-        typed = graph.typed.where("src <> dst")
+        typed = graph.typed
     else:
         typed = graph.edges.join(types.toDF("dst", "dst_type"), "dst").join(types.toDF("src", "src_type"), "src")
     # written once: each round reads src, dst and two numbers of it

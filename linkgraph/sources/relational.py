@@ -19,7 +19,8 @@ MENTIONS = (("REG", "n_regionkey", "NAT"), ("NAT", "c_nationkey", "CUS"), ("CUS"
 
 
 def ident(kind: str, *cols: str) -> Column:
-    return F.concat(F.lit(f"{kind}-"), F.concat_ws(".", *(F.col(c).cast("string") for c in cols)))
+    first, *more = (F.col(c).cast("string") for c in cols)
+    return F.concat(F.lit(f"{kind}-"), first, *(F.concat(F.lit("."), c) for c in more))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
