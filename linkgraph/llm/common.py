@@ -46,7 +46,7 @@ def screened(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
     x = number(F.col(ids.columns[0]))
     bits = ids.groupBy(F.bitmap_bucket_number(x).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("_bits"))  # 513 rows of 4 KB at most
     h = number(key)
-    own = rows.select(F.struct(*rows.columns).alias("row"), F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).cast("int").alias("_at"))
+    own = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).cast("int").alias("_at"))
     bit = F.expr("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) as int), _at % 8) & 1 = 1")
     return own.join(F.broadcast(bits), "_bucket", "left").select("row", F.coalesce(bit, F.lit(False)).alias("maybe"))
 
@@ -80,6 +80,12 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def map_rows(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The table that ``work`` makes of whole rows, column by column at its place; any column name will do."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(tidy(work), plain.schema).toDF(*docs.columns)
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % folds, F.lit(0))

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkgraph.llm.common import tidy, without, written
 from linkgraph.llm.omh import _ODD, mix
 
 PIECE = regex.compile(r"\d+(?:[.,]\d+)*|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|\p{L}[\p{L}\p{M}]*|[.!?:\n%$€£°]")
@@ -32,24 +33,28 @@ MAP_BITS = 22
 
 
 def template(text: str) -> tuple[list[str], list[tuple[int, str]]]:
-    """Template words, and (place, value) of each slot. Neighbouring names are one slot; signs are slots only as units."""
+    """Template words, and (place, value) of each slot. Neighbouring names are one slot; signs are slots only as units.
+
+    Every capitalised word is a name, at the start of a sentence too: there it may be one, and an ordinary word in the
+    same place is a slot with the same value.
+    """
     words: list[str] = []
     slots: list[tuple[int, str]] = []
-    start, kind = True, ""
+    kind = ""
     for p in PIECE.findall(text):
         if p in ENDS:
-            start, kind = True, ""
+            kind = ""
             continue
         last, low = kind, p.lower()
         if p[0].isdigit():
             kind = NUMBER
         elif low in UNITS and last == NUMBER:
             kind = UNIT
-        elif p[0].isupper() and not start:
+        elif p[0].isupper():
             kind = NAME
         elif low[0].isalpha():
             words.append(low)
-            start, kind = False, ""
+            kind = ""
             continue
         else:
             continue
@@ -58,7 +63,6 @@ def template(text: str) -> tuple[list[str], list[tuple[int, str]]]:
         else:
             slots.append((len(words), low))
             words.append(kind)
-        start = False
     return words, slots
 
 
@@ -95,7 +99,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["item_id", "windows", "size", "ipos", "h", "islots", "iplaces"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "item_id long, windows int, size int, ipos int, h long, islots array<string>, iplaces array<int>")
+    return rows.mapInArrow(tidy(cut), "item_id long, windows int, size int, ipos int, h long, islots array<string>, iplaces array<int>")
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, by_window: bool = False) -> DataFrame:
@@ -106,8 +110,6 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float =
     by one and reported together; null or empty texts and items, and empty tables, give no rows; other columns of
     either table are ignored.
     """
-    from linkgraph.llm.common import written
-
     spark = docs.sparkSession
     theirs = written(item_windows(items, window))
     word = F.shiftrightunsigned(F.col("h").bitwiseAND((1 << MAP_BITS) - 1), 6)
@@ -142,7 +144,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "row", "size", "pos", "h", "slots"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ours = rows.mapInArrow(screen, "doc_id long, row long, size int, pos int, h long, slots array<string>")
+    ours = rows.mapInArrow(tidy(screen), "doc_id long, row long, size int, pos int, h long, slots array<string>")
     met = ours.join(theirs, ["h", "size"]).where(F.size("slots") == F.size("islots")).withColumn("shift", F.col("pos") - F.col("ipos"))
     # a placement's windows, each with the mentions in it: place in the item, item value and text value
     mentions = F.arrays_zip(F.col("iplaces").alias("p"), F.col("islots").alias("a"), F.col("slots").alias("b"))
@@ -167,5 +169,4 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float =
 
 def clean(docs: DataFrame, items: DataFrame, by_window: bool = False) -> DataFrame:
     """The documents that hold no benchmark item; those with a null doc_id stay."""
-    held = find(docs, items, by_window=by_window).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, "doc_id", written(find(docs, items, by_window=by_window).select("doc_id").distinct()))
