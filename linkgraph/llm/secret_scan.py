@@ -3,8 +3,11 @@
 Three patterns give the base spans. Beyond them, every long run of key characters is tested: chi-squared uniformity over
 the alphabet of its inferred encoding, runs above and below the middle of that alphabet, and lag-1 serial correlation.
 A string that any of these tells from a random one is no key. The others still could be ordinary text by chance, the
-more easily the shorter they are: the probability that letters drawn as in the whole corpus look like that is held
-against a false-discovery bound, taken separately for each encoding and length class over all documents.
+more easily the shorter they are. Their evidence is ``e = (combined p of the battery) * P(string | random in its
+encoding) / P(string | text)``, where text draws letters as the whole corpus does, and capitals, digits and signs as
+often as names in code have them. For such text its expectation is at most 1, as that of the ratio is 1 and no p exceeds
+1, so ``1 / e`` is a p value of text at any length. It is held against a false-discovery bound, taken separately for
+each encoding and length class over all documents.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import written
+from linkgraph.llm.common import map_rows, tidy, written
 
 #: The base patterns, the group whose length counts, and the least length, in the order of kinds.
 BASE = (
@@ -39,7 +42,12 @@ ENCODINGS = (
 SETS = [(name, frozenset(alphabet), {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
 #: Each test's level, the false-discovery bound, first lengths of the classes, and steps per decade of p.
 LEVEL, FDR, LENGTHS, STEPS = 0.001, 0.001, (20, 32, 48, 80, 160), 20
-SYMBOLS = LOWER + DIGITS
+SYMBOLS = LOWER + DIGITS + UPPER + "+/-_"
+PLACE = np.full(256, len(SYMBOLS))
+PLACE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
+#: Shares of small letters, capitals, digits and signs in long words and names.
+SMALL, CAPITAL, DIGIT, SIGN = 0.55, 0.2, 0.1, 0.15
+SIZES = {name: len(alphabet) for name, alphabet in ENCODINGS}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -79,84 +87,78 @@ def battery(s: str, code: dict[str, int]) -> tuple[float, float, float]:
     return p_chi, p_runs, p_serial
 
 
-def as_text(counts: list[int], share: np.ndarray) -> float:
-    """log10 of the chance that text with these symbol shares holds as many digits and repeats letters as little."""
-    c = np.array(counts, float)
-    n, digits = int(c.sum()), int(c[26:].sum())
-    rate = min(0.5, max(1e-6, float(share[26:].sum())))
-    tail = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(rate) + (n - j) * math.log1p(-rate) for j in range(digits, n + 1)]
-    top = max(tail)
-    out = min(0.0, (top + math.log(sum(math.exp(x - top) for x in tail))) / math.log(10))
-    letters, q = int(c[:26].sum()), share[:26] / max(1e-9, share[:26].sum())
-    if letters > 2:
-        s2, s3 = float((q**2).sum()), float((q**3).sum())
-        pairs = letters * (letters - 1)
-        spread = 2 / pairs * (s2 - s2**2) + 4 * (letters - 2) / pairs * max(0.0, s3 - s2**2)
-        z = ((c[:26] * (c[:26] - 1)).sum() / pairs - s2) / math.sqrt(spread) if spread > 0 else 0.0
-        out += math.log10(max(1e-300, 0.5 * math.erfc(-z / math.sqrt(2))))
-    return out
+def symbols(s: str) -> np.ndarray:
+    """Counts of the key characters, and last of all other bytes."""
+    return np.bincount(PLACE[np.frombuffer(s.encode(), np.uint8)], minlength=len(SYMBOLS) + 1)
 
 
-FOUND = "doc_id long, number long, base array<struct<start:int,end:int,kind:string>>, more array<struct<start:int,end:int,kind:string,counts:array<int>>>, symbols array<long>"
+def text_shares(counts: np.ndarray) -> np.ndarray:
+    """Shares of the key characters in text, of which the corpus counts tell those of letters, in either case together."""
+    letters = counts[:26] + counts[36:62] + 1
+    letters /= letters.sum()
+    return np.concatenate([SMALL * letters, np.full(10, DIGIT / 10), CAPITAL * letters, np.full(4, SIGN / 4)])
 
 
-def tested(docs: DataFrame, keep=None) -> DataFrame:
+def evidence(kind: str, p: float, counts, share: np.ndarray) -> int:
+    """log10 of ``e`` in steps: the battery's p, and how much likelier a random string is than text with these shares."""
+    ratio = float(np.dot(counts, -math.log(SIZES[kind]) - np.log(share)))
+    return math.floor((ratio / math.log(10) + math.log10(p)) * STEPS)
+
+
+def random_strings(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, float, np.ndarray]]:
+    """start, end, encoding, combined p (Bonferroni's) and symbol counts of the strings beside the spans that pass the battery."""
+    for m in CANDIDATE.finditer(text):
+        s = m[0]
+        if any(a < m.end() and m.start() < b for a, b, _ in spans):
+            continue
+        letters = frozenset(s)
+        name, _, code = next(x for x in SETS if letters <= x[1])
+        p = min(battery(s, code))
+        if p >= LEVEL / 3:
+            yield m.start(), m.end(), name, min(1.0, 3 * p), symbols(s)[:-1]
+
+
+FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string>>, more array<struct<start:int,end:int,kind:string,p:double,counts:array<int>>>, symbols array<long>"
+
+
+def tested(docs: DataFrame) -> DataFrame:
     """Base spans and the strings that pass the battery of every row; the last row of a batch has its symbol counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(256, 36)
-        for i, c in enumerate(SYMBOLS):
-            place[[ord(c), ord(c.upper())]] = i
         for batch in batches:
-            base, more, symbols = [], [], np.zeros(37, np.int64)
-            for value in batch.column(2):
+            base, more, met = [], [], np.zeros(len(SYMBOLS) + 1, np.int64)
+            for value in batch.column(1):
                 text = value.as_py() or ""
-                symbols += np.bincount(place[np.frombuffer(text.encode(), np.uint8)], minlength=37)
+                met += symbols(text)
                 spans = base_spans(text)
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-                own = []
-                for m in CANDIDATE.finditer(text):
-                    s = m[0]
-                    if any(a < m.end() and m.start() < b for a, b, _ in spans):
-                        continue
-                    letters = frozenset(s)
-                    name, _, code = next(x for x in SETS if letters <= x[1])
-                    if min(battery(s, code)) >= LEVEL / 3:
-                        counts = np.bincount(place[np.frombuffer(s.encode(), np.uint8)], minlength=37)[:36]
-                        own.append({"start": m.start(), "end": m.end(), "kind": name, "counts": counts.tolist()})
-                more.append(own)
+                more.append([{"start": a, "end": b, "kind": k, "p": p, "counts": n.tolist()} for a, b, k, p, n in random_strings(text, spans)])
             kinds = [f.type for f in ARROW]
-            totals = [None] * (batch.num_rows - 1) + [symbols[:36].tolist()] * bool(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, kinds[1]), pa.array(more, kinds[2]), pa.array(totals, kinds[3])], names=["doc_id", "number", "base", "more", "symbols"])
+            totals = [None] * (batch.num_rows - 1) + [met[:-1].tolist()] * bool(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kinds[1]), pa.array(more, kinds[2]), pa.array(totals, kinds[3])], names=["doc_id", "base", "more", "symbols"])
 
     span = [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]
-    ARROW = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.struct(span))), ("more", pa.list_(pa.struct([*span, ("counts", pa.list_(pa.int32()))]))), ("symbols", pa.list_(pa.int64()))])  # noqa: N806
-    number = F.lit(None).cast("long") if keep is None else keep
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("number"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    ARROW = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(pa.struct(span))), ("more", pa.list_(pa.struct([*span, ("p", pa.float64()), ("counts", pa.list_(pa.int32()))]))), ("symbols", pa.list_(pa.int64()))])  # noqa: N806
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), FOUND)
 
 
 def length_class(n: int) -> int:
     return max(i for i, x in enumerate(LENGTHS) if n >= x)
 
 
-def scan(docs: DataFrame, keep=None) -> DataFrame:
-    """doc_id, number (what ``keep`` gives), base and added spans of every row: arrays of (start, end, kind), added ones of kind ``random-<encoding>``.
+def cut_offs(found: DataFrame) -> tuple[np.ndarray, dict[tuple[str, int], int]]:
+    """Symbol shares of text, and for each (encoding, length class) the least step of a discovery.
 
-    A null or empty text has none. Repeated rows and ids are scanned one by one; other columns are ignored. The strings
-    that pass the battery are few and written once. What reaches the driver: 36 symbol counts, and at most a row for
-    each encoding, length class and step of p.
+    What reaches the driver: a count for each symbol, and at most a row for each encoding, length class and step.
     """
-    found = written(tested(docs, keep))
     totals = {r.k: r.n for r in found.where(F.col("symbols").isNotNull()).select(F.posexplode("symbols").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    share = np.array([totals.get(k, 0) + 1.0 for k in range(36)])
-    share /= share.sum()
+    share = text_shares(np.array([totals.get(k, 0) for k in range(len(SYMBOLS))], float))
 
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string,class:int,step:int>>")
+    @F.pandas_udf("array<struct<kind:string,class:int,step:int>>")
     def judge(more):
-        return more.map(lambda own: [{"start": x["start"], "end": x["end"], "kind": x["kind"], "class": length_class(x["end"] - x["start"]), "step": int(-as_text(x["counts"], share) * STEPS)} for x in own])
+        return more.map(lambda own: [{"kind": x["kind"], "class": length_class(x["end"] - x["start"]), "step": evidence(x["kind"], x["p"], x["counts"], share)} for x in own])
 
-    judged = found.select("doc_id", "number", "base", judge("more").alias("more"))
-    steps = judged.select(F.inline("more")).groupBy("kind", "class", "step").agg(F.count("*").alias("n"))
+    steps = found.where(F.size("more") > 0).select(F.inline(judge("more"))).groupBy("kind", "class", "step").agg(F.count("*").alias("n"))
     cuts: dict[tuple[str, int], int] = {}
     groups: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for r in steps.collect():
@@ -167,9 +169,23 @@ def scan(docs: DataFrame, keep=None) -> DataFrame:
             above += n
             if 10 ** (-step / STEPS) <= FDR * above / total:
                 cuts[key] = step
-    least = lambda x: F.coalesce(*(F.when((x["kind"] == k) & (x["class"] == c), F.lit(s)) for (k, c), s in sorted(cuts.items())), F.lit(1 << 30))
-    added = F.transform(F.filter("more", lambda x: x["step"] >= least(x)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("random-"), x["kind"]).alias("kind"))) if cuts else F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return judged.select("doc_id", "number", "base", added.alias("added"))
+    return share, cuts
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, base and added spans of every row: arrays of (start, end, kind), added ones of kind ``random-<encoding>``.
+
+    A null or empty text has none. Repeated rows and ids are scanned one by one; other columns are ignored. The strings
+    that pass the battery are few and written once.
+    """
+    found = written(tested(docs))
+    share, cuts = cut_offs(found)
+
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
+    def added(more):
+        return more.map(lambda own: [{"start": x["start"], "end": x["end"], "kind": f"random-{x['kind']}"} for x in own if evidence(x["kind"], x["p"], x["counts"], share) >= cuts.get((x["kind"], length_class(x["end"] - x["start"])), 1 << 30)])
+
+    return found.select("doc_id", "base", F.when(F.size("more") > 0, added("more")).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>")).alias("added"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -193,24 +209,30 @@ def redacted(text: str | None, spans: list[tuple[int, int]], mark: str) -> str |
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The columns of documents, with every base and added span of ``text`` replaced and ``n_chars`` counted anew.
+    """The columns of documents, with every base and added span of ``text`` replaced and ``n_chars``, if there, counted anew.
 
-    Spans of all rows of a doc_id are kept apart by a hash of their text. A null text stays null.
+    The first pass only finds the cut-offs; the second scans each text again where it stands, so no row moves. Rows
+    without a span keep their ``n_chars``; a null text stays null; repeated rows and ids are treated one by one.
     """
-    number = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    found = scan(rows, keep=number).where((F.size("base") > 0) | (F.size("added") > 0))
-    spans = F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    few = found.select(F.col("doc_id").alias("_id"), F.col("number").alias("_number"), spans.alias("_spans")).dropDuplicates(["_id", "_number"])
-
-    @F.pandas_udf("string")
-    def put(text, spans):
-        import pandas as pd
-
-        return pd.Series([redacted(t, [] if s is None else [(x["start"], x["end"]) for x in s], mark) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    both = docs.join(few, docs["doc_id"].eqNullSafe(few["_id"]) & (number == few["_number"]), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(put("text", "_spans"))
-    new = both.withColumn("_text", text)
-    changes = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")) if "n_chars" in docs.columns else None}
-    return new.select(*(changes[c].alias(c) if changes.get(c) is not None else F.col(c) for c in docs.columns))
+    share, cuts = cut_offs(written(tested(docs).where((F.size("more") > 0) | F.col("symbols").isNotNull()).select("more", "symbols")))
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):  # a few texts are copied at a time
+                batch = whole.slice(start, 1000)
+                texts, sizes = [], batch.column(count).to_pylist() if count is not None else None
+                for k, value in enumerate(batch.column(at)):
+                    text = value.as_py()
+                    spans = base_spans(text or "")
+                    own = [(a, b) for a, b, _ in spans] + [(a, b) for a, b, kind, p, n in random_strings(text or "", spans) if evidence(kind, p, n, share) >= cuts.get((kind, length_class(b - a)), 1 << 30)]
+                    texts.append(redacted(text, own, mark))
+                    if own and sizes is not None:
+                        sizes[k] = len(texts[-1])
+                columns = list(batch.columns)
+                columns[at] = pa.array(texts, columns[at].type)
+                if count is not None:
+                    columns[count] = pa.array(sizes, columns[count].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_rows(docs, put)
