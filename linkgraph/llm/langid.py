@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkgraph.llm.common import map_rows, tidy
 from linkgraph.llm.ngrams import gram_buckets, sums
 from linkgraph.llm.tokens import release
 
@@ -36,9 +37,14 @@ STARTS = [a for a, _ in SCRIPTS]
 #: language does not use, in nats; a script counts as used from this share of the language's words.
 BITS, WEIGHT, SWITCH, FOREIGN, USED = 15, 0.5, 8.0, 30.0, 0.01
 BUCKETS, GRAMS = 1 << BITS, (1, 2, 3, 4)
+#: What one pair of letters may add to a word's evidence at most, in nats; shorter words are no evidence beside others;
+#: and texts with fewer letters are too short to judge their spelling.
+PAIR_LIMIT, LEAST_WORD, LEAST_LETTERS = 4.0, 3, 20
+#: Letters that gibberish picks from, in a script of letters and in one of syllables or words.
+ALPHABET, SIGNS, SIGN_SCRIPTS = 40, 2000, ("Han", "Kana", "Hangul")
 #: Documents that a model is fitted on, about; chosen by a hash of id and text.
 TRAIN_DOCS = 20_000
-MEMO_WORDS, CELLS = 200_000, 1_000_000
+MEMO_WORDS, CELLS, STEP, PART = 120_000, 1_000_000, 1000, 5000
 
 
 def script(word: str) -> str:
@@ -61,6 +67,24 @@ class Model:
         used = np.array([self.scripts.get(script(w), nothing) for w in words]).reshape(s.shape)
         return np.where(used.any(1, keepdims=True), s - FOREIGN * ~used, 0).astype(np.float32)
 
+    def known(self, words: list[str]) -> np.ndarray:
+        """By language, whether a word is in a script that it uses and its letters follow one another as the language's do:
+        its pairs are likelier than letters drawn one by one, half of them as often as in the language and half evenly."""
+        n, kinds = len(words), [script(w) for w in words]
+        lengths = np.fromiter(map(len, words), np.int64, n) + 2
+        one, two = (gram_buckets(words, (k,), BITS)[0][:-n] for k in (1, 2))
+        last = np.zeros(len(one), bool)
+        last[np.cumsum(lengths) - 1] = True
+        at, whose = np.flatnonzero(~last), np.repeat(np.arange(n), lengths - 1)
+        even = np.repeat([0.5 / (SIGNS if x in SIGN_SCRIPTS else ALPHABET) for x in kinds], lengths)
+        nothing, out = np.zeros(len(self.langs), bool), np.zeros((n, len(self.langs)), bool)
+        for k in range(len(self.langs)):
+            t = self.table[:, k] + np.log(len(GRAMS))  # of all grams, about a quarter are single letters and a quarter are pairs
+            drawn = np.log(0.5 * np.exp(t[one]) + even)
+            gain = np.clip(t[two] - drawn[at] - drawn[at + 1], -PAIR_LIMIT, PAIR_LIMIT)
+            out[:, k] = np.bincount(whose, gain, n) > 0
+        return out & np.array([self.scripts.get(x, nothing) for x in kinds]).reshape(out.shape)
+
 
 def fit(docs: DataFrame, train: Column, sample: int = TRAIN_DOCS) -> Model:
     """Counts n-grams by language over about ``sample`` whole texts of the rows where ``train`` holds.
@@ -86,7 +110,7 @@ def fit(docs: DataFrame, train: Column, sample: int = TRAIN_DOCS) -> Model:
                 keys = [f"g{x}" for x in at] + [f"s{x}" for x in seen]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array([*n[at], *seen.values()], pa.float64())], names=["lang", "key", "n"])
 
-    summed = rows.where(part).select("lang", "text").mapInArrow(count, "lang string, key string, n double").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    summed = rows.where(part).select("lang", "text").mapInArrow(tidy(count), "lang string, key string, n double").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(summed["lang"]))
     counts, seen = np.full((BUCKETS, len(langs)), 0.1), {}
     column = summed["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)
@@ -101,24 +125,33 @@ def fit(docs: DataFrame, train: Column, sample: int = TRAIN_DOCS) -> Model:
 
 
 class Scorer(dict):
-    """Word -> row of a table of scores; one a worker and model."""
+    """Word -> row of a table of scores, and of what is known; one a worker and model."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, judge: bool = False):
         super().__init__()
-        self.model = model
+        self.model, self.judge = model, judge
         self.rows = np.zeros((1024, max(1, len(model.langs))), np.float32)
+        self.known = np.zeros(self.rows.shape if judge else (0, 0), bool)
 
-    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """A row for each word of each text."""
+    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The row of each word of each text."""
         if len(self) > MEMO_WORDS:
             self.clear()
         if new := [w for w in set().union(*texts) if w not in self]:
             k = len(self)
             while k + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[k : k + len(new)] = self.model.score(new)
+                self.rows, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.known))
+            for a in range(0, len(new), PART):  # a part at a time, for the memory of all n-grams of all words
+                part = new[a : a + PART]
+                self.rows[k + a : k + a + len(part)] = self.model.score(part)
+                if self.judge:
+                    self.known[k + a : k + a + len(part)] = self.model.known(part)
             self.update(zip(new, range(k, k + len(new)), strict=True))
-        return [self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))] for words in texts]
+        return [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+
+    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Scores of each word of each text."""
+        return [self.rows[at] for at in self.places(texts)]
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -160,46 +193,53 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     return out
 
 
+def label_texts(texts: list[str | None], scorer: Scorer, spans: bool = False) -> list[tuple]:
+    """lang_pred, score, n_spans and spans (empty unless asked for) of each text."""
+    langs, found, places = scorer.model.langs, [], []
+    for text in texts:
+        text = text or ""
+        if spans:
+            places.append([m.span() for m in WORD.finditer(text)])
+            found.append([text[i:j].lower() for i, j in places[-1]])
+        else:
+            found.append(WORD.findall(text.lower()))
+    rows = scorer.places(found) if langs else [np.zeros(0, np.int64)] * len(found)
+    scores, out = [scorer.rows[at] for at in rows], []
+    for k, (words, at, s, labels) in enumerate(zip(found, rows, scores, viterbi(scores), strict=True)):
+        if not len(labels):
+            out.append((UNDETERMINED, 0.0, 0, []))
+            continue
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        weight = size * (size >= LEAST_WORD) if size.max() >= LEAST_WORD else size
+        top = int(np.lexsort((s.sum(0), np.bincount(labels, weight, len(langs))))[-1])
+        known = scorer.known[at, top]
+        if weight.sum() < LEAST_LETTERS:
+            known = np.array([script(w) in scorer.model.scripts and scorer.model.scripts[script(w)][top] for w in words])
+        marks = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+        where = [{"start": places[k][i][0], "end": places[k][j - 1][1], "lang": langs[labels[i]]} for i, j in zip(marks, marks[1:], strict=False)] if spans else []
+        out.append((langs[top], float((weight * known * (labels == top)).sum() / weight.sum()), len(marks) - 1, where))
+    return out
+
+
 def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score (share of letters in that language), n_spans and, if asked for, the spans.
+    """doc_id, lang_pred, score, n_spans and, if asked for, the spans.
 
-    A text that is null or has no letter gives ``und``, score 0 and no span, and so does every text if the model has
-    no language. Spans are (start, end, lang) in code points, from the first to the last word of a run. Repeated rows
-    and ids are treated one by one; other columns are ignored.
+    ``score`` is the share of all letters that stand in words of the language: labelled with it, in a script that it
+    uses, and spelled as its words are (words of one or two letters count only where there are no others, and spelling
+    only from ``LEAST_LETTERS`` letters on). A text in a script that no language uses, or of random letters, has a score
+    near 0. A text that is null or has no letter gives ``und``, score 0 and no span, and so does every text if the model
+    has no language. Spans are (start, end, lang) in code points, from the first to the last word of a run. Repeated
+    rows and ids are treated one by one; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        model = sent.value
-        scorer, langs = Scorer(model), np.array([*model.langs, UNDETERMINED], dtype=object)
+        scorer = Scorer(sent.value, True)
         for batch in batches:
-            texts, step = batch.column(1), 1000
-            for a in range(0, batch.num_rows, step):
-                found: list[list[str]] = []
-                places = []
-                for x in texts[a : a + step]:
-                    text = x.as_py() or ""
-                    if spans:
-                        matches = [m.span() for m in WORD.finditer(text)]
-                        places.append(matches)
-                        found.append([text[i:j].lower() for i, j in matches])
-                    else:
-                        found.append(WORD.findall(text.lower()))
-                scores = scorer.scores(found) if model.langs else [np.zeros((0, 1), np.float32)] * len(found)
-                pred, share, runs, where = [], [], [], []
-                for k, (words, s, labels) in enumerate(zip(found, scores, viterbi(scores), strict=True)):
-                    if not len(labels):
-                        pred.append(UNDETERMINED), share.append(0.0), runs.append(0), where.append([])
-                        continue
-                    letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), len(model.langs))
-                    top = int(np.lexsort((s.sum(0), letters))[-1])
-                    cuts = np.flatnonzero(np.diff(labels)) + 1
-                    pred.append(langs[top]), share.append(float(letters[top] / letters.sum())), runs.append(len(cuts) + 1)
-                    if spans:
-                        marks = [0, *cuts.tolist(), len(labels)]
-                        where.append([{"start": places[k][i][0], "end": places[k][j - 1][1], "lang": langs[labels[i]]} for i, j in zip(marks, marks[1:], strict=False)])
-                columns = [batch.column(0)[a : a + step], pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(runs, pa.int32())]
+            for a in range(0, batch.num_rows, STEP):
+                pred, share, runs, where = zip(*label_texts(batch.column(1).slice(a, STEP).to_pylist(), scorer, spans), strict=True)
+                columns = [batch.column(0).slice(a, STEP), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(runs, pa.int32())]
                 names = ["doc_id", "lang_pred", "score", "n_spans"]
                 if spans:
                     columns.append(pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
@@ -207,4 +247,24 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, lang_pred string, score double, n_spans int" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(label, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(label), schema)
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows whose text is in a language of the model, with all their columns.
+
+    A row goes if its text has no letter (null and empty too) or a score under ``least``. Each row is judged by itself
+    where it is read, so rows that repeat a doc_id need not share a fate, a null doc_id is like any other, and no row moves.
+    """
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        scorer = Scorer(sent.value, True)
+        for batch in batches:
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                stays = [pred != UNDETERMINED and share >= least for pred, share, _, _ in label_texts(part.column(place).cast(pa.string()).to_pylist(), scorer)]
+                yield part.filter(pa.array(stays, pa.bool_()))
+
+    return map_rows(docs, judge)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm import langid
+from linkgraph.llm.common import tidy
 from linkgraph.llm.ngrams import gram_buckets, sums
 
 #: Embedding buckets and size, filter widths, filters of each width.
@@ -272,4 +273,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(langs, pa.string())], names=["doc_id", "score", "predicted", "lang_guess"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, lang_guess string")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, lang_guess string")
