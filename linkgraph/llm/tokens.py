@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?*#$%&()\"-"
 PLAIN, CLOSED, LEADING = re.compile(f"[{LETTERS}]+"), f"^[{LETTERS}]+[{MARKS}]*$", f"^[{LETTERS}]+"
 #: Longer pieces are not remembered; the memo is emptied when it holds so many, or so many ids.
-MEMO_CHARS, MEMO_ENTRIES, MEMO_IDS = 48, 300_000, 4_000_000
+MEMO_CHARS, MEMO_ENTRIES, MEMO_IDS = 48, 150_000, 2_000_000
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _ENCODERS: dict[str, "Encoder"] = {}
 

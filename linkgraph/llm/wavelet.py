@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import crc_u32, scratch
+from linkgraph.llm.common import crc_u32, scratch, tidy
 from linkgraph.llm.tokens import encoded
 
 MAGIC = b"WMX1"
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    dealt.mapInArrow(encode, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
+    dealt.mapInArrow(tidy(encode), SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -229,7 +229,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([part] * len(docs), pa.int32()), pa.array([seq] * len(docs), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "part", "seq", "at", "n_tokens", "ids_crc32"])
 
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    docs = shards.select("part", "seq", "shard").mapInArrow(decode, "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
+    docs = shards.select("part", "seq", "shard").mapInArrow(tidy(decode), "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
     sizes = shards.select("part", "seq", F.col("n_tokens").alias("size"))
     before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("size").alias("size")).select("part", before(Window.orderBy("part")).alias("part_start"))
@@ -247,7 +247,7 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
                 at = unpack(blob)[2].occurrences(token)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part), pa.int32()), pa.array(np.full(len(at), seq), pa.int32()), pa.array(at, pa.int64())], names=["part", "seq", "position"])
 
-    return spark.read.schema(SHARD_SCHEMA).parquet(path).select("part", "seq", "shard").mapInArrow(look, "part int, seq int, position long")
+    return spark.read.schema(SHARD_SCHEMA).parquet(path).select("part", "seq", "shard").mapInArrow(tidy(look), "part int, seq int, position long")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
