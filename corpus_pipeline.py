@@ -13,15 +13,13 @@ from linkgraph.llm import decontam, jaccard, langid, packing, secret_scan
 from linkgraph.llm.common import written
 from linkgraph.llm.queries import language_model, table, tokenizer_path
 
-#: Share of a text's letters that its language must hold.
+#: Share of a text's letters that must stand in known words of its language.
 LEAST_SHARE = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter (null and empty ones too), or with no language that holds a share, go."""
-    found = written(langid.predict(docs, language_model(docs)))
-    rejected = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Language ID: rows without a letter (null and empty texts too) go, and those of which no language holds a share."""
+    return langid.keep(docs, language_model(docs), LEAST_SHARE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
