@@ -25,6 +25,9 @@ PIECE = regex.compile(r"\d+(?:[.,]\d+)*|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}
 #: Unit words and signs, which count as units next to a number.
 UNITS = frozenset("mm cm m km g kg mg t l ml cl s sec ms min h hr hz khz mhz v w kw j kj cal kcal n pa mol usd eur gbp inch inches foot feet yard yards mile miles ounce ounces pound pounds gallon gallons second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars cent cents euro euros percent degree degrees % $ € £ °".split())
 ENDS = frozenset(".!?:\n")
+#: German articles and the like. A capitalised word after one, or after adjectives that follow it, is a noun.
+ARTICLES = frozenset("der die das dem den des ein eine einem einen einer eines kein keine keinem keinen keiner keines im am zum zur vom beim ins ans dieser diese dieses diesem diesen jeder jede jedes jedem jeden mein meine meinem meinen meiner meines sein seine seinem seinen seiner seines ihr ihre ihrem ihren ihrer ihres unser unsere unserem unseren unserer unseres".split())
+ADJECTIVE = ("e", "em", "en", "er", "es")
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 #: Template words in a window; the share of an item's windows that must be found, and the least number (or all).
 WINDOW, SHARE, LEAST = 8, 0.3, 3
@@ -35,34 +38,38 @@ MAP_BITS = 22
 def template(text: str) -> tuple[list[str], list[tuple[int, str]]]:
     """Template words, and (place, value) of each slot. Neighbouring names are one slot; signs are slots only as units.
 
-    Every capitalised word is a name, at the start of a sentence too: there it may be one, and an ordinary word in the
-    same place is a slot with the same value.
+    A capitalised word is a name, but for a noun after a German article, which is an ordinary word. The first word of a
+    sentence may be a name or an ordinary one, so it is a slot of its own and never part of the name after it.
     """
     words: list[str] = []
     slots: list[tuple[int, str]] = []
-    kind = ""
+    kind, first, noun = "", True, False
     for p in PIECE.findall(text):
         if p in ENDS:
-            kind = ""
+            kind, first, noun = "", True, False
             continue
-        last, low = kind, p.lower()
+        last, opens, low = kind, first, p.lower()
+        capital = p[0].isupper()
         if p[0].isdigit():
             kind = NUMBER
         elif low in UNITS and last == NUMBER:
             kind = UNIT
-        elif p[0].isupper():
+        elif capital and (opens or not noun):
             kind = NAME
         elif low[0].isalpha():
-            words.append(low)
             kind = ""
-            continue
         else:
             continue
-        if kind == NAME and last == NAME:
+        first, noun = False, low in ARTICLES and (opens or not capital) or noun and not capital and low.endswith(ADJECTIVE)
+        if not kind:
+            words.append(low)
+        elif kind == NAME and last == NAME:
             slots[-1] = (slots[-1][0], f"{slots[-1][1]} {low}")
         else:
             slots.append((len(words), low))
             words.append(kind)
+        if opens and kind == NAME:
+            kind = ""
     return words, slots
 
 
