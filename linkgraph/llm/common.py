@@ -94,3 +94,13 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 def crc_u32(data) -> int:
     """Of bytes, or of the bytes of a contiguous array."""
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+#: A table expression of DuckDB's SQL, which has no crc32: ``t`` holds the checksum's step for each byte.
+CRC_TABLE = "crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS t)"
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of an SQL expression, where ``crc`` of ``CRC_TABLE`` is among the tables."""
+    octets = f"list_transform(range(1, length(hex({text})), 2), lambda i: CAST('0x' || substr(hex({text}), CAST(i AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"

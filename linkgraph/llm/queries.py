@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import decontam, jaccard, langid, omh, packing, secret_scan, sharding, toxicity, warc, wavelet
+from linkgraph.llm import decontam, jaccard, langid, omh, packing, secret_scan, sharding, spelling, toxicity, trie, warc, wavelet
 from linkgraph.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,7 +70,19 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, language_model(docs)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.col("n_spans"))
 
 
-OPS = (op1_warc_derivatives, op2_wavelet_shards, op3_jaccard_rtree, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans)
+def op11_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.join(table(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OPS = (op1_warc_derivatives, op2_wavelet_shards, op3_jaccard_rtree, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans, op12_prefix_trie, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -78,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc.oracle(), "op4_extendible_shards": sharding.oracle()}
+    return {"op1_warc_derivatives": warc.oracle(), "op4_extendible_shards": sharding.oracle(), "op12_prefix_trie": trie.oracle(), "op13_spelling_variants": spelling.oracle()}
