@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import decontam, jaccard, langid, omh, packing, secret_scan, sharding, spelling, toxicity, trie, warc, wavelet
+from linkgraph.llm import decontam, jaccard, langid, minhash, omh, packing, secret_scan, sharding, spelling, toxicity, trie, warc, wavelet
 from linkgraph.llm.common import fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,7 +82,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-OPS = (op1_warc_derivatives, op2_wavelet_shards, op3_jaccard_rtree, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans, op12_prefix_trie, op13_spelling_variants)
+OPS = (op1_warc_derivatives, op2_wavelet_shards, op3_jaccard_rtree, op4_extendible_shards, op5_secret_battery, op6_toxicity_cnn, op7_template_decontamination, op8_best_fit_packing, op9_order_minhash, op10_language_spans, op11_minhash_bayes, op12_prefix_trie, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
