@@ -106,7 +106,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
         options = {"id_uniqueness": {"check_sequence": config.rules["id_uniqueness"]["check_sequence"]}, "term_consistency": {"kind": config.rules["term_consistency"]["glossary_type"]}, "dep_order": {"depends": config.depends(), "empty": config.empty_globs(), "missing": config.missing_files()}}
         if "required_sections" in only:
             options["required_sections"] = {"specs": C.section_specs(config)}
-        text, bad = render.verification(rules.verify(corpus, options, only, args.strict), args.format)
+        text, bad = render.verification(rules.verify(corpus, options, only, args.strict), args.format, corpus.docs.count(), only)
         return text, int(bad)
     if args.command == "search":
         rows = sorted(K.search(corpus, args.pattern, args.type, args.limit, args.hits, args.fixed).collect(), key=lambda r: r.rank)  # no more than the limit
@@ -146,7 +146,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if not pattern or spec and args.pattern and args.pattern != spec.id_pattern:
         raise ValueError("no pattern is declared for the file, or another one")
     whole = C.open_corpus(spark, config)  # numbers go on from all declared documents
-    found = scaffold.assignments(whole, pattern, C.targets(config, args.files), args.level, max(args.start, spec.id_start if spec else 1), spec.id_levels if spec else ())
+    found = scaffold.assignments(whole, pattern, C.in_turn(config, args.files), args.level, max(args.start, spec.id_start if spec else 1), spec.id_levels if spec else ())
     text = "".join(f"{r.path}:{r.line}: {r.id}\n" for r in found.orderBy("path", "line").collect())
     if not args.dry_run:
         scaffold.write_all({os.path.join(config.base, p): t for p, t in scaffold.rewritten(whole, found).items()})

@@ -68,11 +68,13 @@ def parent_id(pattern: str, ident: Column | str) -> Column:
 
 
 def natural_key(ident: Column | str) -> Column:
-    """An orderable array in which runs of digits compare as numbers."""
+    """An orderable array in which runs of digits compare as numbers: the number of digits goes before them."""
     runs = F.regexp_extract_all(F.col(ident) if isinstance(ident, str) else ident, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(?=\d)", ""), 20, "0")).otherwise(x))
+    digits = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x))
 
 
 def natural_key_of(ident: str) -> list[str]:
     """The same outside Spark."""
-    return [x.lstrip("0").zfill(20) if x[0].isdigit() else x for x in re.findall(r"\d+|\D+", ident)]
+    digits = lambda x: x.lstrip("0") or "0"
+    return [f"{len(digits(x)):010}{digits(x)}" if x[0] in "0123456789" else x for x in re.findall(r"[0-9]+|[^0-9]+", ident)]

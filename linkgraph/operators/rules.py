@@ -1,51 +1,74 @@
-"""The six integrity rules. Each takes a corpus and gives issues: rule, kind, file, line, message, expected, severity."""
+"""The six integrity rules. Each takes a corpus and gives issues: rule, kind, file, line, message, expected, severity, place.
+
+``place`` orders the issues of one rule, file and line: by where a mention stands, or the order of the glossary.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.functions.idgrammar import parent_id, pattern_regex, seq_of
+from linkgraph.operators.dependency import declared, reached, ring_table, rings
+from linkgraph.operators.intervals import stabbed
 from linkgraph.operators.text import alias_hits, sequence_gaps
 from linkgraph.sources.corpus import Corpus
+from linkgraph.sources.scratch import written
 
 ERROR, WARNING = "error", "warning"
 
 
 def issues(rows: DataFrame, rule: str, kind: str, message: Column, severity: str = ERROR, line: Column | str = "line", expected: Column | None = None) -> DataFrame:
     expected = F.lit(None).cast("string") if expected is None else expected
-    return rows.select(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.col("path").alias("file"), (F.col(line) if isinstance(line, str) else line).cast("int").alias("line"), message.alias("message"), expected.alias("expected"), F.lit(severity).alias("severity"))
+    at = F.col(line) if isinstance(line, str) else line
+    place = F.col("place").cast("long") if "place" in rows.columns else F.lit(0).cast("long")  # among the issues of a line
+    return rows.select(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.col("path").alias("file"), at.cast("int").alias("line"), message.alias("message"), expected.alias("expected"), F.lit(severity).alias("severity"), place.alias("place"))
+
+
+def undefined(refs: DataFrame, defined: DataFrame) -> DataFrame:
+    """The mentions of an id that is not among ``defined``."""
+    return refs.join(defined.select("id"), "id", "left_anti")
 
 
 def ref_integrity(corpus: Corpus) -> DataFrame:
-    bad = corpus.refs.select("path", "line", "id").distinct().join(corpus.nodes.select("id"), "id", "left_anti")
+    bad = undefined(corpus.refs.groupBy("path", "line", "id").agg(F.min("seq").alias("place")), corpus.nodes)
     return issues(bad, "ref_integrity", "ref_undefined", F.concat("id", F.lit(" is not defined")))
 
 
+def repeated(definitions: DataFrame) -> DataFrame:
+    """The definitions after the first of their id, in the order of ``pos``."""
+    first = definitions.groupBy("id").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("id", "_first")
+    ranked = definitions.join(first, "id").withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    return ranked.where("_rank > 1").drop("_first", "_rank")
+
+
 def id_uniqueness(corpus: Corpus, check_sequence: bool = False) -> DataFrame:
     """A definition after the first one of its ID; and numbers that no document of a pattern uses, once each."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    again = corpus.definitions.withColumn("rank", rank).where("rank > 1")
-    out = issues(again, "id_uniqueness", "id_duplicate", F.concat("id", F.lit(" is defined before")))
+    out = issues(repeated(corpus.definitions), "id_uniqueness", "id_duplicate", F.concat("id", F.lit(" is defined before")))
     for pattern in dict.fromkeys(corpus.patterns) if check_sequence else ():
         used = corpus.definitions.where(F.col("id_pattern") == pattern).select("path", seq_of(pattern, "id").alias("n")).where(F.col("n").isNotNull())
         spans = used.groupBy("path").agg(F.min("n").alias("low"), F.max("n").alias("high"))
         holes = sequence_gaps(used.select("n").distinct(), pattern).withColumn("n", seq_of(pattern, "id"))
-        first = holes.join(spans, (holes.n > spans.low) & (holes.n < spans.high)).groupBy("id").agg(F.min("path").alias("path"))
+        first = stabbed(holes, spans.withColumnRenamed("path", "value")).select("id", F.col("value").alias("path"))
         out = out.unionByName(issues(first, "id_uniqueness", "id_gap", F.concat("id", F.lit(" is skipped")), WARNING, F.lit(1)))
     return out
 
 
+def misplaced(definitions: DataFrame, pattern: str) -> DataFrame:
+    """The definitions with a dotted id, and ``named``, its parent by name, that is not their ``id_ancestor``."""
+    rows = definitions.withColumn("named", parent_id(pattern, "id"))
+    return rows.where(F.col("named").isNotNull() & ~F.col("named").eqNullSafe(F.col("id_ancestor")))
+
+
 def id_hierarchy(corpus: Corpus) -> DataFrame:
     """A dotted ID whose parent by name is not the nearest ID above it."""
     out = None
     for pattern in dict.fromkeys(corpus.patterns):
-        rows = corpus.definitions.where(F.col("id_pattern") == pattern).withColumn("named", parent_id(pattern, "id"))
-        bad = rows.where(F.col("named").isNotNull() & ~F.col("named").eqNullSafe(F.col("id_ancestor")))
-        own = issues(bad, "id_hierarchy", "hierarchy_mismatch", F.concat("id", F.lit(" is not below "), "named"), WARNING)
+        own = issues(misplaced(corpus.definitions.where(F.col("id_pattern") == pattern), pattern), "id_hierarchy", "hierarchy_mismatch", F.concat("id", F.lit(" is not below "), "named"), WARNING)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -94,23 +117,32 @@ def aliases_of(name: str, definition: str) -> list[str]:
     return []
 
 
-def glossary(corpus: Corpus, kind: str = "glossary") -> list[tuple[str, str, str]]:
-    """(term, alias, definition) of the glossary documents, which are a small, hand-written part of a corpus.
+def glossary(corpus: Corpus, kind: str = "glossary") -> DataFrame:
+    """place, term, alias, definition of the glossary documents: aliases of two characters or more that are no terms themselves.
 
     The definition is the first paragraph of a term's section, its lines joined by blanks.
     """
-    sections = corpus.definitions.where(F.col("type") == kind).select("path", "line", "end_line", "title")
-    texts = {r.path: r.text for r in corpus.docs.where(F.col("type") == kind).select("path", "text").collect()}
-    found = []
-    for r in sorted(sections.collect(), key=lambda r: (r.path, r.line)):
-        lines = texts[r.path].split("\n")[r.line : r.end_line]
-        if lines and re.fullmatch(r"\s*(=+|-+)\s*", lines[0]):
-            lines = lines[1:]
-        body = "\n".join(x.strip() for x in lines).lstrip("\n")
-        paragraph = re.split(r"\n(?=\n|#)|\n\Z", body, maxsplit=1)[0]
-        found.append((r.title, "" if paragraph.startswith("#") else paragraph.replace("\n", " ")))
-    names = {name for name, _ in found}
-    return [(name, a, text) for name, text in found for a in aliases_of(name, text) if len(a) >= 2 and a not in names]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, sections in zip(batch.column("text").to_pylist(), batch.column("sections").to_pylist(), strict=True):
+                whole = text.split("\n")
+                for s in sections:
+                    lines = whole[s["line"] : s["end_line"]]
+                    if lines and re.fullmatch(r"\s*(=+|-+)\s*", lines[0]):
+                        lines = lines[1:]
+                    body = "\n".join(x.strip() for x in lines).lstrip("\n")
+                    paragraph = re.split(r"\n(?=\n|#)|\n\Z", body, maxsplit=1)[0]
+                    definition = "" if paragraph.startswith("#") else paragraph.replace("\n", " ")
+                    out.append({"term": s["title"], "definition": definition, "aliases": [a for a in dict.fromkeys(aliases_of(s["title"], definition)) if len(a) >= 2]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("term", pa.string()), ("definition", pa.string()), ("aliases", pa.list_(pa.string()))]))
+
+    sections = corpus.definitions.where(F.col("type") == kind).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "end_line", "title"))).alias("sections"))
+    rows = corpus.docs.where(F.col("type") == kind).select("path", "text").join(sections, "path").orderBy("path").select("text", "sections")
+    found = written(rows.mapInArrow(read, "term string, definition string, aliases array<string>").withColumn("place", F.monotonically_increasing_id()))
+    named = found.select("place", "term", F.explode("aliases").alias("alias"), "definition")
+    return named.join(found.select(F.col("term").alias("alias")).distinct(), "alias", "left_anti").select("place", "term", "alias", "definition")
 
 
 def term_consistency(corpus: Corpus, kind: str = "glossary") -> DataFrame:
@@ -118,72 +150,48 @@ def term_consistency(corpus: Corpus, kind: str = "glossary") -> DataFrame:
     text = F.col("text")
     for pattern in dict.fromkeys(corpus.patterns):
         text = F.regexp_replace(text, pattern_regex(pattern), " ")
-    rows = corpus.prose.where(F.col("type").isNull() | (F.col("type") != kind)).withColumn("text", text)
-    terms = glossary(corpus, kind)
-    named = corpus.docs.sparkSession.createDataFrame(terms or [("", "", "")], "term string, alias string, definition string").where("alias <> ''")
-    hits = alias_hits(rows, named).join(F.broadcast(named), "alias")  # as many rows as the glossary has aliases
+    rows = corpus.prose.where(F.col("type").isNull() | (F.col("type") != kind)).select("path", "line", text.alias("text"))
+    terms = written(glossary(corpus, kind))
+    hits = alias_hits(rows, terms).join(terms, "alias")
     return issues(hits, "term_consistency", "term_alias", F.concat("alias", F.lit(" should be "), "term"), expected=F.col("definition"))
 
 
-def rings(depends: dict[str, list[str]]) -> list[list[str]]:
-    """The elementary cycles of the declared dependencies, from a file to the files that depend on it; each from its first file by name."""
-    after: dict[str, list[str]] = {}
-    for f, targets in depends.items():
-        for g in sorted(set(targets)):
-            after.setdefault(g, []).append(f)
-    out = []
-
-    def walk(path: list[str]) -> None:
-        for f in sorted(after.get(path[-1], [])):
-            if f == path[0]:
-                out.append(list(path))
-            elif f > path[0] and f not in path:
-                walk([*path, f])
-
-    for f in sorted(after):
-        walk([f])
-    return out
+Declared = dict[str, list[str]] | DataFrame
 
 
-def dep_order(corpus: Corpus, depends: dict[str, list[str]], empty: dict[str, list[str]] | None = None, missing: dict[str, list[str]] | None = None) -> DataFrame:
+def dep_order(corpus: Corpus, depends: Declared, empty: Declared | None = None, missing: Declared | None = None) -> DataFrame:
     """References against the declared order of files: undeclared, inverted, missing files, globs without files, and cycles.
 
-    ``depends`` is the declaration of the project (file -> files it depends on), so small and on the driver; ``empty``
-    has the globs of it that match nothing and ``missing`` the files that do not exist (without it: that are no
-    document of the corpus). A ring of files is reported once, from its first file that is a document.
+    ``depends`` is the declaration (file -> files it depends on): of a project a dictionary, derived from tables a
+    DataFrame of path and target. ``empty`` has the globs of it that match nothing and ``missing`` the files that do not
+    exist (without it: that are no document of the corpus). A ring of files is reported once, from its first file that
+    is a document. Only pairs of files that references cross are asked for, each pair once.
     """
     spark = corpus.docs.sparkSession
     order = {t: i for i, t in reversed([*enumerate(corpus.chain)])}
-
-    def reach(start: str) -> set[str]:
-        met, todo = set(), [start]
-        while todo:
-            for x in depends.get(todo.pop(), []):
-                if x not in met:
-                    met.add(x)
-                    todo.append(x)
-        return met
-
-    closure = spark.createDataFrame([(f, g) for f in depends for g in reach(f)] or [("", "")], "path string, target string")
-    stage = F.coalesce(*(F.when(F.col("x") == t, F.lit(i)) for t, i in order.items()), F.lit(-1))
-    number = lambda df, src, dst: df.withColumn("x", F.col(src)).withColumn(dst, stage).drop("x")
+    stage = lambda kind: F.coalesce(*(F.when(F.col(kind) == t, F.lit(i)) for t, i in order.items()), F.lit(-1))
     defs = corpus.nodes.select("id", F.col("path").alias("target"), F.col("type").alias("target_type"))
-    refs = number(number(corpus.refs.select("path", "line", "type", "id").join(defs, "id"), "type", "own"), "target_type", "theirs")
-    crossing = refs.where((F.col("path") != F.col("target")) & (F.col("type") != F.col("target_type")) & (F.col("theirs") >= 0)).join(closure, ["path", "target"], "left_anti")
-    below = closure.select(F.col("path").alias("target"), F.col("target").alias("path"), F.lit(True).alias("downstream"))
-    judged = crossing.join(below, ["path", "target"], "left").withColumn("inverted", F.coalesce("downstream", F.lit(False)) | ((F.col("own") >= 0) & (F.col("theirs") > F.col("own"))))
-    out = issues(judged.where("inverted"), "dep_order", "dep_inverted", F.concat("id", F.lit(" comes later in the order")))
-    out = out.unionByName(issues(judged.where("not inverted"), "dep_order", "dep_undeclared", F.concat(F.lit("no dependency on the file of "), "id")))
+    refs = corpus.refs.select("path", "line", "type", "id", F.col("seq").alias("place")).join(defs, "id").withColumns({"own": stage("type"), "theirs": stage("target_type")})
+    crossing = written(refs.where((F.col("path") != F.col("target")) & ~F.col("type").eqNullSafe(F.col("target_type")) & F.col("type").isNotNull() & (F.col("theirs") >= 0)).select("path", "line", "id", "place", "target", "own", "theirs"))
+    asked = crossing.select("path", "target").distinct()
+    judged = crossing.join(reached(asked, depends), ["path", "target"], "left_anti")
+    below = reached(asked.select(F.col("target").alias("path"), F.col("path").alias("target")), depends).select(F.col("path").alias("target"), F.col("target").alias("path"), F.lit(True).alias("downstream"))
+    judged = written(judged.join(below, ["path", "target"], "left").withColumn("inverted", F.coalesce("downstream", F.lit(False)) | ((F.col("own") >= 0) & (F.col("theirs") > F.col("own")))))
+    move = F.concat(F.lit("define "), "id", F.lit(" before "), "path", F.lit(" or take this reference out"))
+    declare = F.concat(F.lit("let "), "path", F.lit(" depend on "), "target")
+    out = issues(judged.where("inverted"), "dep_order", "dep_inverted", F.concat("id", F.lit(" comes later in the order")), expected=move)
+    out = out.unionByName(issues(judged.where("not inverted"), "dep_order", "dep_undeclared", F.concat(F.lit("no dependency on the file of "), "id"), expected=declare))
     have = corpus.docs.select("path")
-    table = lambda own: spark.createDataFrame([(f, g) for f, gs in (own or {}).items() for g in gs] or [("", "")], "path string, target string").where("path <> ''")
+    table = lambda own: declared(spark, {} if own is None else own)
     absent = table(depends).join(have.withColumnRenamed("path", "target"), "target", "left_anti") if missing is None else table(missing)
     out = out.unionByName(issues(absent.join(have, "path", "left_semi"), "dep_order", "dep_missing", F.concat("target", F.lit(" does not exist")), ERROR, F.lit(1)))
     out = out.unionByName(issues(table(empty).join(have, "path", "left_semi"), "dep_order", "dep_glob_empty", F.concat("target", F.lit(" matches no file")), WARNING, F.lit(1)))
-    found = rings(depends)
-    opened = {r.path for r in have.where(F.col("path").isin([f for ring in found for f in ring])).collect()} if found else set()  # files of the declaration
-    turned = [(ring[at], " -> ".join([*ring[at:], *ring[:at], ring[at]])) for ring in found for at in [next((i for i, f in enumerate(ring) if f in opened), None)] if at is not None]
-    looped = spark.createDataFrame(turned or [("", "")], "path string, ring string").where("path <> ''")
-    return out.unionByName(issues(looped, "dep_order", "dep_cycle", F.concat(F.lit("files depend on one another: "), "ring"), WARNING, F.lit(1)))
+    found = ring_table(declared(spark, depends)) if isinstance(depends, DataFrame) else spark.createDataFrame([(ring,) for ring in rings(depends)], "ring array<string>")
+    # each ring from its first file that is a document
+    placed = found.withColumn("key", F.xxhash64("ring")).select("key", "ring", F.posexplode("ring").alias("at", "path"))
+    opened = placed.join(have, "path", "left_semi").groupBy("key", "ring").agg(F.min("at").alias("at"))
+    turned = opened.select(F.element_at("ring", F.col("at") + 1).alias("path"), F.concat(F.slice("ring", F.col("at") + 1, F.size("ring")), F.slice("ring", F.lit(1), F.col("at") + 1)).alias("ring"))
+    return out.unionByName(issues(turned, "dep_order", "dep_cycle", F.concat(F.lit("files depend on one another: "), F.array_join("ring", " -> ")), WARNING, F.lit(1)))
 
 
 RULES: dict[str, Callable[..., DataFrame]] = {"ref_integrity": ref_integrity, "term_consistency": term_consistency, "required_sections": required_sections, "id_uniqueness": id_uniqueness, "dep_order": dep_order, "id_hierarchy": id_hierarchy}
@@ -201,6 +209,12 @@ def verify(corpus: Corpus, options: dict[str, dict] | None = None, only: list[st
     return out.withColumn("severity", F.lit(ERROR)) if strict else out
 
 
+def in_order(found: DataFrame) -> list:
+    """The issues as a report has them: rule by rule, by file and line, and then as they were met. Collects them."""
+    rank = {n: k for k, n in enumerate(RULES)}
+    return sorted(found.collect(), key=lambda r: (rank[r.rule], r.file, r.line, r.place, r.kind, r.message))
+
+
 def summary(found: DataFrame, only: list[str] | None = None) -> DataFrame:
     """rule, errors, warnings of each rule that ran, also of those without issues."""
     spark = found.sparkSession

@@ -6,17 +6,23 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.functions.idgrammar import format_id, pattern_prefix, seq_of
-from linkgraph.operators.text import numbered
+from linkgraph.operators.prefix import running
 from linkgraph.sources.corpus import Corpus
 
 
-def assignments(corpus: Corpus, pattern: str, paths: list[str], level: int | None = None, start: int = 1, levels: tuple[int, ...] = ()) -> DataFrame:
-    """path, line, level, text, id: a number for each heading of the levels that has none, in document order.
+def last_number(definitions: DataFrame, pattern: str) -> DataFrame:
+    """One row: top, the greatest number of the pattern's identifiers, null without any."""
+    return definitions.agg(F.max(seq_of(pattern, "id")).alias("top"))
 
+
+def assignments(corpus: Corpus, pattern: str, paths: list[str] | DataFrame, level: int | None = None, start: int = 1, levels: tuple[int, ...] = ()) -> DataFrame:
+    """path, line, level, text, id: a number for each heading of the levels that has none, file by file.
+
+    Files are numbered in the order in which they are named: as a list, or as a DataFrame of path and place (any number).
     Counting goes on from the greatest number of the pattern in any document. ``level`` goes before ``levels``; without
     either, each file's shallowest one from 2 on is numbered. Headings are counted by file, and a file's first number
     follows from the counts of the files before it, so no task holds more than the headings of a file.
@@ -25,17 +31,20 @@ def assignments(corpus: Corpus, pattern: str, paths: list[str], level: int | Non
     if any(not 1 <= x <= 6 for x in wanted) or start < 0:
         raise ValueError("a level is 1 to 6 and a start is not negative")
     format_id(pattern, 1)
-    used = corpus.definitions.where(F.col("id_pattern") == pattern).agg(F.max(seq_of(pattern, "id")).alias("top"))
-    heads = corpus.headings.where(F.col("path").isin(paths) & (F.col("id_pattern") == pattern))
+    named = paths if isinstance(paths, DataFrame) else corpus.docs.sparkSession.createDataFrame([*enumerate(dict.fromkeys(paths))] or [(0, "")], "place long, path string")
+    used = last_number(corpus.definitions.where(F.col("id_pattern") == pattern), pattern)
+    heads = corpus.headings.where(F.col("id_pattern") == pattern).join(named.groupBy("path").agg(F.min("place").alias("place")), "path")
     if wanted:
         bare = heads.where(F.col("level").isin(*wanted) & F.col("id").isNull())
     else:
         least = heads.where("level >= 2").groupBy("path").agg(F.min("level").alias("least"))
         bare = heads.join(least, "path", "left").where((F.col("level") == F.coalesce("least", F.lit(2))) & F.col("id").isNull())
-    bare = bare.select("path", "ordinal", "line", "level", "text")
-    rows = numbered(bare, [], ["path"], "ordinal").crossJoin(used)  # one row
+    bare = bare.select("path", "place", "ordinal", "line", "level", "text")
+    sizes = running(bare.groupBy("place", "path").agg(F.count("*").alias("size")), [], ["place", "path"], "size").select("path", "before")
+    inside = F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))
+    rows = bare.withColumn("nth", inside).join(sizes, "path").crossJoin(F.broadcast(used))  # one row
     before, after = pattern.split("{seq}") if "{seq}" in pattern else (pattern_prefix(pattern), "")
-    number = F.col("n") + F.greatest(F.coalesce("top", F.lit(0)), F.lit(max(start, 1) - 1))
+    number = F.col("before") + F.col("nth") + F.greatest(F.coalesce("top", F.lit(0)), F.lit(max(start, 1) - 1))
     return rows.select("path", "line", "level", "text", F.concat(F.lit(before), number.cast("string"), F.lit(after)).alias("id"))
 
 

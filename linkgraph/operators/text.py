@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from linkgraph.functions.dialect import to_java
 from linkgraph.functions.idgrammar import pattern_prefix
 
 
@@ -15,12 +22,12 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def search(rows: DataFrame, pattern: str, fixed: bool = False) -> DataFrame:
-    """The lines that match, in any letter case of any script; a blank or faulty pattern is an error."""
+    """The lines that match, in any letter case of any script; a blank or faulty pattern is an error, before any job runs."""
     if not pattern.strip():
         raise ValueError("the pattern must not be blank")
     if fixed:
         return rows.where(F.contains(F.lower("text"), F.lit(pattern.lower())))
-    return rows.where(F.col("text").rlike(f"(?iu){pattern}"))
+    return rows.where(F.col("text").rlike(to_java(pattern)))
 
 
 def capped(hits: DataFrame, group: str, order: str, limit: int) -> DataFrame:
@@ -30,32 +37,64 @@ def capped(hits: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     return hits.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def word_class(c: str) -> str | None:
-    """The class of characters that would join a word ending or beginning with this one."""
-    if c.isascii():
-        return "[0-9A-Za-z_]" if c.isalnum() or c == "_" else None
-    if "\u3400" <= c <= "\u9fff":
-        return r"\p{IsHan}"
-    return r"[\p{IsKatakana}ー]" if "\u30a0" <= c <= "\u30ff" else None
+#: The characters that make one word with another of their class: ASCII words, Han, Katakana with its sign of length.
+WORD_CLASSES = (r"[0-9A-Za-z_]", r"\p{Han}", r"[\p{Katakana}ー]")
+#: Bytes of aliases that are sent to every task at once; of a larger glossary one part is looked for after the other.
+SENT = 8 << 20
 
 
-def alias_pattern(alias: str) -> str:
-    """A neighbour of the alias's own class (ASCII word, Han, Katakana) joins it and so is no match; any other does not."""
-    before, after = word_class(alias[0]), word_class(alias[-1])
-    quoted = "\\Q" + alias.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return (f"(?<!{before})" if before else "") + quoted + (f"(?!{after})" if after else "")
+def word_class(c: str) -> int:
+    """The class of a character, -1 for one that joins no other."""
+    return next((k for k, x in enumerate(WORD_CLASSES) if regex.fullmatch(x, c)), -1)
 
 
 def alias_hits(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Lines in which an alias stands alone, once an alias and line. ``aliases`` is a glossary, so a few rows.
+    """Lines in which an alias stands alone, once an alias and line; a null text has none, an empty alias is nowhere.
 
-    The lines are read once: each asks which of the aliases it has.
+    A neighbour of the alias's own class joins it to a longer word and so is no match; any other does not. One automaton
+    of all aliases reads each line once, whatever their number.
     """
-    found = [r.alias for r in aliases.select("alias").distinct().collect()]
-    if not found:
-        return rows.limit(0).withColumn("alias", F.lit(""))
-    has = lambda a: F.when(F.contains("text", F.lit(a)) & F.col("text").rlike(alias_pattern(a)), F.lit(a))
-    return rows.withColumn("alias", F.explode(F.array_compact(F.array(*map(has, found)))))
+    names = aliases.select("alias").where("alias <> ''").distinct()
+    n = names.agg(F.coalesce(F.sum(F.octet_length("alias")), F.lit(0))).first()[0]
+    parts, out = -(-n // SENT), rows.limit(0).withColumn("alias", F.lit(""))
+    for k in range(parts):
+        own = names if parts == 1 else names.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == k)
+        found = searched(rows, [r.alias for r in own.collect()])  # of this part, no more bytes than ``SENT`` or so
+        out = found if k == 0 else out.unionByName(found)
+    return out
+
+
+def searched(rows: DataFrame, aliases: list[str]) -> DataFrame:
+    """The rows once for each of the aliases that stands alone in their text."""
+    sent = rows.sparkSession.sparkContext.broadcast(aliases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for a in sent.value:
+            machine.add_word(a, (len(a), word_class(a[0]), word_class(a[-1]), a))
+        machine.make_automaton()
+        kinds: dict[str, int] = {}
+
+        def kind(c: str) -> int:
+            if c not in kinds:
+                kinds[c] = word_class(c)
+            return kinds[c]
+
+        for batch in batches:
+            at, hits = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                met = set()
+                for end, (size, first, last, a) in machine.iter(text) if text else ():
+                    if a in met or first >= 0 and end >= size and kind(text[end - size]) == first or last >= 0 and end + 1 < len(text) and kind(text[end + 1]) == last:
+                        continue
+                    met.add(a)
+                    at.append(i)
+                    hits.append(a)
+            if at:
+                own = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hits)], names=[*own.schema.names, "alias"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("alias", StringType())]))
 
 
 def sequence_gaps(used: DataFrame, pattern: str) -> DataFrame:

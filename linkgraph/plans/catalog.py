@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkgraph.functions.idgrammar import natural_key, parent_id, seq_of
+from linkgraph.functions.idgrammar import natural_key, seq_of
 from linkgraph.operators import graph as G
 from linkgraph.operators import text as T
 from linkgraph.operators import rules, scaffold
@@ -43,8 +43,8 @@ def sales(spark, sf_dir):
 
 
 ORDERS_FULL = "o AS (SELECT o_orderkey, o_custkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS full_walk FROM orders)"
-STATUS = f"""WITH {ORDERS_FULL}, c AS (SELECT c_custkey, bool_and(full_walk) AS v FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1),
-s AS (SELECT 'CUS-' || c_custkey AS id, CAST(1 AS BIGINT) AS leaves, CAST(coalesce(v, false) AS BIGINT) AS covered, CAST(coalesce(NOT v, false) AS BIGINT) AS partly,
+STATUS = f"""WITH {ORDERS_FULL}, c AS (SELECT c_custkey, c_name, bool_and(full_walk) AS v FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY ALL),
+s AS (SELECT 'CUS-' || c_custkey AS id, c_name AS title, 'customer' AS path, CAST(c_custkey AS INTEGER) AS line, CAST(1 AS BIGINT) AS leaves, CAST(coalesce(v, false) AS BIGINT) AS covered, CAST(coalesce(NOT v, false) AS BIGINT) AS partly,
  CASE WHEN v THEN 'complete' WHEN v IS NULL THEN 'missing' ELSE 'partial' END AS status FROM c)"""
 LINES = "l AS (SELECT DISTINCT l_orderkey, l_linenumber, 'LIN-' || l_orderkey || '.' || l_linenumber AS lin FROM lineitem)"
 PATHS = f"""WITH {LINES}, p AS (SELECT 'CUS-' || o_custkey AS id, 'ORD-' || o_orderkey AS ord, lin, o_orderkey, l_linenumber FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer))"""
@@ -56,10 +56,12 @@ e AS (SELECT 'REG-' || n_regionkey AS src, 'NAT-' || n_nationkey AS dst FROM nat
  UNION SELECT 'NAT-' || s_nationkey, 'SUP-' || s_suppkey FROM supplier)"""
 
 
-def impact_sql(start: str, depth: int) -> str:
+def impact_sql(start: str, depth: int, chain=R.CHAIN) -> str:
+    stages = " ".join(f"WHEN '{kind}' THEN {k}" for k, kind in reversed([*enumerate(chain)]))
     return f"""WITH RECURSIVE {EDGES},
-w AS (SELECT e.src, e.dst, d.s AS d, CASE WHEN u.s >= 0 THEN 1 ELSE 0 END AS chained FROM e JOIN n d ON d.id = e.dst JOIN n u ON u.id = e.src),
-b(id, s, k) AS (SELECT id, s, 0 FROM n WHERE id = '{start}' UNION SELECT w.dst, CASE WHEN w.d < 0 THEN b.s ELSE w.d END, b.k + 1 FROM b JOIN w ON w.src = b.id
+m AS (SELECT id, CASE left(id, 3) {stages} ELSE -1 END AS s FROM n),
+w AS (SELECT e.src, e.dst, d.s AS d, CASE WHEN u.s >= 0 THEN 1 ELSE 0 END AS chained FROM e JOIN m d ON d.id = e.dst JOIN m u ON u.id = e.src),
+b(id, s, k) AS (SELECT id, s, 0 FROM m WHERE id = '{start}' UNION SELECT w.dst, CASE WHEN w.d < 0 THEN b.s ELSE w.d END, b.k + 1 FROM b JOIN w ON w.src = b.id
  WHERE (w.d < 0 OR b.s < 0 OR w.d <= b.s + w.chained) AND b.k < {depth or 9})
 SELECT id, CAST(min(k) AS INTEGER) AS distance FROM b WHERE id <> '{start}' GROUP BY id"""
 
@@ -71,7 +73,7 @@ def scan_nodes_by_type(spark, sf_dir):
 
 @query(f"WITH {EDGES} SELECT e.src, e.dst, 'reference' AS kind FROM e WHERE e.src <> e.dst")
 def edges_reference(spark, sf_dir):
-    return G.distinct_edges(R.graph(spark, sf_dir).edges)
+    return G.distinct_edges(R.graph(spark, sf_dir, keyed=False).edges)
 
 
 @query(f"{STATUS} SELECT * FROM s")
@@ -96,7 +98,7 @@ def coverage_last_stage(spark, sf_dir):
 
 @query(f"{STATUS} SELECT * FROM s WHERE id IN (SELECT 'CUS-' || c_custkey FROM customer WHERE c_acctbal < 0)")
 def coverage_filter(spark, sf_dir):
-    only = R.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(R.ident("CUS", "c_custkey").alias("id"))
+    only = R.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(R.key("CUS", "c_custkey").alias("id"))
     return G.matrix_status(sales(spark, sf_dir), only=only)
 
 
@@ -113,6 +115,12 @@ def coverage_paths(spark, sf_dir):
     return G.matrix_paths(sales(spark, sf_dir)).select("id", F.array_join("path", " > ").alias("path"))
 
 
+@query(f"{PATHS}, r AS (SELECT row_number() OVER (ORDER BY CAST(id[5:] AS BIGINT), o_orderkey, l_linenumber) AS n, id, ord || coalesce(' > ' || lin, '') AS path FROM p) SELECT * FROM r WHERE n > 3000 AND n <= 3500")
+def coverage_paths_page(spark, sf_dir):
+    """Walks 3,001 to 3,500 of all, without those before them."""
+    return G.paths_page(sales(spark, sf_dir), 3000, 500).select("n", "id", F.array_join("path", " > ").alias("path"))
+
+
 @query(f"{PATHS} SELECT id, 'ORD' AS stage, string_agg(ord, ', ' ORDER BY o_orderkey) AS ids FROM (SELECT DISTINCT id, ord, o_orderkey FROM p) GROUP BY id UNION ALL SELECT id, 'LIN', string_agg(lin, ', ' ORDER BY o_orderkey, l_linenumber) FROM (SELECT DISTINCT id, lin, o_orderkey, l_linenumber FROM p WHERE lin IS NOT NULL) GROUP BY id")
 def coverage_stage_ids(spark, sf_dir):
     return G.stage_ids(sales(spark, sf_dir))
@@ -143,6 +151,15 @@ def impact_depth2(spark, sf_dir):
     return G.impact(R.graph(spark, sf_dir), "REG-1", 2)
 
 
+REPEATED = ["NAT", "CUS", "NAT", "SUP"]
+
+
+@query(impact_sql("NAT-3", 0, REPEATED))
+def impact_repeated_type(spark, sf_dir):
+    """A type that the chain has twice stands where it is last, so suppliers follow nations."""
+    return G.impact(R.graph(spark, sf_dir, REPEATED), "NAT-3")
+
+
 @query(impact_sql("SUP-1", 0))
 def impact_offchain_origin(spark, sf_dir):
     return G.impact(R.graph(spark, sf_dir), "SUP-1")
@@ -150,27 +167,28 @@ def impact_offchain_origin(spark, sf_dir):
 
 @query(f"WITH {EDGES}, k AS (SELECT DISTINCT id, CASE WHEN s >= 0 THEN id END AS c FROM n WHERE id LIKE 'NAT-%' OR id LIKE 'SUP-%') SELECT e.src, e.dst, 'reference' AS kind FROM e WHERE e.src IN (SELECT id FROM k) AND e.dst IN (SELECT id FROM k)")
 def subgraph_edges(spark, sf_dir):
-    g = R.graph(spark, sf_dir)
+    g = R.graph(spark, sf_dir, keyed=False)
     return G.subgraph(g, g.nodes.where(F.col("type").isin("NAT", "SUP")))
 
 
 @query(f"WITH {EDGES} SELECT n.id, CASE n.id[1:3] WHEN 'REG' THEN 'region' WHEN 'NAT' THEN 'nation' WHEN 'CUS' THEN 'customer' WHEN 'ORD' THEN 'orders' WHEN 'LIN' THEN 'lineitem' WHEN 'PRT' THEN 'part' ELSE 'supplier' END AS path, n.id[1:3] AS type, CAST(coalesce(r.k, 0) AS BIGINT) AS n_refs, CAST(coalesce(d.k, 0) AS BIGINT) AS n_downstream FROM n LEFT JOIN (SELECT dst, count(*) AS k FROM e GROUP BY 1) r ON r.dst = n.id LEFT JOIN (SELECT src, count(*) AS k FROM e GROUP BY 1) d ON d.src = n.id")
 def index_entries(spark, sf_dir):
-    return G.index_entries(R.graph(spark, sf_dir))
+    return G.degrees(R.graph(spark, sf_dir))
 
 
 @query("SELECT DISTINCT 'LIN-' || l_orderkey || '.' || l_linenumber AS owner, 'PRT-' || l_partkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
 def ref_undefined(spark, sf_dir):
-    defined = R.table(spark, sf_dir, "part").where("p_size > 5").select(R.ident("PRT", "p_partkey").alias("id"))
-    refs = R.table(spark, sf_dir, "lineitem").select(R.ident("LIN", "l_orderkey", "l_linenumber").alias("owner"), R.ident("PRT", "l_partkey").alias("id"))
-    return refs.join(defined, "id", "left_anti").distinct()
+    """Parts of the small sizes are defined under another type, so mentions of them lead nowhere."""
+    kind = F.when(F.col("p_size") > 5, F.lit([*R.TYPES].index("PRT"))).otherwise(F.lit(-1)).cast("tinyint")
+    defined = R.table(spark, sf_dir, "part").select(R.key("PRT", "p_partkey").withField("t", kind).alias("id"))
+    refs = R.table(spark, sf_dir, "lineitem").select(R.key("LIN", "l_orderkey", "l_linenumber").alias("owner"), R.key("PRT", "l_partkey").alias("id"))
+    return rules.undefined(refs, defined).distinct().select(R.label(F.col("owner")).alias("owner"), R.label(F.col("id")).alias("id"))
 
 
 @query("SELECT 'LIN-' || l_orderkey || '.' || l_linenumber AS id, CAST(count(*) - 1 AS BIGINT) AS surplus FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def id_duplicates(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    rows = R.definitions(spark, sf_dir, ("LIN",)).withColumn("rank", rank).where("rank > 1")
-    return rows.groupBy("id").agg(F.count("*").alias("surplus"))
+    rows = rules.repeated(R.definitions(spark, sf_dir, ("LIN",), R.key).select("id", "pos"))
+    return rows.groupBy("id").agg(F.count("*").alias("surplus")).select(R.label(F.col("id")).alias("id"), "surplus")
 
 
 @query("WITH u AS (SELECT DISTINCT l_suppkey * 1000 + l_linenumber AS n FROM lineitem), m AS (SELECT min(n) AS a, max(n) AS b FROM u), r AS (SELECT unnest(range(a, b)) AS n FROM m) SELECT 'ORD-' || n AS id FROM r WHERE n NOT IN (SELECT n FROM u)")
@@ -181,14 +199,16 @@ def id_gaps(spark, sf_dir):
 
 @query("SELECT DISTINCT 'LIN-' || l_orderkey || '.' || l_linenumber AS id, 'LIN-' || l_orderkey AS parent FROM lineitem WHERE l_orderkey % 2 = 1")
 def id_hierarchy(spark, sf_dir):
-    rows = R.definitions(spark, sf_dir, ("LIN",)).select("id").distinct().withColumn("parent", parent_id("LIN-{seq}", "id"))
-    ancestor = R.table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(R.ident("LIN", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("LIN-"), F.col("l_orderkey").cast("string")).alias("above")).distinct()
-    return rows.join(ancestor, "id", "left").where(~F.col("parent").eqNullSafe(F.col("above"))).select("id", "parent")
+    """Items of even orders stand below their order, those of odd ones below nothing."""
+    order = F.when(F.col("l_orderkey") % 2 == 0, R.ident("LIN", "l_orderkey"))
+    rows = R.table(spark, sf_dir, "lineitem").select(R.ident("LIN", "l_orderkey", "l_linenumber").alias("id"), order.alias("id_ancestor"))
+    return rules.misplaced(rows, "LIN-{seq}").select("id", F.col("named").alias("parent")).distinct()
 
 
 @query("SELECT 'ORD-' || (max(o_orderkey) + 1) AS id FROM orders")
 def next_sequence(spark, sf_dir):
-    return R.definitions(spark, sf_dir, ("ORD",)).agg(F.max(seq_of("ORD-{seq}", "id")).alias("n")).select(F.concat(F.lit("ORD-"), (F.col("n") + 1).cast("string")).alias("id"))
+    top = scaffold.last_number(R.definitions(spark, sf_dir, ("ORD",)), "ORD-{seq}")
+    return top.select(F.concat(F.lit("ORD-"), (F.col("top") + 1).cast("string")).alias("id"))
 
 
 @query("SELECT doc_id, source, 'DOC-' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) + 100) AS id FROM documents")
@@ -199,10 +219,30 @@ def assign_ids(spark, sf_dir):
 @query("SELECT 'CUS-' || c_custkey AS id, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS INTEGER) AS place FROM customer")
 def natural_order_rank(spark, sf_dir):
     rows = R.table(spark, sf_dir, "customer").select(R.ident("CUS", "c_custkey").alias("id"), "c_mktsegment")
-    rows = rows.withColumn("block", F.transform(natural_key("id"), lambda x: F.rpad(F.substring(x, 1, 17), 20, " ")))  # all but the last three digits
+    cut = lambda x: F.when(x.rlike(r"^\d"), F.substr(x, F.lit(1), F.greatest(F.length(x) - 3, F.lit(10)))).otherwise(x)
+    rows = rows.withColumn("block", F.transform(natural_key("id"), cut))  # all but the last three digits
     return T.numbered(rows, ["c_mktsegment"], ["block"], natural_key("id")).select("id", F.col("n").cast("int").alias("place"))
 
 
+@query("""WITH d AS (SELECT c_nationkey, c_custkey, rpad(CAST(c_custkey + 1 AS VARCHAR), CAST(24 + c_custkey % 3 AS INTEGER), '7') AS digits FROM customer)
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY length(digits), digits, c_custkey) AS INTEGER) AS place FROM d""")
+def natural_order_wide(spark, sf_dir):
+    """Numbers of 24 to 26 digits, by nation."""
+    digits = F.rpad((F.col("c_custkey") + 1).cast("string"), F.col("c_custkey") % 3 + 24, F.lit("7"))
+    rows = R.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit("X-00"), digits).alias("id"))
+    order = Window.partitionBy("c_nationkey").orderBy(natural_key("id"), "c_custkey")
+    return rows.select("c_custkey", F.row_number().over(order).alias("place"))
+
+
+DIALECT = r"(?P<verb>licen[cs]ed?)[[:blank:]]+under\b"
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM l WHERE regexp_matches(t, '(?i){DIALECT}') GROUP BY doc_id")
+def search_dialect(spark, sf_dir):
+    """A named group, a named class and a boundary, which DuckDB's dialect has too."""
+    return T.search(T.lines(R.table(spark, sf_dir, "documents")), DIALECT).groupBy("doc_id").agg(F.count("*").alias("hits"))
+
+
 @query("WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS hits, CAST(min(line) AS INTEGER) AS first_line FROM l WHERE regexp_matches(t, 'licensed? under') OR regexp_matches(t, 'Licensed under') GROUP BY doc_id")
 def search_sections(spark, sf_dir):
     hits = T.search(T.lines(R.table(spark, sf_dir, "documents")), "licensed? under")
@@ -261,8 +301,7 @@ def md_coverage(spark, sf_dir):
 
 @query(f"SELECT {NATION_FILE} AS path, CAST(2 AS INTEGER) AS level FROM nation UNION ALL SELECT {CUSTOMER_FILE}, 2 FROM customer")
 def primary_levels(spark, sf_dir):
-    heads = M.corpus(spark, sf_dir).headings.where(F.col("id").isNotNull())
-    return heads.groupBy("path").agg(F.min("level").alias("level"))
+    return G.primary_levels(M.corpus(spark, sf_dir).definitions)
 
 
 @query("SELECT 'CUS-' || c_custkey AS owner, CAST(13 AS INTEGER) AS line, 'In debt.' AS text FROM customer WHERE c_acctbal < 0")
@@ -316,13 +355,14 @@ def search_in_sections(spark, sf_dir):
 
 #: Documents of sales_documents(): their paths, the order that each item belongs to, mentions and undefined ones.
 SALES = """WITH oo AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS title, printf('sales/%012d.md', o_custkey) AS file FROM orders WHERE o_orderkey % 7 <> 3),
+la AS (SELECT o_orderkey AS k, printf('sales/%012d.md', o_custkey) AS file, l_linenumber AS n, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 li AS (SELECT oo.k, oo.file, l.l_linenumber AS n, l.l_partkey AS p, l.l_returnflag AS flag, 'ORD-' || oo.k || '.' || l.l_linenumber AS id FROM oo JOIN lineitem l ON l.l_orderkey = oo.k),
 pp AS (SELECT p_partkey AS p, p_size, p_name, printf('part/%012d.md', p_partkey) AS file FROM part WHERE p_size > 5),
 sm AS (SELECT l_suppkey AS s, 0 AS kind, l_orderkey AS k, l_linenumber AS n, 'ORD-' || l_orderkey || '.' || l_linenumber AS id FROM lineitem WHERE l_quantity > 25
  UNION SELECT l_suppkey, 1, l_orderkey, 0, 'ORD-' || l_orderkey FROM lineitem WHERE l_orderkey % 4 = 0),
 ss AS (SELECT s_suppkey AS s, s_name, printf('supplier/%012d.md', s_suppkey) AS file FROM supplier),
 defined AS (SELECT 'ORD-' || k AS id FROM oo UNION SELECT id FROM li UNION SELECT 'PRT-' || p FROM pp UNION SELECT 'SUP-' || s FROM ss),
-undefined AS (SELECT file, 'PRT-' || p AS id, count(*) AS n FROM li WHERE p NOT IN (SELECT p FROM pp) GROUP BY ALL
+undefined AS (SELECT file, 'PRT-' || p AS id, count(*) AS n FROM la WHERE p NOT IN (SELECT p FROM pp) GROUP BY ALL
  UNION ALL SELECT ss.file, sm.id, count(*) FROM sm JOIN ss USING (s) WHERE sm.id NOT IN (SELECT id FROM defined) GROUP BY ALL),
 repeated AS (SELECT file, id, count(*) - 1 AS n FROM li GROUP BY ALL HAVING count(*) > 1),
 stray AS (SELECT file, id, count(*) AS n FROM li WHERE k % 2 = 0 GROUP BY ALL),
@@ -355,12 +395,12 @@ def rule_id_hierarchy(spark, sf_dir):
     return by_message(rules.id_hierarchy(M.sales_corpus(spark, sf_dir)), "hierarchy_mismatch")
 
 
-@query(f"{SALES} SELECT file, 'merch should be Merchandise' AS message, CAST(3 AS INTEGER) AS line, 'Wares (merch). What is sold.' AS expected FROM pp WHERE p_size > 25")
+@query(f"{SALES} SELECT file, 'merch should be Merchandise' AS message, CAST(3 AS INTEGER) AS line, 'Wares (merch). What is sold.' AS expected FROM pp WHERE p_size > 25 UNION ALL SELECT file, 'PRT should be Piece', 3, 'Piece (PRT). Its short name.' FROM pp WHERE p_size > 40")
 def rule_term_consistency(spark, sf_dir):
     return rules.term_consistency(M.sales_corpus(spark, sf_dir)).select("file", "message", "line", "expected")
 
 
-@query(f"{SALES} SELECT 'ref_integrity' AS rule, CAST(coalesce((SELECT sum(n) FROM undefined), 0) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings UNION ALL SELECT 'term_consistency', count(*), 0 FROM pp WHERE p_size > 25 UNION ALL SELECT 'id_uniqueness', CAST(coalesce(sum(n), 0) AS BIGINT), 0 FROM repeated UNION ALL SELECT 'id_hierarchy', 0, CAST(coalesce(sum(n), 0) AS BIGINT) FROM stray")
+@query(f"{SALES} SELECT 'ref_integrity' AS rule, CAST(coalesce((SELECT sum(n) FROM undefined), 0) AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings UNION ALL SELECT 'term_consistency', count(*) FILTER (p_size > 25) + count(*) FILTER (p_size > 40), 0 FROM pp UNION ALL SELECT 'id_uniqueness', CAST(coalesce(sum(n), 0) AS BIGINT), 0 FROM repeated UNION ALL SELECT 'id_hierarchy', 0, CAST(coalesce(sum(n), 0) AS BIGINT) FROM stray")
 def verify_rules(spark, sf_dir):
     only = ["ref_integrity", "term_consistency", "id_uniqueness", "id_hierarchy"]
     return rules.summary(rules.verify(M.sales_corpus(spark, sf_dir), only=only), only)
@@ -368,19 +408,21 @@ def verify_rules(spark, sf_dir):
 
 @query(f"{SALES} SELECT 'ORD-' || k AS ancestor, 'ORD-' || k AS id, CAST(0 AS INTEGER) AS depth FROM li WHERE k % 2 = 1 GROUP BY k UNION ALL SELECT id, id, 0 FROM li WHERE k % 2 = 1 GROUP BY id UNION ALL SELECT 'ORD-' || k, id, 1 FROM li WHERE k % 2 = 1 GROUP BY k, id")
 def containment_closure(spark, sf_dir):
-    return G.closure(M.sales_corpus(spark, sf_dir).graph.kids).select("ancestor", "id", F.col("depth").cast("int").alias("depth"))
+    graph = M.sales_corpus(spark, sf_dir).graph
+    nested = graph.kids.select(F.explode(F.array("parent", "child")).alias("id")).distinct()
+    return G.descendants(graph).join(nested, "id", "left_semi").select("ancestor", "id", F.col("depth").cast("int").alias("depth"))
 
 
 @query(f"""{SALES}, leaf AS (SELECT 'ORD-' || k AS root, id FROM li WHERE k % 2 = 1 GROUP BY ALL UNION ALL SELECT 'ORD-' || k, 'ORD-' || k FROM oo WHERE k % 2 = 0 OR k NOT IN (SELECT k FROM li) UNION ALL SELECT id, id FROM li WHERE k % 2 = 0 GROUP BY id),
-t AS (SELECT root AS id, count(*) AS leaves, count(*) FILTER (id IN (SELECT id FROM sm) OR root IN (SELECT id FROM sm)) AS covered FROM leaf GROUP BY root)
-SELECT id, leaves, covered, CAST(0 AS BIGINT) AS partly, CASE WHEN covered = leaves THEN 'complete' WHEN covered = 0 THEN 'missing' ELSE 'partial' END AS status FROM t""")
+t AS (SELECT root, count(*) AS leaves, count(*) FILTER (id IN (SELECT id FROM sm) OR root IN (SELECT id FROM sm)) AS covered FROM leaf GROUP BY root)
+SELECT root AS id, leaves, covered, CAST(0 AS BIGINT) AS partly, CASE WHEN covered = leaves THEN 'complete' WHEN covered = 0 THEN 'missing' ELSE 'partial' END AS status FROM t""")
 def coverage_by_leaves(spark, sf_dir):
-    return G.matrix_status(M.sales_corpus(spark, sf_dir).graph)
+    return G.matrix_status(M.sales_corpus(spark, sf_dir).graph).select("id", "leaves", "covered", "partly", "status")
 
 
 @query(f"""{SALES}, edge AS (SELECT DISTINCT sm.id AS src, 'SUP-' || s AS dst, s AS x, 0 AS y, 3 AS t FROM sm WHERE s IN (SELECT s FROM ss) UNION SELECT 'ORD-' || k, id, k, n, 1 FROM li WHERE k % 2 = 1 UNION SELECT 'PRT-' || p, id, k, n, 1 FROM li WHERE p IN (SELECT p FROM pp)),
 down AS (SELECT src AS id, string_agg(dst, ',' ORDER BY t, x, y) AS downstream FROM edge GROUP BY src),
-entry AS (SELECT 'ORD-' || k AS id, file, '' AS refs FROM oo UNION ALL SELECT id, file, 'PRT-' || p FROM li UNION ALL SELECT 'PRT-' || p, file, '' FROM pp UNION ALL SELECT 'TRM-1', 'terms.md', ''
+entry AS (SELECT 'ORD-' || k AS id, file, '' AS refs FROM oo UNION ALL SELECT id, file, 'PRT-' || p FROM li UNION ALL SELECT 'PRT-' || p, file, CASE WHEN p_size > 40 THEN 'PRT-' || p ELSE '' END FROM pp UNION ALL SELECT 'TRM-' || k, 'terms.md', '' FROM range(1, 4) t(k)
  UNION ALL SELECT 'SUP-' || s, file, coalesce((SELECT string_agg(sm.id, ',' ORDER BY kind, k, n) FROM sm WHERE sm.s = ss.s), '') FROM ss)
 SELECT id, file, refs, coalesce(downstream, '') AS downstream FROM entry LEFT JOIN down USING (id)""")
 def index_refs_downstream(spark, sf_dir):
@@ -395,14 +437,91 @@ def search_ranked(spark, sf_dir):
     return rows.select(F.col("path").alias("file"), "id", "title", "n_hits", "total", "truncated", "rank")
 
 
-@query(f"{SALES} SELECT 'PRT-' || p AS id, file, p_name AS title, CAST(1 AS BIGINT) AS n_hits, CAST(3 AS INTEGER) AS hit_line, 'A merch part.' AS hit, CAST(1 AS INTEGER) AS line FROM pp WHERE p_size > 25 ORDER BY file LIMIT 20")
+@query(f"{SALES} SELECT 'PRT-' || p AS id, file, p_name AS title, CAST(1 AS BIGINT) AS n_hits, CAST(3 AS INTEGER) AS hit_line, CASE WHEN p_size > 40 THEN 'A merch part, PRT for short, not PRT-' || p || '.' ELSE 'A merch part.' END AS hit, CAST(1 AS INTEGER) AS line FROM pp WHERE p_size > 25 ORDER BY file LIMIT 20")
 def search_body_hits(spark, sf_dir):
     rows = K.search(M.sales_corpus(spark, sf_dir), "merch", kind="PRT")
     return rows.select("id", F.col("path").alias("file"), "title", "n_hits", F.col("hits")[0]["line"].alias("hit_line"), F.col("hits")[0]["text"].alias("hit"), "line")
 
 
-@query(f"WITH h AS (SELECT {CUSTOMER_FILE} AS path, 0 AS o, 'Account' AS text FROM customer UNION ALL SELECT {CUSTOMER_FILE}, 1, 'Orders' FROM customer WHERE c_custkey % 3 = 0) SELECT path, text, 'CUS-' || (row_number() OVER (ORDER BY path, o) + (SELECT max(c_custkey) FROM customer)) AS id FROM h")
+@query(f"WITH h AS (SELECT c_custkey, {CUSTOMER_FILE} AS path, 0 AS o, 'Account' AS text FROM customer UNION ALL SELECT c_custkey, {CUSTOMER_FILE}, 1, 'Orders' FROM customer WHERE c_custkey % 3 = 0) SELECT path, text, 'CUS-' || (row_number() OVER (ORDER BY c_custkey DESC, o) + (SELECT max(c_custkey) FROM customer)) AS id FROM h")
 def numbered_headings(spark, sf_dir):
-    corpus = M.corpus(spark, sf_dir)
-    paths = [r.path for r in R.table(spark, sf_dir, "customer").select(F.format_string("customer/%012d.md", "c_custkey").alias("path")).collect()]  # the files that a user would name
-    return scaffold.assignments(corpus, "CUS-{seq}", paths, level=3).select("path", "text", "id")
+    """The files of customers are named from the last to the first."""
+    paths = R.table(spark, sf_dir, "customer").select(F.format_string("customer/%012d.md", "c_custkey").alias("path"), (-F.col("c_custkey")).alias("place"))
+    return scaffold.assignments(M.corpus(spark, sf_dir), "CUS-{seq}", paths, level=3).select("path", "text", "id")
+
+
+#: Declarations as a table: customers depend on a file of their segment, that on some nations, nations on one another by three, and the last nation on some customers.
+DECLARED = f"""WITH RECURSIVE decl AS (SELECT {CUSTOMER_FILE} AS path, 'segment/' || c_mktsegment || '.md' AS target FROM customer
+ UNION SELECT 'segment/' || c_mktsegment || '.md', {NATION_FILE} FROM customer, nation WHERE n_nationkey % 6 = 0 AND n_nationkey < 24
+ UNION SELECT {NATION_FILE}, printf('nation/%05d.md', CASE WHEN n_nationkey % 3 = 2 THEN n_nationkey - 2 ELSE n_nationkey + 1 END) FROM nation WHERE n_nationkey < 24
+ UNION SELECT {NATION_FILE}, {CUSTOMER_FILE} FROM nation, customer WHERE n_nationkey = 24 AND c_custkey % 10 = 0),
+reach AS (SELECT path, target FROM decl UNION SELECT reach.path, decl.target FROM reach JOIN decl ON decl.path = reach.target),
+crossing AS (SELECT {CUSTOMER_FILE} AS file, 'NAT-' || c_nationkey AS id, printf('nation/%05d.md', c_nationkey) AS target FROM customer),
+bad AS (SELECT *, EXISTS (SELECT 1 FROM reach WHERE reach.path = crossing.target AND reach.target = crossing.file) AS inverted FROM crossing WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.path = crossing.file AND reach.target = crossing.target))"""
+
+
+def declared_files(spark, sf_dir):
+    customer, nation = R.table(spark, sf_dir, "customer"), R.table(spark, sf_dir, "nation")
+    own, land = F.format_string("customer/%012d.md", "c_custkey"), F.format_string("nation/%05d.md", "n_nationkey")
+    segment = F.concat(F.lit("segment/"), "c_mktsegment", F.lit(".md"))
+    rows = customer.select(own.alias("path"), segment.alias("target"))
+    some = nation.where("n_nationkey % 6 = 0 and n_nationkey < 24").select(land.alias("target"))  # a few nations
+    rows = rows.unionByName(customer.select(segment.alias("path")).distinct().crossJoin(F.broadcast(some)))
+    turn = F.when(F.col("n_nationkey") % 3 == 2, F.col("n_nationkey") - 2).otherwise(F.col("n_nationkey") + 1)
+    rows = rows.unionByName(nation.where("n_nationkey < 24").select(land.alias("path"), F.format_string("nation/%05d.md", turn.cast("int")).alias("target")))
+    return rows.unionByName(customer.where("c_custkey % 10 = 0").select(F.lit("nation/00024.md").alias("path"), own.alias("target")))
+
+
+@query(f"""{DECLARED} SELECT CASE WHEN inverted THEN 'dep_inverted' ELSE 'dep_undeclared' END AS kind, file, CAST(5 AS INTEGER) AS line, id || CASE WHEN inverted THEN ' comes later in the order' ELSE '' END AS message,
+ CASE WHEN inverted THEN 'define ' || id || ' before ' || file || ' or take this reference out' ELSE 'let ' || file || ' depend on ' || target END AS expected FROM bad
+UNION ALL SELECT 'dep_missing', {CUSTOMER_FILE}, 1, 'segment/' || c_mktsegment || '.md does not exist', NULL FROM customer
+UNION ALL SELECT 'dep_glob_empty', {CUSTOMER_FILE}, 1, 'old/*.md matches no file', NULL FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'dep_cycle', {NATION_FILE}, 1, 'files depend on one another: ' || {NATION_FILE} || ' -> ' || printf('nation/%05d.md', n_nationkey + 2) || ' -> ' || printf('nation/%05d.md', n_nationkey + 1) || ' -> ' || {NATION_FILE}, NULL FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey < 24""")
+def dep_declared(spark, sf_dir):
+    """Every kind of issue of the declared order, over declarations three files deep with rings."""
+    empty = R.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.format_string("customer/%012d.md", "c_custkey").alias("path"), F.lit("old/*.md").alias("target"))
+    found = rules.dep_order(M.corpus(spark, sf_dir), declared_files(spark, sf_dir), empty)
+    message = F.when(F.col("kind") == "dep_undeclared", F.element_at(F.split("message", " of "), -1)).otherwise(F.col("message"))
+    return found.select("kind", "file", "line", message.alias("message"), "expected")
+
+
+#: The documents of plan_documents(): nations n of regions r, market segments s, customers c with their place x below a need, orders o.
+PLANS = """WITH na AS (SELECT n_nationkey AS n, n_regionkey AS r, n_name FROM nation), sg AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS s FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+cu AS (SELECT c_custkey AS c, n, r, s, c_custkey % 2 + 1 AS x, c_acctbal >= 0 AS told FROM customer JOIN na ON n = c_nationkey JOIN sg USING (c_mktsegment)),
+od AS (SELECT o_orderkey AS o, c, n, r FROM orders JOIN cu ON c = o_custkey),
+leaf AS (SELECT r, n, s, x FROM na, sg, range(1, 3) t(x)),
+own AS (SELECT n, s, x, bool_and(c IN (SELECT c FROM od)) AS v FROM cu WHERE told GROUP BY ALL)"""
+
+
+@query(f"""{PLANS}, t AS (SELECT leaf.r, coalesce(own.v, leaf.n IN (SELECT n FROM od)) AS v FROM leaf LEFT JOIN own USING (n, s, x)),
+m AS (SELECT r_regionkey AS r, r_name, greatest(count(v), 1) AS leaves, count(*) FILTER (v) AS covered, count(*) FILTER (NOT v) AS partly FROM region LEFT JOIN t ON r = r_regionkey GROUP BY ALL)
+SELECT 'N-' || r AS id, r_name AS title, printf('needs/%05d.md', r) AS path, CAST(3 AS INTEGER) AS line, leaves, covered, partly, CASE WHEN covered = leaves THEN 'complete' WHEN covered + partly = 0 THEN 'missing' ELSE 'partial' END AS status FROM m
+UNION ALL SELECT 'N-1000', 'One', 'needs/loop.md', 1, 1, 0, 0, 'missing'""")
+def coverage_folded(spark, sf_dir):
+    """Three stages: needs four levels deep ask the nearest one above that has a plan, plans of nations have the tasks of their parts, and repeated identifiers contain one another."""
+    return G.matrix_status(M.plan_corpus(spark, sf_dir).graph)
+
+
+@query(f"""{PLANS}, p AS (SELECT r, n, NULL AS c FROM na UNION ALL SELECT r, n, c FROM cu WHERE told)
+SELECT 'N-' || r AS id, 'PLAN' AS stage, string_agg('P-' || n || coalesce('.' || c, ''), ', ' ORDER BY n, c NULLS FIRST) AS ids FROM p GROUP BY r
+UNION ALL SELECT 'N-' || r, 'TASK', string_agg('T-' || o, ', ' ORDER BY n, o) FROM od GROUP BY r""")
+def coverage_first_walks(spark, sf_dir):
+    """Tasks in the order in which walks reach them: nation by nation, not by their own numbers."""
+    return G.stage_ids(M.plan_corpus(spark, sf_dir).graph)
+
+
+@query(f"""{PLANS}, up AS (SELECT 'N-' || r AS a, 'N-' || r || '.' || n AS b, 1 AS d FROM na UNION ALL SELECT DISTINCT 'N-' || r || '.' || n, 'N-' || r || '.' || n || '.' || s, 1 FROM leaf UNION ALL SELECT 'N-' || r || '.' || n || '.' || s, 'N-' || r || '.' || n || '.' || s || '.' || x, 1 FROM leaf
+ UNION ALL SELECT DISTINCT 'N-' || r, 'N-' || r || '.' || n || '.' || s, 2 FROM leaf UNION ALL SELECT 'N-' || r || '.' || n, 'N-' || r || '.' || n || '.' || s || '.' || x, 2 FROM leaf UNION ALL SELECT 'N-' || r, 'N-' || r || '.' || n || '.' || s || '.' || x, 3 FROM leaf
+ UNION ALL SELECT 'P-' || n, 'P-' || n || '.' || c, 1 FROM cu UNION ALL SELECT * FROM (VALUES ('N-1000', 'N-1001', 1), ('N-1001', 'N-1000', 1), ('N-1001', 'N-1002', 1), ('N-1000', 'N-1002', 2)))
+SELECT a AS ancestor, b AS id, CAST(d AS INTEGER) AS depth FROM up""")
+def containment_deep(spark, sf_dir):
+    """Everything below everything, three deep, and around identifiers that contain one another."""
+    return G.descendants(M.plan_corpus(spark, sf_dir).graph).where("depth > 0").select("ancestor", "id", F.col("depth").cast("int").alias("depth"))
+
+
+@query(f"""{PLANS} SELECT 'P-' || n AS src, 'P-' || n || '.' || c AS dst, CASE WHEN c % 2 = 0 THEN 'reference' ELSE 'containment' END AS kind FROM cu UNION ALL SELECT 'N-' || r || '.' || n || '.' || s || '.' || x, 'P-' || n || '.' || c, 'reference' FROM cu WHERE told
+UNION ALL SELECT 'N-' || r || '.' || n, 'P-' || n, 'reference' FROM na UNION ALL SELECT 'P-' || n || '.' || c, 'T-' || o, 'reference' FROM od""")
+def edges_of_both_kinds(spark, sf_dir):
+    """A part that mentions its whole: the reference takes the place of the containment."""
+    edges = M.plan_corpus(spark, sf_dir).graph.edges
+    return edges.where(~(F.startswith("src", F.lit("N-")) & F.startswith("dst", F.lit("N-"))))

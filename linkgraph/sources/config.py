@@ -176,6 +176,14 @@ def targets(config: Config, args: list[str] | None = None) -> list[str]:
     return sorted(once.values())
 
 
+def in_turn(config: Config, args: list[str]) -> list[str]:
+    """The files in the order in which they, or the folders that hold them, are named; each real file once."""
+    out: dict[str, str] = {}
+    for f in (f for a in args for f in targets(config, [a])):
+        out.setdefault(os.path.realpath(os.path.join(config.base, f)), f)
+    return [*out.values()]
+
+
 def open_corpus(spark: SparkSession, config: Config, args: list[str] | None = None) -> Corpus:
     """The documents, read by Spark; an undeclared one has references and no definitions."""
     names = targets(config, args)

@@ -17,7 +17,7 @@ from linkgraph.operators.graph import CONTAINMENT, REFERENCE, LinkGraph, distinc
 from linkgraph.sources.markdown import parse
 from linkgraph.sources.scratch import written
 
-HEADING = "ordinal:int,level:int,text:string,title:string,id:string,line:int,end_line:int,has_body:boolean,parent_ordinal:int,id_ancestor:string,n_children:int"
+HEADING = "ordinal:int,level:int,text:string,title:string,id:string,line:int,end_line:int,has_body:boolean,parent_ordinal:int,id_ancestor:string,n_children:int,lineage:array<string>"
 PARSED = f"path string, type string, id_pattern string, n_lines int, newline string, headings array<struct<{HEADING}>>, refs array<struct<seq:int,id:string,line:int,owner:string,owner_line:int>>, prose array<struct<line:int,text:string,raw:string,owner:string>>"
 
 
@@ -73,16 +73,33 @@ class Corpus:
 
     @property
     def kids(self) -> DataFrame:
-        rows = self.headings.where(F.col("id").isNotNull() & F.col("id_ancestor").isNotNull() & (F.col("id") != F.col("id_ancestor")))
-        return rows.select(F.col("id_ancestor").alias("parent"), F.col("id").alias("child")).distinct()
+        """parent, child, place: where the child first stands below the parent."""
+        rows = self.definitions.where(F.col("id_ancestor").isNotNull() & (F.col("id") != F.col("id_ancestor")))
+        return rows.groupBy(F.col("id_ancestor").alias("parent"), F.col("id").alias("child")).agg(F.min("pos").alias("place"))
+
+    @property
+    def nested(self) -> DataFrame:
+        """ancestor, id, depth of what stands below what within one document, each with itself at depth 0.
+
+        Headings have six levels, so each definition brings its few ancestors along and nothing is joined.
+        """
+        rows = self.definitions.select("id", F.posexplode(F.concat(F.array("id"), "lineage")).alias("depth", "ancestor"))
+        return rows.groupBy("ancestor", "id").agg(F.min("depth").alias("depth"))
+
+    @property
+    def repeated(self) -> DataFrame:
+        """id of what is defined more than once."""
+        return self.definitions.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
 
     @cached_property
     def graph(self) -> LinkGraph:
         known = self.nodes.select("id")
         named = self.refs.where(F.col("owner").isNotNull()).select(F.col("id").alias("src"), F.col("owner").alias("dst")).distinct()
         refs = named.join(known.withColumnRenamed("id", "src"), "src", "left_semi").withColumn("kind", F.lit(REFERENCE))
-        inner = self.kids.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(CONTAINMENT).alias("kind"))
-        return LinkGraph(self.nodes, written(distinct_edges(refs.unionByName(inner))), self.chain, written(self.kids))
+        kids = written(self.kids)
+        inner = kids.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(CONTAINMENT).alias("kind"))
+        repeated = written(self.repeated)
+        return LinkGraph(self.nodes, written(distinct_edges(refs.unionByName(inner))), self.chain, kids, nested=self.nested, repeated=None if repeated.isEmpty() else repeated)
 
 
 def section(corpus: Corpus, ident: str) -> DataFrame:

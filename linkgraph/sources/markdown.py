@@ -214,7 +214,8 @@ def parse(text: str, pattern: str | None, known: list[str]) -> dict:
         while open_ and open_[-1]["level"] >= h["level"]:
             open_.pop()["end_line"] = h["line"] - 1
         above = open_[-1] if open_ else None
-        h |= {"parent_ordinal": above["ordinal"] if above else None, "id_ancestor": above and (above["id"] or above["id_ancestor"]), "n_children": 0, "end_line": len(lines)}
+        lineage = ([above["id"]] if above["id"] else []) + above["lineage"] if above else []  # from the nearest up
+        h |= {"parent_ordinal": above["ordinal"] if above else None, "id_ancestor": lineage[0] if lineage else None, "lineage": lineage, "n_children": 0, "end_line": len(lines)}
         if above:
             above["n_children"] += 1
         open_.append(h)

@@ -23,41 +23,56 @@ def ident(kind: str, *cols: str) -> Column:
     return F.concat(F.lit(f"{kind}-"), first, *(F.concat(F.lit("."), c) for c in more))
 
 
+#: An identifier as numbers: the type's place in TYPES, and one or two keys.
+KEY = "struct<t:tinyint,a:bigint,b:int>"
+
+
+def key(kind: str, *cols: str) -> Column:
+    more = F.col(cols[1]).cast("int") if len(cols) > 1 else F.lit(0)
+    return F.struct(F.lit([*TYPES].index(kind)).cast("tinyint").alias("t"), F.col(cols[0]).cast("long").alias("a"), more.alias("b"))
+
+
+def label(x: Column) -> Column:
+    """The text of such an identifier."""
+    second = F.when(F.element_at(F.array(*(F.lit(len(t[1]) > 1) for t in TYPES.values())), x["t"].cast("int") + 1), F.concat(F.lit("."), x["b"].cast("string"))).otherwise("")
+    return F.concat(F.element_at(F.array(*(F.lit(f"{t}-") for t in TYPES)), x["t"].cast("int") + 1), x["a"].cast("string"), second)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def definitions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES)) -> DataFrame:
+def definitions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), ident=ident) -> DataFrame:
     """id, type, path, line, level, title, pos of every row, duplicates kept; the key stands for document order."""
     out = None
     for kind in TYPES:
         if kind not in kinds:
             continue
-        rows = described(table(spark, sf_dir, TYPES[kind][0]), kind)
+        rows = described(table(spark, sf_dir, TYPES[kind][0]), kind, ident)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def described(rows: DataFrame, kind: str) -> DataFrame:
+def described(rows: DataFrame, kind: str, ident=ident) -> DataFrame:
     name, keys, title = TYPES[kind]
     place = F.array(F.lit([*TYPES].index(kind)).cast("long"), *(F.col(k).cast("long") for k in keys))
     return rows.select(ident(kind, *keys).alias("id"), F.lit(kind).alias("type"), F.lit(name).alias("path"), F.col(keys[-1]).cast("int").alias("line"), F.lit(2).alias("level"), F.col(title).alias("title"), place.alias("pos"))
 
 
-def nodes(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES)) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), ident=ident) -> DataFrame:
     """One row an identifier. Line items may repeat a key, and so a place in the order; the least title stands for all."""
     out = None
     for kind in kinds:
-        rows = definitions(spark, sf_dir, (kind,))
+        rows = definitions(spark, sf_dir, (kind,), ident)
         if kind == "LIN":  # on its key columns; what a query does not ask for is not aggregated
             name, keys, title = TYPES[kind]
             once = table(spark, sf_dir, name).groupBy(*keys).agg(F.min(title).alias(title))
-            rows = described(once, kind)
+            rows = described(once, kind, ident)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), once: bool = False) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), once: bool = False, ident=ident) -> DataFrame:
     """src (mentioned), dst (mentioning) and their types; a pair as often as there are rows, or once."""
     out = None
     for src, key, dst in MENTIONS:
@@ -71,7 +86,11 @@ def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), once: bool =
     return out
 
 
-def graph(spark: SparkSession, sf_dir: str, chain: list[str] | None = None, kinds=tuple(TYPES)) -> LinkGraph:
-    """The link graph of some types; the edges are mentions of defined identifiers, one a pair."""
-    edges = mentions(spark, sf_dir, kinds, once=True).select("src", "dst", F.lit(REFERENCE).alias("kind"))
-    return LinkGraph(nodes(spark, sf_dir, kinds), edges, chain or CHAIN, typed=mentions(spark, sf_dir, kinds))
+def graph(spark: SparkSession, sf_dir: str, chain: list[str] | None = None, kinds=tuple(TYPES), keyed: bool = True) -> LinkGraph:
+    """The link graph of some types; the edges are mentions of defined identifiers, one a pair.
+
+    ``keyed``: identifiers are structs of numbers until they are shown, so that no text is grouped, joined or sorted.
+    """
+    own = key if keyed else ident
+    edges = mentions(spark, sf_dir, kinds, True, own).select("src", "dst", F.lit(REFERENCE).alias("kind"))
+    return LinkGraph(nodes(spark, sf_dir, kinds, own), edges, chain or CHAIN, typed=mentions(spark, sf_dir, kinds, ident=own), flat=True, label=label if keyed else None)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgraph.sources.corpus import Corpus
@@ -42,21 +40,27 @@ def joined(rows: DataFrame, by: str, order: list[str], piece: Column) -> DataFra
 def sales_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested, repeated, skipped and undefined identifiers: a document for each customer, part and supplier, and a glossary.
 
-    A customer's document has its orders, but not those whose key leaves 3 when divided by 7, and below them their line
-    items as dotted IDs: nested for odd orders, beside them for even ones. Items mention parts, of which the small ones
-    are not defined. Suppliers mention the items that they deliver much of, and the orders whose key 4 divides.
+    A customer's document has its orders, and below them their line items as dotted IDs: nested for odd orders, beside
+    them for even ones. Orders whose key leaves 3 when divided by 7 are drafts, which have headings without IDs, and so
+    have small parts. Items mention parts. Suppliers mention the items that they deliver much of, and the orders whose
+    key 4 divides.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 3").select("o_custkey", "o_orderkey", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     mark = F.when(F.col("l_orderkey") % 2 == 1, "###").otherwise("##")
-    item = text(mark, " ORD-", F.col("l_orderkey"), ".", F.col("l_linenumber"), ": ", F.col("l_returnflag"), "\n\nNeeds PRT-", F.col("l_partkey"), ".\n\n")
+    draft = F.col("l_orderkey") % 7 == 3
+    name = F.when(draft, " An item").otherwise(text(" ORD-", F.col("l_orderkey"), ".", F.col("l_linenumber"), ": ", F.col("l_returnflag")))
+    item = text(mark, name, "\n\nNeeds PRT-", F.col("l_partkey"), ".\n\n")
     below = joined(items, "l_orderkey", ["l_linenumber", "l_partkey"], item)
-    order = text("## ORD-", F.col("o_orderkey"), ": ", F.col("o_orderpriority"), "\n\nA plain order.\n\n", F.coalesce("body", F.lit("")))
+    head = F.when(F.col("o_orderkey") % 7 == 3, "## A draft").otherwise(text("## ORD-", F.col("o_orderkey"), ": ", F.col("o_orderpriority")))
+    order = text(head, "\n\nA plain order.\n\n", F.coalesce("body", F.lit("")))
     by_customer = joined(orders.join(below, orders.o_orderkey == below.l_orderkey, "left"), "o_custkey", ["o_orderkey"], order)
     sales = by_customer.select(F.format_string("sales/%012d.md", "o_custkey").alias("path"), F.lit("ORD").alias("type"), F.lit("ORD-{seq}").alias("id_pattern"), text("# Orders\n\n", F.col("body")).alias("text"))
-    parts = table(spark, sf_dir, "part").where("p_size > 5").select(
+    name = F.when(F.col("p_size") > 5, text("PRT-", F.col("p_partkey"), ": ")).otherwise("")
+    size = F.when(F.col("p_size") > 40, text("A merch part, PRT for short, not PRT-", F.col("p_partkey"), ".")).when(F.col("p_size") > 25, "A merch part.").otherwise("A part.")
+    parts = table(spark, sf_dir, "part").select(
         F.format_string("part/%012d.md", "p_partkey").alias("path"), F.lit("PRT").alias("type"), F.lit("PRT-{seq}").alias("id_pattern"),
-        text("## PRT-", F.col("p_partkey"), ": ", F.col("p_name"), "\n\n", F.when(F.col("p_size") > 25, "A merch part.").otherwise("A part."), "\n").alias("text"),
+        text("## ", name, F.col("p_name"), "\n\n", size, "\n").alias("text"),
     )
     many = items.where("l_quantity > 25").select("l_suppkey", F.lit(0).alias("kind"), "l_orderkey", "l_linenumber").distinct()
     whole = items.where("l_orderkey % 4 = 0").select("l_suppkey", F.lit(1).alias("kind"), "l_orderkey", F.lit(0).alias("l_linenumber")).distinct()
@@ -66,11 +70,50 @@ def sales_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("supplier/%012d.md", "s_suppkey").alias("path"), F.lit("SUP").alias("type"), F.lit("SUP-{seq}").alias("id_pattern"),
         text("## SUP-", F.col("s_suppkey"), ": ", F.col("s_name"), "\n\n", F.coalesce("body", F.lit(""))).alias("text"),
     )
-    words = spark.createDataFrame([("terms.md", "glossary", "TRM-{seq}", "# Terms\n\n## TRM-1: Merchandise\n\nWares\n(merch). What is sold.\n")], "path string, type string, id_pattern string, text string")
+    terms = "# Terms\n\n## TRM-1: Merchandise\n\nWares\n(merch). What is sold.\n\n## TRM-2: Component\n\nPRT. Its short name.\n\n## TRM-3: Piece\n\nPiece (PRT). Its short name.\n"
+    words = spark.createDataFrame([("terms.md", "glossary", "TRM-{seq}", terms)], "path string, type string, id_pattern string, text string")
     return sales.unionByName(parts).unionByName(makers).unionByName(words)
 
 
-@lru_cache(maxsize=4)
 def sales_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Parsed once a session and folder."""
     return Corpus(sales_documents(spark, sf_dir), ["ORD", "SUP"], ["ORD-{seq}", "SUP-{seq}", "PRT-{seq}", "TRM-{seq}"])
+
+
+#: Two identifiers that contain one another, over two definitions each, and a third that only the second one of them contains.
+LOOP = "## N-1000: One\n\n### N-1001: Two\n\nx\n\n## N-1001: Two again\n\n### N-1000: One again\n\n### N-1002: Three\n\nx\n"
+
+
+def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stages: the needs of regions four levels deep, the plans of nations, and the tasks of their orders.
+
+    A need of a nation (N-region.nation) has one for each market segment and two below that. A nation's plan (P-nation)
+    is for its need, and so is that of each customer (P-nation.customer) for a need at the bottom, but for customers in
+    debt; every second customer's plan mentions the nation's, of which it is a part. Tasks mention customers' plans.
+    """
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal", "c_mktsegment")
+    lands = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    segments = customers.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    place = segments.select("c_mktsegment", F.row_number().over(Window.orderBy("c_mktsegment")).alias("s"))  # a row a market segment
+    land = text("N-", F.col("n_regionkey"), ".", F.col("n_nationkey"))
+    deep = text("#### ", land, ".", F.col("s"), ": ", F.col("c_mktsegment"), "\n\n##### ", land, ".", F.col("s"), ".1: Even\n\nx\n\n##### ", land, ".", F.col("s"), ".2: Odd\n\nx\n\n")
+    inner = joined(nations.crossJoin(F.broadcast(place)), "n_nationkey", ["s"], deep).withColumnRenamed("n_nationkey", "of")
+    each = joined(nations.join(inner, F.col("n_nationkey") == F.col("of"), "left"), "n_regionkey", ["n_nationkey"], text("### ", land, ": ", F.col("n_name"), "\n\n", F.coalesce("body", F.lit(""))))
+    needs = table(spark, sf_dir, "region").join(each, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(
+        F.format_string("needs/%05d.md", "r_regionkey").alias("path"), F.lit("NEED").alias("type"), F.lit("N-{seq}").alias("id_pattern"), text("# Needs\n\n## N-", F.col("r_regionkey"), ": ", F.col("r_name"), "\n\n", F.coalesce("body", F.lit(""))).alias("text"),
+    )
+    told = F.when(F.col("c_acctbal") >= 0, text("For ", land, ".", F.col("s"), ".", F.col("c_custkey") % 2 + 1, ".")).otherwise("In debt.")
+    part = F.when(F.col("c_custkey") % 2 == 0, text(" Part of P-", F.col("c_nationkey"), ".")).otherwise("")
+    own = joined(lands.join(F.broadcast(place), "c_mktsegment"), "c_nationkey", ["c_custkey"], text("### P-", F.col("c_nationkey"), ".", F.col("c_custkey"), ": ", F.col("c_name"), "\n\n", told, part, "\n\n"))
+    plans = nations.join(own, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.format_string("plans/%05d.md", "n_nationkey").alias("path"), F.lit("PLAN").alias("type"), F.lit("P-{seq}").alias("id_pattern"), text("# Plans\n\n## P-", F.col("n_nationkey"), ": ", F.col("n_name"), "\n\nFor ", land, ".\n\n", F.coalesce("body", F.lit(""))).alias("text"),
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    done = joined(orders, "c_custkey", ["o_orderkey"], text("## T-", F.col("o_orderkey"), ": ", F.col("o_orderpriority"), "\n\nDoes P-", F.col("c_nationkey"), ".", F.col("c_custkey"), ".\n\n"))
+    tasks = done.select(F.format_string("tasks/%012d.md", "c_custkey").alias("path"), F.lit("TASK").alias("type"), F.lit("T-{seq}").alias("id_pattern"), F.col("body").alias("text"))
+    loop = spark.createDataFrame([("needs/loop.md", "NEED", "N-{seq}", LOOP)], "path string, type string, id_pattern string, text string")
+    return needs.unionByName(plans).unionByName(tasks).unionByName(loop)
+
+
+def plan_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(plan_documents(spark, sf_dir), ["NEED", "PLAN", "TASK"], ["N-{seq}", "P-{seq}", "T-{seq}"])

@@ -35,7 +35,8 @@ def test_commands(project, spark, capsys):
     assert code == 1 and "R-2 missing" in text and "50%" in text
     assert "| R-1 | D-1 |" in out(capsys, spark, "matrix")[1]
     rows = json.loads(out(capsys, spark, "matrix", "--format", "json")[1])["rows"]
-    assert rows == [{"id": "R-1", "paths": [["D-1"]], "status": "complete"}, {"id": "R-2", "paths": [], "status": "missing"}]
+    assert [r | {"file": None, "line": 0} for r in rows] == [{"id": "R-1", "title": "One", "file": None, "line": 0, "paths": [["D-1"]], "status": "complete"}, {"id": "R-2", "title": "Two", "file": None, "line": 0, "paths": [], "status": "missing"}]
+    assert [(r["file"], r["line"]) for r in rows] == [("docs/req.md", 3), ("docs/req.md", 6)]
     assert "D-1 A" in out(capsys, spark, "impact", "R-1")[1]
     assert "n0 --> n" in out(capsys, spark, "graph")[1].replace("n1 -->", "n0 -->").replace("n2 -->", "n0 -->")
     assert out(capsys, spark, "show", "R-2")[1] == "## R-2: Two\nx\n"
