@@ -10,7 +10,9 @@ the order of sizes; nodes and leaves carry the maxima of their coarse counts, an
 reaches the threshold. Surviving pairs are verified on the whole shingle sets.
 
 Equal sets are one point. Pairs are taken in two rounds: first, in each entry, a forest over the surviving pairs with
-the best bounds; then, in entries where pairs were left over, those among texts which verified links have not connected.
+the best bounds; then, in entries where pairs were left over, those among texts which verified links have not connected:
+points with such a partner are told first, and their sets are compared in the task that holds the entry, where a link
+makes the other pairs of its two components needless. No round emits all pairs of a group.
 An entry of more than ``BLOCK`` points first meets one block of them, its hub; after that only texts outside the label
 that most of the entry has are held against the others. No link between texts of different components is lost, and a
 group of near copies costs about as many pairs as it has members.
@@ -117,7 +119,7 @@ class Tree:
     """Points in the order of sizes below leaves and nodes with the maxima of their coarse counts."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: list[bytes]):
-        order = np.lexsort((ids, sizes))
+        self.order = order = np.lexsort((ids, sizes))
         self.points = Points(ids[order], sizes[order], labels[order], [points[x] for x in order.tolist()])
         self.leaves, self.nodes = (self._level(np.arange(0, len(ids), w), w) for w in (LEAF, LEAF * FANOUT))
 
@@ -189,39 +191,77 @@ class Forest:
             self.left |= taken < len(own)
 
 
-def candidates(members: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
-    """a, b of surviving pairs; or cell alone, of an entry whose pairs were not all taken.
+class Opened:
+    """Remembers who has a surviving partner."""
 
-    Rows: cell, i, j, side, id, n, point, label. The rows of one (cell, i, j) are an entry, or two of its blocks.
+    def __init__(self, n: int):
+        self.edges, self.left, self.rows = [], False, np.zeros(n, bool)
+
+    def add(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
+        self.rows[i] = self.rows[j] = True
+
+
+class Links:
+    """Pairs that the whole sets confirm and that join two labels, best bound first; the pairs between joined labels are not tried."""
+
+    def __init__(self, labels: np.ndarray, sets: list[bytes], num: int, den: int):
+        self.labels, self.sets, self.num, self.den = labels, sets, num, den
+        self.parent, self.edges, self.left = {}, [], False
+
+    def top(self, x: int) -> int:
+        while self.parent.get(x, x) != x:
+            self.parent[x] = self.parent.get(self.parent[x], self.parent[x])
+            x = self.parent[x]
+        return x
+
+    def add(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
+        for k in np.argsort(-score, kind="stable").tolist():
+            p, q = int(i[k]), int(j[k])
+            x, y = self.top(int(self.labels[p])), self.top(int(self.labels[q]))
+            if x == y:
+                continue
+            a, b = (np.frombuffer(self.sets[r], np.uint64) for r in (p, q))
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            if self.den * same >= self.num * (len(a) + len(b) - same):
+                self.parent[max(x, y)] = min(x, y)
+                self.edges.append((p, q))
+
+
+def candidates(members: DataFrame, num: int, den: int, mode: str = "forest") -> DataFrame:
+    """By mode: a, b of a forest of surviving pairs, and cell alone of an entry whose pairs were not all taken; of "open",
+    a and cell of who has a surviving partner; of "links", a, b of verified links that join labels.
+
+    Rows: cell, i, j, side, id, n, point, label, and set for links. The rows of one (cell, i, j) are an entry, or two of its blocks.
     """
 
-    def whole(own: list[np.ndarray], points: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def work(labels: np.ndarray, sets: list[bytes]):
+        return Forest(len(labels)) if mode == "forest" else Opened(len(labels)) if mode == "open" else Links(labels, sets, num, den)
+
+    def whole(own: list[np.ndarray], points: list[bytes], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
         """An entry, or two blocks, by trees."""
         cell, _, _, side, ids, sizes, labels = own
-        sides = [Tree(ids[at], sizes[at], labels[at], [points[x] for x in at.tolist()]) for s in (0, 1) if len(at := np.flatnonzero(side == s))]
+        places = [at for s in (0, 1) if len(at := np.flatnonzero(side == s))]
+        sides = [Tree(ids[at], sizes[at], labels[at], [points[x] for x in at.tolist()]) for at in places]
         if own[1][0] != own[2][0] and len(sides) < 2:
             return
         a, b, shift = sides[0], sides[-1], len(sides[0].points.ids) * (len(sides) - 1)
-        forest, held, n = Forest(len(ids)), [], 0
-        both = a.points.ids if len(sides) == 1 else np.concatenate([a.points.ids, b.points.ids])
+        order = np.concatenate([at[tree.order] for at, tree in zip(places, sides, strict=True)])
+        forest, held, n = work(labels[order], [sets[x] for x in order.tolist()] if sets else []), [], 0
         for i, j, score in a.pairs(b, num, den):
             held.append((i, j + shift, score))
             n += len(i)
             if n >= STEP:
-                yield from settle(forest, held, both)
+                forest.add(*(np.concatenate(c) for c in zip(*held, strict=True)))
                 held, n = [], 0
         if held:
-            yield from settle(forest, held, both)
-        yield from closed(forest, both, cell[:1])
-
-    def settle(forest: Forest, held: list, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, j, score = (np.concatenate(c) for c in zip(*held, strict=True))
-        if all_pairs:
-            yield batch_of(ids[i], ids[j])
-        else:
-            forest.add(i, j, score)
-
-    def closed(forest: Forest, ids: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+            forest.add(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield from closed(forest, ids[order], cell, cell[:1])
+
+    def closed(forest, ids: np.ndarray, own: np.ndarray, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """own: the cell of each row."""
+        if mode == "open" and forest.rows.any():
+            some = ids[forest.rows]
+            yield arrow(PAIR, [some, pa.nulls(len(some), pa.int64()), own[forest.rows]])
         if forest.edges:
             i, j = np.array(forest.edges).T
             yield batch_of(ids[i], ids[j])
@@ -232,7 +272,7 @@ def candidates(members: DataFrame, num: int, den: int, all_pairs: bool) -> DataF
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return arrow(PAIR, [pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int64())])
 
-    def small(own: list[np.ndarray], points: list[bytes], starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def small(own: list[np.ndarray], points: list[bytes], sets: list[bytes], starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Entries of a leaf each, all at once."""
         rows = Points(own[4], own[5], own[6], points)
         some = [(starts[counts == m][:, None] + np.stack(np.triu_indices(m, 1))[:, None, :]).reshape(2, -1) for m in np.unique(counts) if m > 1]
@@ -242,47 +282,51 @@ def candidates(members: DataFrame, num: int, den: int, all_pairs: bool) -> DataF
         i, j, score = bounded(rows, i, rows, j, num, den)
         if not len(i):
             return
-        if all_pairs:
-            yield batch_of(rows.ids[i], rows.ids[j])
-            return
-        forest = Forest(len(rows.ids))
+        forest = work(rows.labels, sets)
         forest.add(i, j, score)
+        if mode != "forest":
+            yield from closed(forest, rows.ids, own[0], own[0][:0])
+            return
         taken = dict(zip(*np.unique(own[0][[p for p, _ in forest.edges]], return_counts=True), strict=True))
         cells, met = np.unique(own[0][i], return_counts=True)
         more = np.array([c for c, n in zip(cells, met, strict=True) if n > taken.get(c, 0)], np.int64)
         forest.left = len(more) > 0
-        yield from closed(forest, rows.ids, more)
+        yield from closed(forest, rows.ids, own[0], more)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
 
-        def groups(own: list[np.ndarray], points: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def groups(own: list[np.ndarray], points: list[bytes], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], np.any([np.diff(c) != 0 for c in own[:3]], axis=0)]))
             counts = np.diff(np.append(starts, len(points)))
             leaf = (counts <= LEAF) & np.array([not own[3][s : s + n].any() for s, n in zip(starts, counts, strict=True)])
             for s, n in zip(starts[~leaf], counts[~leaf], strict=True):
-                yield from whole([c[s : s + n] for c in own], points[s : s + n])
+                yield from whole([c[s : s + n] for c in own], points[s : s + n], sets[s : s + n])
             if leaf.any():
                 at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[leaf], counts[leaf], strict=True)])
                 n = counts[leaf]
-                yield from small([c[at] for c in own], [points[x] for x in at.tolist()], np.cumsum(n) - n, n)
+                yield from small([c[at] for c in own], [points[x] for x in at.tolist()], [sets[x] for x in at.tolist()] if sets else [], np.cumsum(n) - n, n)
 
         held: list[list[np.ndarray]] = []
         points: list[bytes] = []
+        sets: list[bytes] = []
+        step = ROWS // 8 if mode == "links" else ROWS
         for batch in batches:
-            for s in range(0, batch.num_rows, ROWS):
-                part = batch.slice(s, ROWS)
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                if mode == "links":
+                    sets += part.column("set").to_pylist()
                 held.append([part.column(c).to_numpy() for c in ("cell", "i", "j", "side", "id", "n", "label")])
                 points += [expand(x) for x in part.column("point").to_pylist()]
                 own = [np.concatenate(c) for c in zip(*held, strict=True)]
                 last = np.flatnonzero(np.any([c != c[-1] for c in own[:3]], axis=0))
                 cut = int(last[-1]) + 1 if len(last) else 0  # what stands from here on may go on
-                if cut >= ROWS // 2:
-                    yield from groups([c[:cut] for c in own], points[:cut])
-                    own, points = [c[cut:] for c in own], points[cut:]
+                if cut >= step // 2:
+                    yield from groups([c[:cut] for c in own], points[:cut], sets[:cut])
+                    own, points, sets = [c[cut:] for c in own], points[cut:], sets[cut:]
                 held = [own]
         if points:
-            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)], points)
+            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)], points, sets)
 
     return members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(tidy(search), "a long, b long, cell long")
 
@@ -409,6 +453,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
                 sets = [shingles(x.as_py(), k) for x in batch.column(1)[s : s + 500]]
                 yield arrow([("id", pa.int64()), ("n", pa.int64()), ("point", pa.binary())], [batch.column(0)[s : s + 500], [len(x) for x in sets], [squeeze(point(x)) for x in sets]])
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for s in range(0, batch.num_rows, 200):
+                yield arrow([("id", pa.int64()), ("set", pa.binary())], [batch.column(0)[s : s + 200], [shingles(x.as_py(), k).tobytes() for x in batch.column(1)[s : s + 200]]])
+
     # of texts with equal sets only the first goes on
     firsts = among(known, F.col("doc_id"), first.select("id"))
     # one exchange, of 16 bytes a row, finds the entries that more than one id shares; a window over a hot entry spills
@@ -423,17 +473,26 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     sized = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     zero = F.lit(0)
 
-    def verified(dealt: DataFrame, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    columns = ("cell", "i", "j", "side", "id", "n", "point", "label")
+
+    def verified(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links, and the entries of which pairs are left."""
-        found = written(candidates(dealt.join(points, "id").select("cell", "i", "j", "side", "id", "n", "point", "label"), num, den, all_pairs))
+        found = written(candidates(dealt.join(points, "id").select(*columns), num, den))
         pairs = written(found.where(F.col("a").isNotNull()).select("a", "b").distinct())
         texts = among(known, F.col("doc_id"), pairs.select(F.explode(F.array("a", "b")).alias("id"))).select(F.col("doc_id").alias("id"), "text")
         return written(verify(pairs, texts, k, num, den)), found.where(F.col("a").isNull()).select("cell").distinct()
 
+    def blocked(mixed: DataFrame) -> DataFrame:
+        """Whole small entries; of large ones, the texts outside the label that most have, in blocks of their own, against all blocks."""
+        one = mixed.where("blocks = 1").select("cell", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "label")
+        stray = mixed.where("blocks > 1 and label <> usual").select("cell", F.pmod(F.xxhash64("id"), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j"), zero.alias("side"), "id", "label")
+        every = mixed.where("blocks > 1").select("cell", F.explode(F.sequence(zero, F.col("strays") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "label")
+        return one.unionByName(stray).unionByName(every)
+
     # the hub, block 0 of a large entry, meets every block
     target = F.when(F.col("block") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("block"))
     hubs = sized.select("cell", zero.alias("i"), F.explode(target).alias("j"), (F.col("block") > 0).cast("int").alias("side"), "id", F.col("id").alias("label"))
-    links, left = verified(hubs, False)
+    links, left = verified(hubs)
     # an id with several texts ties the groups of copies that they stand in
     tied = keyed.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc_id")
     ties = keyed.join(tied, "doc_id", "left_semi").join(first, "key").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
@@ -442,11 +501,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     again = sized.join(left, "cell", "left_semi").unionByName(sized.where("blocks > 1").join(left, "cell", "left_anti")).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     usual = again.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("label", "n").alias("usual"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"))
     mixed = written(again.join(usual.where("labels > 1"), "cell").withColumn("strays", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")))
-    one = mixed.where("blocks = 1").select("cell", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "label")
-    # texts outside the label that most of a large entry has, in blocks of their own, against all blocks
-    stray = mixed.where("blocks > 1 and label <> usual").select("cell", F.pmod(F.xxhash64("id"), F.col("strays")).cast("int").alias("i"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j"), zero.alias("side"), "id", "label")
-    every = mixed.where("blocks > 1").select("cell", F.explode(F.sequence(zero, F.col("strays") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "id", "label")
-    more, _ = verified(one.unionByName(stray).unionByName(every), True)
+    # who has a surviving partner of another label, and then the links between these, on their sets
+    opened = written(candidates(blocked(mixed).join(points, "id").select(*columns), num, den, "open").select(F.col("a").alias("id"), "cell").distinct())
+    rest = written(mixed.join(opened, ["cell", "id"], "left_semi"))
+    sets = among(known, F.col("doc_id"), rest.select("id").distinct()).mapInArrow(tidy(hashed), "id long, set binary")
+    more = written(candidates(blocked(rest).join(points, "id").join(sets, "id").select(*columns, "set"), num, den, "links").select("a", "b"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = first.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))

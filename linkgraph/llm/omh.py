@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -85,15 +86,21 @@ def chained(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c > key)) if cuts else F.lit(0)
-    heads = sorted(rows.select(bucket.alias("b"), key.alias("key")).groupBy("b").agg(F.max("key").alias("key")).collect())
+    bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series) -> pd.Series:
+        """How many cuts lie above the id."""
+        return pd.Series(len(bounds.value) - np.searchsorted(bounds.value, key.to_numpy(), side="right")).astype("int32")
+
+    placed = rows.withColumn("b", bucket(key))
+    heads = sorted(placed.select("b", key.alias("key")).groupBy("b").agg(F.max("key").alias("key")).collect())
     before = {h.b: heads[i - 1].b for i, h in enumerate(heads)}
-    size = max(before, default=0) + 1
-    target = F.get(F.array(*(F.lit(before.get(b, 0)) for b in range(size))), F.col("b"))
-    head = F.get(F.array(*(F.lit({h.b: h.key for h in heads}.get(b)).cast("long") for b in range(size))), F.col("b")) == key
+    # a row a range, no more than there are partitions
+    ranges = spark.createDataFrame([(h.b, h.key, before[h.b]) for h in heads] or [(0, 0, 0)], "b int, head long, target int")
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead"))
-    places = F.when(head, F.array(own, F.struct(target.alias("b"), F.lit(1).alias("ahead")))).otherwise(F.array(own))
-    dealt = rows.withColumn("b", bucket).select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.b", "p.ahead")
+    places = F.when(F.col("head") == key, F.array(own, F.struct(F.col("target").alias("b"), F.lit(1).alias("ahead")))).otherwise(F.array(own))
+    dealt = placed.join(F.broadcast(ranges), "b").select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.b", "p.ahead")
     return dealt.repartitionByRange(parts, "b").sortWithinPartitions("b", "ahead", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
 

@@ -4,11 +4,12 @@ The tokenizer's own pattern never joins characters across ASCII white space, and
 it, so the ids of a text are the ids of its chunks between ASCII white space, one after another. A chunk of letters and
 closing marks is two pieces of that pattern, so its ids are those of the letters, in lower case, and those of the marks.
 Arrow splits texts and numbers their distinct pieces; each is looked up once a slice, and those that a worker has not
-met lately are handed to the ``tokenizers`` library.
+met lately are handed to the ``tokenizers`` library. A file with another front end has its texts encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -26,6 +27,12 @@ MEMO_CHARS, MEMO_ENTRIES, MEMO_IDS = 48, 150_000, 2_000_000
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
 SLICE_BYTES = 1 << 20
 
+#: The front end, as a tokenizer file states it, for which all of the above holds.
+SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, SPACES, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -37,12 +44,19 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        model, added = spec["model"], spec["added_tokens"]
+        #: Whether chunks may be encoded one by one; with another front end whole texts are.
+        self.by_chunk = (
+            spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model["continuing_subword_prefix"]
+            and not any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] or len(a["content"].split()) != 1 or a["content"].isalpha() for a in added)
+        )
         spaces = pre_tokenizers.CharDelimiterSplit(" ")
         #: The same model behind front ends that leave out what does nothing to lower-case words, of ASCII and of others.
         self.ascii, self.light = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
         self.ascii.pre_tokenizer = spaces
         self.light.pre_tokenizer = pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = self.tokenizer.model.end_of_word_suffix
+        suffix = self.by_chunk and self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
@@ -99,6 +113,9 @@ class Encoder:
 
     def flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none) one after another, each text closed by ``end_id``, and where each text ends."""
+        if not self.by_chunk:
+            own = [self.encode(x or "") + [end_id] * (end_id is not None) for x in texts.to_pylist()]
+            return np.array([i for ids in own for i in ids], "<u4"), np.cumsum([len(ids) for ids in own], dtype=np.int64)
         if self.rows_used > MEMO_ENTRIES or self.used > MEMO_IDS:
             self.clear()
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

@@ -98,3 +98,21 @@ def test_bounds_never_fall_below_the_overlap():
         overlap = len(np.intersect1d(*sets))
         for dims in (128, int(rows.groups.min())):
             assert np.minimum(*rows.folded(np.arange(2), dims).astype(int)).sum() >= overlap
+
+
+def test_groups_just_below_the_threshold_of_one_another(spark, monkeypatch):
+    """They share all entries, and no pair between them is a link, so the second round has them all."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(900)]
+    base = [rng.choice(words) for _ in range(300)]
+    other = base[:262] + [rng.choice(words) for _ in range(38)]
+    rows = []
+    for text in (base, other):
+        for _ in range(20):
+            near = list(text)
+            near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((len(rows), " ".join(near)))
+    for k, num in ((5, 80), (4, 85)):
+        got = {tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100).collect()}
+        assert got == brute(rows, k, num, 100)

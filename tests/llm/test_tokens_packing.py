@@ -3,11 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linkgraph.llm import packing, wavelet
+from linkgraph.llm import packing, tokens, wavelet
 from linkgraph.llm.queries import tokenizer_path
 from linkgraph.llm.tokens import encoder
 
@@ -129,3 +130,17 @@ def test_reduction_keeps_the_optimum(seed):
 def test_same_texts_same_crc():
     a, b = (encoder(tokenizer_path()).ids(["same"])[0] for _ in range(2))
     assert hashlib.md5(a).digest() == hashlib.md5(b).digest()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_file_gives_the_ids_of_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    enc, whole = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert enc.by_chunk == (name == "word_bpe_49k.json")
+    texts = ["Hello, World! it's  12 o'clock\n\tnow", "", None, "  Über Straße é́ <|endoftext|> a<|endoftext|>b", "日本 x y"]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == want
+    ids, ends = enc.flat(pa.array(texts, pa.string()), 7)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*w, 7] for w in want]
