@@ -91,7 +91,7 @@ def new_document(corpus: K.Corpus, config: C.Config, args: argparse.Namespace) -
 def run(spark: SparkSession, args: argparse.Namespace) -> tuple[str, int]:
     if args.command == "init":
         return write_project(args), 0
-    config = C.load(C.discover(args.config))
+    config = C.load(C.discover(args.config), check_rules=args.command == "verify")
     if args.command == "templates":
         return "".join(f"{n}\n" for n in templates.names(config.preset, config.templates)), 0
     if args.command == "new":

@@ -9,12 +9,15 @@ import glob as globbing
 import os
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import yaml
 from pyspark.sql import SparkSession
 
 from linkgraph.functions.idgrammar import pattern_regex
 from linkgraph.sources.corpus import Corpus
+from linkgraph.sources.scan import documents
+from linkgraph.sources.settings import ConfigError, Settings
 
 #: Rule names with their options and defaults.
 RULE_OPTIONS = {
@@ -22,10 +25,7 @@ RULE_OPTIONS = {
     "id_uniqueness": {"enabled": True, "check_sequence": False}, "dep_order": {"enabled": True}, "id_hierarchy": {"enabled": True},
 }
 NAMES = ("linkgraph.yaml", "linkgraph.yml")
-
-
-class ConfigError(ValueError):
-    """A configuration that cannot be used."""
+GLOB = re.compile(r"[*?\[{]")
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,34 @@ class Config:
     base: str
     chain: list[str]
     files: list[FileSpec]
-    rules: dict[str, dict] = field(default_factory=dict)
+    settings: Settings
     templates: dict[str, str] = field(default_factory=dict)
     preset: str = ""
+    declarations: list[FileSpec] = field(default_factory=list)
+
+    @cached_property
+    def rules(self) -> dict[str, dict]:
+        """Every rule's options; an unknown rule or option is an error with its line, wherever it was merged from."""
+        s, out = self.settings, {name: dict(options) for name, options in RULE_OPTIONS.items()}
+        for name, (key, node) in s.members(s.members(s.root, "the file").get("rules", (None, None))[1], "rules").items():
+            if name not in out:
+                raise s.fault(key, f"unknown rule {name}")
+            for option, (at, value) in s.members(node, f"rule {name}").items():
+                if option not in out[name]:
+                    raise s.fault(at, f"unknown option {option} of rule {name}")
+                given = s.value(value, f"{option} of rule {name}", type(out[name][option]))
+                out[name][option] = out[name][option] if given is None or given == "" else given
+        return out
+
+    def glossary_type(self) -> str:
+        """The type of glossary documents; unlike ``rules``, whatever else stands there."""
+        s = self.settings
+        try:
+            rules = s.members(s.members(s.root, "the file").get("rules", (None, None))[1], "rules")
+            options = s.members(rules.get("term_consistency", (None, None))[1], "a rule")
+            return s.value(options.get("glossary_type", (None, None))[1], "the type", str) or RULE_OPTIONS["term_consistency"]["glossary_type"]
+        except ConfigError:
+            return RULE_OPTIONS["term_consistency"]["glossary_type"]
 
     def spec_of(self, path: str) -> FileSpec | None:
         real = os.path.realpath(os.path.join(self.base, path))
@@ -68,7 +93,7 @@ class Config:
 
 def is_glob(base: str, path: str) -> bool:
     """Whether a path has glob characters and is not the name of a file that exists."""
-    return bool(re.search(r"[*?\[{]", path)) and not os.path.isfile(os.path.join(base, path))
+    return bool(GLOB.search(path)) and not os.path.isfile(os.path.join(base, path))
 
 
 def expand(base: str, pattern: str) -> list[str]:
@@ -90,51 +115,63 @@ def discover(path: str | None = None, folder: str = ".") -> str:
     raise ConfigError(f"no {' or '.join(NAMES)} in {folder}")
 
 
-def load(path: str) -> Config:
+def checked_glob(s: Settings, node, pattern: str) -> None:
+    """A glob must be well-formed and stay below the configuration's folder, where it is expanded."""
+    if not GLOB.search(pattern):
+        return
+    clean = os.path.normpath(pattern)
+    if os.path.isabs(clean) or clean == ".." or clean.startswith("../"):
+        raise s.fault(node, f"{pattern} leads out of the configuration's folder")
+    if re.search(r"\[[^\]]*$", pattern) or pattern.count("{") != pattern.count("}"):
+        raise s.fault(node, f"{pattern} is no pattern of files")
+
+
+def load(path: str, check_rules: bool = True) -> Config:
+    """The declarations of a file, checked, and its rules too unless a caller has no use for them."""
     with open(path, encoding="utf-8") as f:
-        raw = yaml.safe_load(f) or {}
-    if not isinstance(raw, dict):
-        raise ConfigError(f"{path}: a mapping is expected")
+        s = Settings(path, f.read())
+    top = {name: value for name, (_, value) in s.members(s.root, "the file").items()}
     base = os.path.dirname(os.path.abspath(path))
-    declared = []
-    for entry in raw.get("files") or []:
-        missing = [k for k in ("path", "type", "id_pattern") if not entry.get(k)]
+    declared: list[FileSpec] = []
+    single: set[str] = set()
+    for node in s.items(top.get("files"), "files"):
+        own = s.members(node, "a file")
+        value = lambda key, kind=str: s.value(own.get(key, (None, None))[1], f"{key} of a file", kind)  # noqa: E731, B023
+        at = lambda key: own.get(key, (None, node))[1]  # noqa: E731, B023
+        missing = [k for k in ("path", "type", "id_pattern") if not value(k)]
         if missing:
-            raise ConfigError(f"{path}: a file lacks {', '.join(missing)}")
+            raise s.fault(node, f"a file lacks {', '.join(missing)}")
         try:
-            pattern_regex(entry["id_pattern"])
+            pattern_regex(value("id_pattern"))
         except ValueError as e:
-            raise ConfigError(str(e)) from e
-        name = os.path.normpath(entry["path"])
-        if name.startswith("..") or os.path.isabs(name):
-            raise ConfigError(f"{name}: files must stay below the configuration's folder")
-        levels = tuple(entry.get("id_levels") or ())
-        if any(not 1 <= x <= 6 for x in levels) or entry.get("id_start", 1) < 0:
-            raise ConfigError(f"{name}: levels are 1 to 6 and a start is not negative")
-        declared.append(FileSpec(name, entry["type"], entry["id_pattern"], entry.get("id_start") or 1, levels, tuple(entry.get("depends_on") or ()), name))
-    chain = raw.get("chain") or []
-    if not chain or (absent := [t for t in chain if t not in {s.type for s in declared}]):
-        raise ConfigError(f"the chain is empty or has undeclared types: {chain and absent}")
+            raise s.fault(at("id_pattern"), str(e)) from e
+        checked_glob(s, at("path"), value("path"))
+        name = os.path.normpath(value("path"))
+        if not is_glob(base, name):
+            real = os.path.realpath(os.path.join(base, name))
+            if real in single:
+                raise s.fault(at("path"), f"{name} is declared twice")
+            single.add(real)
+        depends = s.strings(own.get("depends_on", (None, None))[1], "depends_on")
+        for d in depends:
+            checked_glob(s, at("depends_on"), d)
+        levels = tuple(s.value(x, "an item of id_levels", int) or 0 for x in s.items(own.get("id_levels", (None, None))[1], "id_levels"))
+        start = value("id_start", int)
+        if any(not 1 <= x <= 6 for x in levels) or (start or 0) < 0:
+            raise s.fault(node, f"{name}: levels are 1 to 6 and a start is not negative")
+        declared.append(FileSpec(name, value("type"), value("id_pattern"), start or 1, levels, tuple(os.path.normpath(d) for d in depends), name))
+    chain = s.strings(top.get("chain"), "the chain")
+    if not chain or (absent := [t for t in chain if t not in {d.type for d in declared}]):
+        raise ConfigError(f"{path}: the chain is empty or has undeclared types: {chain and absent}")
     files: dict[str, FileSpec] = {}
-    for single in (True, False):  # a file by its name goes before any glob, then the first glob wins
-        for s in declared:
-            if is_glob(base, s.path) != single:
-                for f in [s.path] if single else expand(base, s.path):
-                    files.setdefault(os.path.realpath(os.path.join(base, f)), FileSpec(f, s.type, s.id_pattern, s.id_start, s.id_levels, s.depends_on, s.declared))
-    return Config(base, chain, sorted(files.values(), key=lambda s: s.path), rule_settings(raw.get("rules") or {}), raw.get("templates") or {}, raw.get("preset") or "")
-
-
-def rule_settings(raw: dict) -> dict[str, dict]:
-    """Every rule's options; an unknown rule or option is an error."""
-    out = {name: dict(options) for name, options in RULE_OPTIONS.items()}
-    for name, own in raw.items():
-        if name not in out:
-            raise ConfigError(f"unknown rule {name}")
-        for key, value in (own or {}).items():
-            if key not in out[name]:
-                raise ConfigError(f"unknown option {key} of rule {name}")
-            out[name][key] = value
-    return out
+    for one in (True, False):  # a file by its name goes before any glob, then the first glob wins
+        for d in declared:
+            if is_glob(base, d.path) != one:
+                for f in [d.path] if one else expand(base, d.path):
+                    files.setdefault(os.path.realpath(os.path.join(base, f)), FileSpec(f, d.type, d.id_pattern, d.id_start, d.id_levels, d.depends_on, d.declared))
+    templates = {name: s.value(value, f"the template {name}", str) or "" for name, (_, value) in s.members(top.get("templates"), "templates").items()}
+    own = Config(base, chain, sorted(files.values(), key=lambda d: d.path), s, templates, s.value(top.get("preset"), "preset", str) or "", declared)
+    return own if not check_rules or own.rules else own
 
 
 def section_specs(config: Config) -> dict[str, dict]:
@@ -185,9 +222,25 @@ def in_turn(config: Config, args: list[str]) -> list[str]:
 
 
 def open_corpus(spark: SparkSession, config: Config, args: list[str] | None = None) -> Corpus:
-    """The documents, read by Spark; an undeclared one has references and no definitions."""
-    names = targets(config, args)
-    rows = [(os.path.realpath(os.path.join(config.base, f)), f, s.type if s else None, s.id_pattern if s else None) for f in names for s in [config.spec_of(f)]]
-    table = spark.createDataFrame(rows, "real string, path string, type string, id_pattern string")
-    texts = spark.read.format("binaryFile").load([r[0] for r in rows]).selectExpr("regexp_replace(path, '^file:/*', '/') AS real", "decode(content, 'UTF-8') AS text") if rows else spark.createDataFrame([], "real string, text string")
-    return Corpus(table.join(texts, "real").select("path", "type", "id_pattern", "text"), config.chain, [s.id_pattern for s in config.files])
+    """The documents, listed and read by Spark's tasks; an undeclared one has references and no definitions.
+
+    Without arguments, the declared files; folders bring the Markdown below them; files are named one by one.
+    """
+    specs = [(d.path, is_glob(config.base, d.path), d.type, d.id_pattern) for d in config.declarations]
+    patterns = [d.id_pattern for d in config.declarations]
+    for a in args or []:
+        if not os.path.exists(os.path.join(config.base, a)):
+            raise ConfigError(f"{a}: no such file")
+    folders = [os.path.normpath(a) for a in args or [] if os.path.isdir(os.path.join(config.base, a))]
+    named = targets(config, [a for a in args if not os.path.isdir(os.path.join(config.base, a))]) if args and len(folders) < len(args) else []
+    docs = documents(spark, config.base, specs, folders if args else None) if folders or not args else None
+    if named:  # as many as were typed
+        own = [(f, s.type if s else None, s.id_pattern if s else None, read(os.path.join(config.base, f))) for f in named for s in [config.spec_of(f)]]
+        rows = spark.createDataFrame(own, "path string, type string, id_pattern string, text string")
+        docs = rows if docs is None else docs.join(rows.select("path"), "path", "left_anti").unionByName(rows)
+    return Corpus(docs, config.chain, patterns)
+
+
+def read(path: str) -> str:
+    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+        return f.read()
