@@ -397,21 +397,23 @@ def impact(graph: LinkGraph, start: str, depth: int = 0) -> DataFrame:
         typed = graph.typed
     else:
         typed = graph.edges.join(types.toDF("dst", "dst_type"), "dst").join(types.toDF("src", "src_type"), "src")
-    # written once: each round reads src, dst and two numbers of it
-    steps = written(typed.select("src", "dst", number("dst_type").alias("to"), (number("src_type") >= 0).cast("int").alias("chained")))
-    found = written(types.where(graph.name("id") == start).select("id", number("type").alias("stage"), F.lit(0).alias("distance")))
-    n = found.count()
-    if not n:
+    # written once, a folder for each type that steps come from: a round reads the types that its frontier has
+    kinds = lambda c: F.coalesce(c, F.lit("-"))
+    steps = written(typed.select("src", "dst", number("dst_type").alias("to"), (number("src_type") >= 0).cast("int").alias("chained"), kinds("dst_type").alias("kind"), kinds("src_type").alias("from")), by="from")
+    found = written(types.where(graph.name("id") == start).select("id", number("type").alias("stage"), F.lit(0).alias("distance"), kinds("type").alias("kind")))
+    met = {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}  # a row a type
+    if not met:
         raise ValueError(f"{start} is not defined")
     frontier, far = found, 0
-    while n and (not depth or far < depth):
+    while met and (not depth or far < depth):
         far += 1
         at = frontier.select("id", "stage")
-        reach = steps.join(F.broadcast(at) if n <= SMALL_FRONTIER else at, F.col("id") == F.col("src"))
+        own = steps.where(F.col("from").isin(*met))
+        reach = own.join(F.broadcast(at) if sum(met.values()) <= SMALL_FRONTIER else at, F.col("id") == F.col("src"))
         allowed = (F.col("to") < 0) | (F.col("stage") < 0) | (F.col("to") <= F.col("stage") + F.col("chained"))
-        new = reach.where(allowed).select(F.col("dst").alias("id"), F.when(F.col("to") < 0, F.col("stage")).otherwise(F.col("to")).alias("stage")).distinct()
-        frontier = written(new.join(found.select("id", "stage"), ["id", "stage"], "left_anti").withColumn("distance", F.lit(far)))
-        n = frontier.count()
+        new = reach.where(allowed).select(F.col("dst").alias("id"), F.when(F.col("to") < 0, F.col("stage")).otherwise(F.col("to")).alias("stage"), "kind").distinct()
+        frontier = written(new.join(found.select("id", "stage"), ["id", "stage"], "left_anti").select("id", "stage", F.lit(far).alias("distance"), "kind"))
+        met = {r.kind: r["count"] for r in frontier.groupBy("kind").count().collect()}
         found = found.unionByName(frontier)
     return found.where(F.col("distance") > 0).groupBy("id").agg(F.min("distance").alias("distance")).select(graph.name("id").alias("id"), "distance").where(F.col("id") != start)
 
@@ -425,11 +427,11 @@ def subgraph(graph: LinkGraph, ids: DataFrame) -> DataFrame:
 def degrees(graph: LinkGraph) -> DataFrame:
     """id, type, path, n_refs (other identifiers it mentions), n_downstream (direct successors of both kinds) of every node.
 
-    Each edge counts at both ends, and all counts of an identifier, zeros too, meet in one grouping.
+    Each edge counts at both ends, once for its pair of identifiers, and the counts, which are numbers only, meet in one
+    grouping by hash; what describes a node is joined to them.
     """
     ref, one, none = (F.col("kind") == REFERENCE).cast("long"), F.lit(1).cast("long"), F.lit(0).cast("long")
-    text = F.lit(None).cast("string")
-    ends = graph.edges.select(F.inline(F.array(F.struct(F.col("dst").alias("id"), ref.alias("r"), none.alias("d")), F.struct(F.col("src").alias("id"), none.alias("r"), one.alias("d"))))).select("id", text.alias("type"), text.alias("path"), "r", "d")
-    rows = graph.nodes.select("id", "type", "path", none.alias("r"), none.alias("d")).unionByName(ends)
-    met = rows.groupBy("id").agg(F.max("type").alias("type"), F.max("path").alias("path"), F.sum("r").alias("n_refs"), F.sum("d").alias("n_downstream"))
-    return met.where(F.col("type").isNotNull()).select(graph.name("id").alias("id"), "type", "path", "n_refs", "n_downstream")
+    ends = graph.edges.select(F.inline(F.array(F.struct(F.col("dst").alias("id"), ref.alias("r"), none.alias("d")), F.struct(F.col("src").alias("id"), none.alias("r"), one.alias("d")))))
+    counts = ends.groupBy("id").agg(F.sum("r").alias("n_refs"), F.sum("d").alias("n_downstream"))
+    out = graph.nodes.select("id", "type", "path").join(counts, "id", "left")
+    return out.select(graph.name("id").alias("id"), "type", "path", *(F.coalesce(c, none).alias(c) for c in ("n_refs", "n_downstream")))

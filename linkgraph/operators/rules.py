@@ -41,9 +41,8 @@ def ref_integrity(corpus: Corpus) -> DataFrame:
 
 def repeated(definitions: DataFrame) -> DataFrame:
     """The definitions after the first of their id, in the order of ``pos``."""
-    first = definitions.groupBy("id").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("id", "_first")
-    ranked = definitions.join(first, "id").withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
-    return ranked.where("_rank > 1").drop("_first", "_rank")
+    ranked = definitions.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    return ranked.where("_rank > 1").drop("_rank")
 
 
 def id_uniqueness(corpus: Corpus, check_sequence: bool = False) -> DataFrame:

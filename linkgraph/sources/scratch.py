@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from a new Parquet table below ``spark.checkpoint.dir`` (a temporary folder in local mode)."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of ``df`` from a new Parquet table below ``spark.checkpoint.dir`` (a temporary folder in local mode).
+
+    by: a text column of few values, each of which gets a folder of its own, so that a filter on it reads no other.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -18,5 +21,5 @@ def written(df: DataFrame) -> DataFrame:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
