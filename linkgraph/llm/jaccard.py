@@ -37,6 +37,8 @@ from linkgraph.llm.tokens import release
 
 #: Groups of a coarse point and of the finest; points of a leaf, leaves of a node, points of a block of an entry.
 DIMS, FINEST, LEAF, FANOUT, BLOCK = 128, 2048, 32, 16, 4096
+#: Cells of a text by which its pairs are told to have met before.
+LOWS, NEVER = 16, (1 << 63) - 1
 #: Groups that corpus counts are kept for, and the parts that they are summed in.
 RARITY_BITS, PARTS = 20, 64
 #: Pairs that are bounded at a time, rows that are gathered before small entries are searched, and pairs of a forest's step.
@@ -191,21 +193,31 @@ class Forest:
             self.left |= taken < len(own)
 
 
+def first_met(lows: np.ndarray, cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs in these cells, which are in no smaller cell together, as far as the least cells of both can tell."""
+    out = np.ones(len(i), bool)
+    for s in range(0, len(i), PAIRS):
+        p, q, c = lows[i[s : s + PAIRS]], lows[j[s : s + PAIRS]], cells[i[s : s + PAIRS]]
+        out[s : s + PAIRS] = ~((p[:, :, None] == q[:, None, :]) & (p < c[:, None])[:, :, None]).any((1, 2))
+    return out
+
+
 class Opened:
-    """Remembers who has a surviving partner."""
+    """Remembers who has a surviving partner that it meets here first."""
 
-    def __init__(self, n: int):
-        self.edges, self.left, self.rows = [], False, np.zeros(n, bool)
+    def __init__(self, lows: np.ndarray, cells: np.ndarray):
+        self.edges, self.left, self.rows, self.lows, self.cells = [], False, np.zeros(len(cells), bool), lows, cells
 
     def add(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
-        self.rows[i] = self.rows[j] = True
+        ok = first_met(self.lows, self.cells, i, j)
+        self.rows[i[ok]] = self.rows[j[ok]] = True
 
 
 class Links:
     """Pairs that the whole sets confirm and that join two labels, best bound first; the pairs between joined labels are not tried."""
 
-    def __init__(self, labels: np.ndarray, sets: list[bytes], num: int, den: int):
-        self.labels, self.sets, self.num, self.den = labels, sets, num, den
+    def __init__(self, labels: np.ndarray, sets: list[bytes], lows: np.ndarray, cells: np.ndarray, num: int, den: int):
+        self.labels, self.sets, self.lows, self.cells, self.num, self.den = labels, sets, lows, cells, num, den
         self.parent, self.edges, self.left = {}, [], False
 
     def top(self, x: int) -> int:
@@ -215,6 +227,8 @@ class Links:
         return x
 
     def add(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
+        ok = first_met(self.lows, self.cells, i, j)
+        i, j, score = i[ok], j[ok], score[ok]
         for k in np.argsort(-score, kind="stable").tolist():
             p, q = int(i[k]), int(j[k])
             x, y = self.top(int(self.labels[p])), self.top(int(self.labels[q]))
@@ -231,13 +245,17 @@ def candidates(members: DataFrame, num: int, den: int, mode: str = "forest") ->
     """By mode: a, b of a forest of surviving pairs, and cell alone of an entry whose pairs were not all taken; of "open",
     a and cell of who has a surviving partner; of "links", a, b of verified links that join labels.
 
-    Rows: cell, i, j, side, id, n, point, label, and set for links. The rows of one (cell, i, j) are an entry, or two of its blocks.
+    Rows: cell, i, j, side, id, n, point, label, but for a forest lows (the id's least cells, so that a pair of many cells is
+    looked at in one), and for links set. The rows of one (cell, i, j) are an entry, or two of its blocks.
     """
 
-    def work(labels: np.ndarray, sets: list[bytes]):
-        return Forest(len(labels)) if mode == "forest" else Opened(len(labels)) if mode == "open" else Links(labels, sets, num, den)
+    def work(labels: np.ndarray, sets: list[bytes], lows: list[bytes], cells: np.ndarray):
+        if mode == "forest":
+            return Forest(len(labels))
+        low = np.frombuffer(b"".join(lows), np.int64).reshape(len(lows), LOWS)
+        return Opened(low, cells) if mode == "open" else Links(labels, sets, low, cells, num, den)
 
-    def whole(own: list[np.ndarray], points: list[bytes], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def whole(own: list[np.ndarray], points: list[bytes], sets: list[bytes], lows: list[bytes]) -> Iterator[pa.RecordBatch]:
         """An entry, or two blocks, by trees."""
         cell, _, _, side, ids, sizes, labels = own
         places = [at for s in (0, 1) if len(at := np.flatnonzero(side == s))]
@@ -246,7 +264,7 @@ def candidates(members: DataFrame, num: int, den: int, mode: str = "forest") ->
             return
         a, b, shift = sides[0], sides[-1], len(sides[0].points.ids) * (len(sides) - 1)
         order = np.concatenate([at[tree.order] for at, tree in zip(places, sides, strict=True)])
-        forest, held, n = work(labels[order], [sets[x] for x in order.tolist()] if sets else []), [], 0
+        forest, held, n = work(labels[order], *([c[x] for x in order.tolist()] if c else [] for c in (sets, lows)), cell), [], 0
         for i, j, score in a.pairs(b, num, den):
             held.append((i, j + shift, score))
             n += len(i)
@@ -272,7 +290,7 @@ def candidates(members: DataFrame, num: int, den: int, mode: str = "forest") ->
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return arrow(PAIR, [pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int64())])
 
-    def small(own: list[np.ndarray], points: list[bytes], sets: list[bytes], starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def small(own: list[np.ndarray], points: list[bytes], sets: list[bytes], lows: list[bytes], starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Entries of a leaf each, all at once."""
         rows = Points(own[4], own[5], own[6], points)
         some = [(starts[counts == m][:, None] + np.stack(np.triu_indices(m, 1))[:, None, :]).reshape(2, -1) for m in np.unique(counts) if m > 1]
@@ -282,7 +300,7 @@ def candidates(members: DataFrame, num: int, den: int, mode: str = "forest") ->
         i, j, score = bounded(rows, i, rows, j, num, den)
         if not len(i):
             return
-        forest = work(rows.labels, sets)
+        forest = work(rows.labels, sets, lows, own[0])
         forest.add(i, j, score)
         if mode != "forest":
             yield from closed(forest, rows.ids, own[0], own[0][:0])
@@ -296,37 +314,40 @@ def candidates(members: DataFrame, num: int, den: int, mode: str = "forest") ->
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
 
-        def groups(own: list[np.ndarray], points: list[bytes], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def groups(own: list[np.ndarray], points: list[bytes], sets: list[bytes], lows: list[bytes]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], np.any([np.diff(c) != 0 for c in own[:3]], axis=0)]))
             counts = np.diff(np.append(starts, len(points)))
             leaf = (counts <= LEAF) & np.array([not own[3][s : s + n].any() for s, n in zip(starts, counts, strict=True)])
             for s, n in zip(starts[~leaf], counts[~leaf], strict=True):
-                yield from whole([c[s : s + n] for c in own], points[s : s + n], sets[s : s + n])
+                yield from whole([c[s : s + n] for c in own], points[s : s + n], sets[s : s + n], lows[s : s + n])
             if leaf.any():
                 at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[leaf], counts[leaf], strict=True)])
                 n = counts[leaf]
-                yield from small([c[at] for c in own], [points[x] for x in at.tolist()], [sets[x] for x in at.tolist()] if sets else [], np.cumsum(n) - n, n)
+                yield from small([c[at] for c in own], [points[x] for x in at.tolist()], *([c[x] for x in at.tolist()] if c else [] for c in (sets, lows)), np.cumsum(n) - n, n)
 
         held: list[list[np.ndarray]] = []
         points: list[bytes] = []
         sets: list[bytes] = []
+        lows: list[bytes] = []
         step = ROWS // 8 if mode == "links" else ROWS
         for batch in batches:
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
                 if mode == "links":
                     sets += part.column("set").to_pylist()
+                if mode != "forest":
+                    lows += [np.array([*x[:LOWS], *[NEVER] * (LOWS - len(x))], np.int64).tobytes() for x in part.column("lows").to_pylist()]
                 held.append([part.column(c).to_numpy() for c in ("cell", "i", "j", "side", "id", "n", "label")])
                 points += [expand(x) for x in part.column("point").to_pylist()]
                 own = [np.concatenate(c) for c in zip(*held, strict=True)]
                 last = np.flatnonzero(np.any([c != c[-1] for c in own[:3]], axis=0))
                 cut = int(last[-1]) + 1 if len(last) else 0  # what stands from here on may go on
                 if cut >= step // 2:
-                    yield from groups([c[:cut] for c in own], points[:cut], sets[:cut])
-                    own, points, sets = [c[cut:] for c in own], points[cut:], sets[cut:]
+                    yield from groups([c[:cut] for c in own], points[:cut], sets[:cut], lows[:cut])
+                    own, points, sets, lows = [c[cut:] for c in own], points[cut:], sets[cut:], lows[cut:]
                 held = [own]
         if points:
-            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)], points, sets)
+            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)], points, sets, lows)
 
     return members.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(tidy(search), "a long, b long, cell long")
 
@@ -502,10 +523,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     usual = again.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("label", "n").alias("usual"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"))
     mixed = written(again.join(usual.where("labels > 1"), "cell").withColumn("strays", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")))
     # who has a surviving partner of another label, and then the links between these, on their sets
-    opened = written(candidates(blocked(mixed).join(points, "id").select(*columns), num, den, "open").select(F.col("a").alias("id"), "cell").distinct())
+    lows = written(mixed.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("cell")), 1, LOWS).alias("lows")))  # of the few cells that a text is in
+    opened = written(candidates(blocked(mixed).join(points.join(lows, "id"), "id").select(*columns, "lows"), num, den, "open").select(F.col("a").alias("id"), "cell").distinct())
     rest = written(mixed.join(opened, ["cell", "id"], "left_semi"))
     sets = among(known, F.col("doc_id"), rest.select("id").distinct()).mapInArrow(tidy(hashed), "id long, set binary")
-    more = written(candidates(blocked(rest).join(points, "id").join(sets, "id").select(*columns, "set"), num, den, "links").select("a", "b"))
+    more = written(candidates(blocked(rest).join(points.join(lows, "id").join(sets, "id"), "id").select(*columns, "lows", "set"), num, den, "links").select("a", "b"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = first.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component_id"))
