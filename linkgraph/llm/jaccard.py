@@ -542,3 +542,25 @@ def dedupe(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     """
     found = join(docs, k, num, den).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return without(docs, "doc_id", written(found))
+
+
+def oracle(k: int = 4, num: int = 85, den: int = 100, kept: bool = False) -> str:
+    """The same in DuckDB's SQL, without an index: linked sets share one of their rarest shingles, and all such pairs are verified.
+
+    Of n shingles ``n - ceil(num * n / den) + 1`` are enough, since two linked sets have fewer unlike ones. Equal sets are one.
+    """
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    more = ", coalesce(o.least, doc_id) = doc_id AS kept" if kept else ""
+    return rf"""WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS s FROM words WHERE len(w) > 0)),
+numbered AS (SELECT s, row_number() OVER (ORDER BY count(*), s) AS r FROM shingle GROUP BY s),
+sets AS MATERIALIZED (SELECT doc_id, list_sort(list(r)) AS v FROM shingle JOIN numbered USING (s) GROUP BY doc_id),
+point AS MATERIALIZED (SELECT v, min(doc_id) AS p, len(v) AS n FROM sets GROUP BY v),
+rare AS MATERIALIZED (SELECT p, unnest(v[1:n - ({num} * n + {den - 1}) // {den} + 1]) AS r FROM point),
+pair AS MATERIALIZED (SELECT DISTINCT x.p AS a, y.p AS b FROM rare x JOIN rare y USING (r) WHERE x.p < y.p),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN point x ON x.p = a JOIN point y ON y.p = b WHERE {num} * greatest(x.n, y.n) <= {den} * least(x.n, y.n) AND {num + den} * len(list_intersect(x.v, y.v)) >= {num} * (x.n + y.n)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT p, p FROM point UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b),
+top AS (SELECT a AS p, min(b) AS least FROM reach GROUP BY a),
+o AS (SELECT doc_id, CAST(n AS BIGINT) AS n, least FROM sets JOIN point USING (v) JOIN top USING (p))
+SELECT doc_id, coalesce(o.n, 0) AS n_shingles, coalesce(o.least, doc_id) AS component_id{more} FROM documents LEFT JOIN o USING (doc_id)"""

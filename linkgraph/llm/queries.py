@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc.oracle(), "op4_extendible_shards": sharding.oracle(), "op12_prefix_trie": trie.oracle(), "op13_spelling_variants": spelling.oracle()}
+    return {"op1_warc_derivatives": warc.oracle(), "op3_jaccard_rtree": jaccard.oracle(k=4), "op4_extendible_shards": sharding.oracle(), "op11_minhash_bayes": jaccard.oracle(k=5, kept=True), "op12_prefix_trie": trie.oracle(), "op13_spelling_variants": spelling.oracle()}
