@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,13 @@ KEY = "struct<t:tinyint,a:bigint,b:int>"
 
 
 def key(kind: str, *cols: str) -> Column:
-    more = F.col(cols[1]).cast("int") if len(cols) > 1 else F.lit(0)
-    return F.struct(F.lit([*TYPES].index(kind)).cast("tinyint").alias("t"), F.col(cols[0]).cast("long").alias("a"), more.alias("b"))
+    """All fields may be null as far as the analyser sees, so that all keys are of one type.
+
+    Otherwise a join of keys that a union made nullable with others would cast one side, and move it again.
+    """
+    more = f"cast({cols[1]} as int)" if len(cols) > 1 else "0"
+    fields = {"t": f"cast({[*TYPES].index(kind)} as tinyint)", "a": f"cast({cols[0]} as bigint)", "b": more}
+    return F.expr(f"named_struct({', '.join(f"'{n}', if(false, null, {x})" for n, x in fields.items())})")
 
 
 def label(x: Column) -> Column:
@@ -42,13 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def definitions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), ident=ident) -> DataFrame:
+Read = Callable[[str], DataFrame]
+
+
+def reader(spark: SparkSession, sf_dir: str) -> Read:
+    """Opens each table once: a job looks its schema up each time."""
+    return cache(lambda name: table(spark, sf_dir, name))
+
+
+def definitions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), ident=ident, read: Read | None = None) -> DataFrame:
     """id, type, path, line, level, title, pos of every row, duplicates kept; the key stands for document order."""
-    out = None
+    out, read = None, read or reader(spark, sf_dir)
     for kind in TYPES:
         if kind not in kinds:
             continue
-        rows = described(table(spark, sf_dir, TYPES[kind][0]), kind, ident)
+        rows = described(read(TYPES[kind][0]), kind, ident)
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -59,27 +75,27 @@ def described(rows: DataFrame, kind: str, ident=ident) -> DataFrame:
     return rows.select(ident(kind, *keys).alias("id"), F.lit(kind).alias("type"), F.lit(name).alias("path"), F.col(keys[-1]).cast("int").alias("line"), F.lit(2).alias("level"), F.col(title).alias("title"), place.alias("pos"))
 
 
-def nodes(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), ident=ident) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), ident=ident, read: Read | None = None) -> DataFrame:
     """One row an identifier. Line items may repeat a key, and so a place in the order; the least title stands for all."""
-    out = None
+    out, read = None, read or reader(spark, sf_dir)
     for kind in kinds:
-        rows = definitions(spark, sf_dir, (kind,), ident)
+        rows = definitions(spark, sf_dir, (kind,), ident, read)
         if kind == "LIN":  # on its key columns; what a query does not ask for is not aggregated
             name, keys, title = TYPES[kind]
-            once = table(spark, sf_dir, name).groupBy(*keys).agg(F.min(title).alias(title))
+            once = read(name).groupBy(*keys).agg(F.min(title).alias(title))
             rows = described(once, kind, ident)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), once: bool = False, ident=ident) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, kinds=tuple(TYPES), once: bool = False, ident=ident, read: Read | None = None) -> DataFrame:
     """src (mentioned), dst (mentioning) and their types; a pair as often as there are rows, or once."""
-    out = None
+    out, read = None, read or reader(spark, sf_dir)
     for src, key, dst in MENTIONS:
         if src not in kinds or dst not in kinds:
             continue
         name, keys, _ = TYPES[dst]
-        rows = table(spark, sf_dir, name).where(F.col(key).isNotNull()).select(*dict.fromkeys((key, *keys)))
+        rows = read(name).where(F.col(key).isNotNull()).select(*dict.fromkeys((key, *keys)))
         rows = rows.distinct() if once and dst == "LIN" else rows  # the other keys are unique
         own = rows.select(ident(src, key).alias("src"), ident(dst, *keys).alias("dst"), F.lit(src).alias("src_type"), F.lit(dst).alias("dst_type"))
         out = own if out is None else out.unionByName(own)
@@ -91,6 +107,6 @@ def graph(spark: SparkSession, sf_dir: str, chain: list[str] | None = None, kind
 
     ``keyed``: identifiers are structs of numbers until they are shown, so that no text is grouped, joined or sorted.
     """
-    own = key if keyed else ident
-    edges = mentions(spark, sf_dir, kinds, True, own).select("src", "dst", F.lit(REFERENCE).alias("kind"))
-    return LinkGraph(nodes(spark, sf_dir, kinds, own), edges, chain or CHAIN, typed=mentions(spark, sf_dir, kinds, ident=own), flat=True, label=label if keyed else None)
+    own, read = key if keyed else ident, reader(spark, sf_dir)
+    edges = mentions(spark, sf_dir, kinds, True, own, read).select("src", "dst", F.lit(REFERENCE).alias("kind"))
+    return LinkGraph(nodes(spark, sf_dir, kinds, own, read), edges, chain or CHAIN, typed=mentions(spark, sf_dir, kinds, ident=own, read=read), flat=True, label=label if keyed else None)
